@@ -8,23 +8,58 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import encoding, packing, sharding, token_counts
+from stemma.llm import encoding, langid, neighbours, packing, passages, sharding, simhash, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.remove_repeated(docs)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (by ``doc_id``) and pages (by ``page_id``), under models of the documents' languages.
+
+    A document's declared language and host are its ``lang`` and ``source``.
+    """
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    model = langid.learn(docs)
+    host = langid.host_in(F.col("url"))
+    of_docs = langid.identify(docs, model, declared=F.col("lang"), host=F.col("source"), carry=["doc_id"])
+    of_pages = langid.identify(
+        pages,
+        model,
+        text="html",
+        markup=True,
+        declared=langid.declared_in(F.col("html")),
+        suffix=langid.suffix_of(host),
+        host=host,
+        domain=langid.domain_of(host),
+        carry=["page_id"],
+    )
+    return of_docs.unionByName(of_pages, allowMissingColumns=True)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encoding.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -36,6 +71,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", topk.integers(F.col("embedding")).alias("vector"))
+    return topk.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(docs).select(
@@ -49,8 +93,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_token_counts, op4_best_fit_packing, op6_bpe, op9_sharding]
+    own = [op1_toxicity, op2_token_counts, op3_substring_dedup, op4_best_fit_packing, op5_language_id, op6_bpe, op7_top_k, op8_embedding_near_dedup, op9_sharding, op10_simhash_near_dedup]
     return {f.__name__: f for f in own}
 
 
