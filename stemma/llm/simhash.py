@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -237,3 +238,229 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     of = named.join(ids, "component").select("fp", "component_id")
     joined = docs.join(of, "fp", "left")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# -- near copies at a Jaccard similarity -------------------------------------
+#
+# Two texts whose word shingles have Jaccard similarity 0.8 differ in some
+# tenth of the bits of a SimHash, far more than 2 of 64.  Longer fingerprints
+# keep the search selective: the same pigeonhole search over WIDE_PARTS parts
+# of WIDE * 64 bits proposes pairs, fingerprints screen them, and exact Jaccard
+# similarity of the texts' shingles decides.
+
+WIDE = 8
+WIDE_PARTS = 24
+#: Complete up to so many differing bits; at a tenth of all bits some 98 % are found.
+WIDE_THRESHOLD = WIDE_PARTS + 1
+#: Share of differing bits from which a pair is not looked at.
+SCREEN = 0.2
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Documents in one comparison task, and rows that are sent to every executor at most.
+TOGETHER = 2000
+BROADCAST_ROWS = 500_000
+STATISTICS_TASKS = 24
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def wide_fingerprint(own: list[bytes], words: int = 3) -> np.ndarray:
+    """WIDE 64-bit words of SimHash of a word list's shingles."""
+    shingles = map(b" ".join, zip(*[own[i:] for i in range(words)])) if len(own) >= words else [b" ".join(own)]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+    out = np.zeros(WIDE, np.uint64)
+    for k in range(WIDE):
+        counts = bit_counts(_mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))))
+        out[k] = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def shingle_set(text: str, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (fewer words: the whole sequence)."""
+    own = text.encode().translate(LOWER).split()
+    shingles = map(b" ".join, zip(*[own[i:] for i in range(words)])) if len(own) >= words else [b" ".join(own)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(7)), np.uint64)).view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _prints(df: DataFrame) -> DataFrame:
+    """(``uid``, ``digest``, ``wide``) of (``uid``, ``text``): digest of the words, fingerprint words as longs."""
+    schema = "uid long, digest binary, wide array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch, "text"):
+                digests, wide = [], []
+                for t in texts:
+                    own = t.encode().translate(LOWER).split()
+                    digests.append(xxhash.xxh3_128_digest(b" ".join(own)))
+                    wide.append(wide_fingerprint(own).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(digests, pa.binary()), pa.array(wide, pa.list_(pa.int64()))], names=["uid", "digest", "wide"])
+
+    return df.mapInArrow(run, schema)
+
+
+def _candidates(distinct: DataFrame) -> DataFrame:
+    """Pairs (``a`` < ``b``) of ``uid`` that share a probed value and differ in few enough bits."""
+    width = 64 * WIDE
+    unpack = lambda col: np.unpackbits(np.stack(col).astype(np.int64).view(np.uint8), axis=1, bitorder="little")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, both = 0, np.zeros((width, width))
+        for pdf in batches:
+            b = unpack(pdf["wide"]).astype(np.float32)
+            n, both = n + len(b), both + b.T @ b
+        i, j = np.triu_indices(width)
+        yield pd.DataFrame({"i": np.append(-1, i).astype(np.int32), "j": np.append(-1, j).astype(np.int32), "s": np.append(float(n), both[i, j])})
+
+    # each task reports on all pairs of bits, so a fixed number of tasks reads all fingerprints
+    total = distinct.select("wide").repartition(STATISTICS_TASKS).mapInPandas(sums, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    n = int(total.loc[total["i"] < 0, "s"].sum())
+    pairs = total[total["i"] >= 0]
+    both = np.zeros((width, width))
+    both[pairs["i"], pairs["j"]] = pairs["s"]
+    both = np.maximum(both, both.T) / max(n, 1)
+    rate = np.diag(both).copy()
+    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
+    groups = partition_bits((both - np.outer(rate, rate)) / np.outer(spread, spread), WIDE_PARTS)
+
+    def value_of(bits: np.ndarray, g: list[int]) -> np.ndarray:
+        return bits[:, g].astype(np.int64) @ (np.int64(1) << np.arange(len(g), dtype=np.int64))
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bits, uid = unpack(pdf["wide"]), pdf["uid"].to_numpy()
+            for i, g in enumerate(groups):
+                yield pd.DataFrame({"part": np.int32(i), "value": value_of(bits, g), "uid": uid})
+
+    values = written(distinct.mapInPandas(index, "part int, value long, uid long"))
+    counts = values.groupBy("part", "value").agg(F.count("*").alias("n"))
+    common = values.join(counts.filter("n > 1"), ["part", "value"]).groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("n"))  # WIDE_PARTS entries at most
+    sized = distinct.join(common, "uid", "left").select("uid", "wide", F.transform(F.sequence(F.lit(0), F.lit(WIDE_PARTS - 1)), lambda i: F.coalesce(F.try_element_at("n", i), F.lit(1))).alias("n"))
+
+    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bits, uid = unpack(pdf["wide"]), pdf["uid"].to_numpy()
+            own = np.stack(pdf["n"]).astype(float) - 1
+            p = np.where(bits == 1, rate, 1 - rate).clip(1e-6, 1 - 1e-6)
+            cost = np.zeros((len(uid), WIDE_PARTS, 3))
+            for i, g in enumerate(groups):
+                near = n * np.exp(np.log(p[:, g]).sum(1)) * ((1 - p[:, g]) / p[:, g]).sum(1)
+                cost[:, i, 1] = own[:, i] + PROBE_COST
+                cost[:, i, 2] = own[:, i] + near + PROBE_COST * (1 + len(g))
+            chosen = allocations(cost, WIDE_THRESHOLD - WIDE_PARTS + 1)
+            for i, g in enumerate(groups):
+                at = np.flatnonzero(chosen[:, i] >= 1)
+                if len(at):
+                    value = value_of(bits[at], g)
+                    for place in range(len(g)):
+                        yield pd.DataFrame({"part": np.int32(i), "value": value ^ (np.int64(1) << np.int64(place)), "q": uid[at]})
+
+    # values of their own meet in the index itself, whichever of the two thresholds is 0 or more
+    within = values.join(counts.filter((F.col("n") > 1) & (F.col("n") <= HEAVY)), ["part", "value"]).select("part", "value", "uid")
+    equal = within.join(within.withColumnRenamed("uid", "b"), ["part", "value"]).filter("uid < b").select(F.col("uid").alias("a"), "b")
+    crowd = values.join(counts.filter(F.col("n") > HEAVY), ["part", "value"]).withColumn("at", F.xxhash64("part", "uid"))
+    order = W.partitionBy("part", "value").orderBy("at", "uid")
+    heads = crowd.groupBy("part", "value").agg(F.min_by("uid", F.struct("at", "uid")).alias("head"))
+    chained = crowd.withColumn("last", F.lag("uid").over(order)).join(heads, ["part", "value"])
+    chained = chained.select("uid", F.explode(F.array("last", "head")).alias("b")).filter("b IS NOT NULL AND uid <> b")
+    crowded = chained.select(F.least("uid", "b").alias("a"), F.greatest("uid", "b").alias("b"))
+    asked = sized.mapInPandas(probes, "part int, value long, q long")
+    first = values.join(counts.filter(F.col("n") <= HEAVY), ["part", "value"]).select("part", "value", "uid")
+    heads_of = heads.select("part", "value", F.col("head").alias("uid"))
+    reached = asked.join(first.unionByName(heads_of), ["part", "value"]).filter("q <> uid").select(F.least("q", "uid").alias("a"), F.greatest("q", "uid").alias("b"))
+    pairs = equal.unionByName(crowded).unionByName(reached).distinct()
+    of = distinct.select("uid", "wide")
+    both_ends = pairs.join(of.select(F.col("uid").alias("a"), F.col("wide").alias("x")), "a").join(of.select(F.col("uid").alias("b"), F.col("wide").alias("y")), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    return written(both_ends.filter(differ <= int(SCREEN * width)).select("a", "b"))
+
+
+def _few_or_shuffled(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs with Jaccard similarity of at least SIMILARITY, as far as components need them.
+
+    Pairs of a candidate component meet in one task, which skips those already
+    connected; a component of more than TOGETHER documents is spread over all
+    tasks, pair by pair.
+    """
+    groups = components(pairs)
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    nodes = groups.join(sizes, "component")
+    count = groups.count()
+    tasks = max(1, -(-count // TOGETHER))
+    nodes = written(nodes.withColumn("bin", F.when(F.col("size") <= TOGETHER, F.pmod(F.xxhash64("component"), F.lit(tasks)))))
+    placed = nodes.select(F.col("node").alias("a"), F.col("bin").alias("task"))
+    texts = docs.join(_few_or_shuffled(nodes.select(F.col("node").alias("uid"))), "uid")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, own in text_slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([shingle_set(t) for t in own], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    shingled = written(texts.select("uid", "text").mapInArrow(sets, "node long, shingles array<long>"))
+    dealt = shingled.join(nodes, "node")
+    small_pairs = pairs.join(placed.filter("task IS NOT NULL"), "a")
+    large_pairs = pairs.join(placed.filter("task IS NULL").select("a"), "a")
+
+    def compare(key, texts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        of = {u: np.asarray(s, np.int64) for u, s in zip(texts["node"], texts["shingles"], strict=True)}
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        good = []
+        for a, b in sorted(zip(own["a"], own["b"], strict=True)):
+            x, y = root(a), root(b)
+            if x != y and a in of and b in of and jaccard(of[a], of[b]) >= SIMILARITY:
+                parent[max(x, y)] = min(x, y)
+                good.append((a, b))
+        return pd.DataFrame(good, columns=["a", "b"]).astype("int64")
+
+    together = dealt.filter("bin IS NOT NULL").select("bin", "node", "shingles").groupBy("bin").cogroup(small_pairs.groupBy("task")).applyInPandas(compare, "a long, b long")
+    left = shingled.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = shingled.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    apart = large_pairs.join(left, "a").join(right, "b").filter(both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return written(together.unionByName(apart))
+
+
+def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` with one of each group of near copies: the one with the least key.
+
+    Rows are near copies if their texts, lower-cased for A-Z, have Jaccard
+    similarity of at least 0.8 on shingles of five words, or the same words;
+    groups are their connected components.  Null, empty and blank texts are
+    copies of each other.  Among rows with one key, repeated rows included, one
+    stays; a null key comes after all others.  Columns and types stay as they
+    are, an empty table stays empty, long texts are compared whole.
+    """
+    uid = "__uid"
+    rows = written(df.withColumn(uid, F.monotonically_increasing_id()))
+    docs = rows.select(F.col(uid).alias("uid"), quoted(text).cast("string").alias("text"))
+    prints = written(_prints(docs))
+    classes = prints.groupBy("digest").agg(F.min("uid").alias("uid"), F.first("wide").alias("wide"))
+    distinct = written(classes.select("uid", "digest", "wide"))
+    links = _verified(_candidates(distinct), docs)
+    labels = components(links).withColumnRenamed("node", "uid")
+    named = distinct.select("uid", "digest").join(labels, "uid", "left").select("digest", F.coalesce("component", "uid").alias("component"))
+    member = prints.select("uid", "digest").join(named, "digest").select("uid", "component")
+    keyed = rows.select(F.col(uid).alias("uid"), quoted(key).alias("k")).join(member, "uid")
+    first = keyed.groupBy("component").agg(F.min_by("uid", F.struct(F.col("k").isNull(), F.col("k"), F.col("uid"))).alias("uid"))
+    gone = written(keyed.select("uid").join(first.select("uid"), "uid", "left_anti").withColumnRenamed("uid", uid))
+    return rows.join(_few_or_shuffled(gone), uid, "left_anti").select(*[quoted(c) for c in df.columns])
