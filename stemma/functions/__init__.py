@@ -1 +1 @@
-"""Analytics over property graphs of source code, on DataFrames."""
+"""Column expressions and table functions."""

@@ -1 +1 @@
-"""Analytics over property graphs of source code, on DataFrames."""
+"""Operators, each a function from DataFrames to DataFrames."""

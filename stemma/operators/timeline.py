@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ORDERED = W.partitionBy("session_id").orderBy("frame_index")
-SESSION = W.partitionBy("session_id")
+
+def _ordered():
+    return W.partitionBy("session_id").orderBy("frame_index")
+
+
+def _session():
+    return W.partitionBy("session_id")
 
 
 def intervals(frames: DataFrame) -> DataFrame:
     """Adds ``interval_ns`` since the session's previous frame."""
-    return frames.withColumn("interval_ns", F.col("elapsed_ns") - F.lag("elapsed_ns").over(ORDERED))
+    return frames.withColumn("interval_ns", F.col("elapsed_ns") - F.lag("elapsed_ns").over(_ordered()))
 
 
 def interval_statistics(frames: DataFrame) -> DataFrame:
@@ -42,14 +47,14 @@ def node_activity(frames: DataFrame) -> DataFrame:
 
 def next_of_type(frames: DataFrame, event_type: str) -> DataFrame:
     """Adds ``next_index``: the next later frame of a type, the frame itself if there's none."""
-    later = ORDERED.rowsBetween(1, W.unboundedFollowing)
+    later = _ordered().rowsBetween(1, W.unboundedFollowing)
     found = F.first(F.when(F.col("event_type") == event_type, F.col("frame_index")), ignorenulls=True).over(later)
     return frames.withColumn("next_index", F.coalesce(found, F.col("frame_index")))
 
 
 def stepped(frames: DataFrame, by: int) -> DataFrame:
     """Adds ``to_index``: the frame ``by`` steps on, kept within the session."""
-    last = F.count("*").over(SESSION) - 1
+    last = F.count("*").over(_session()) - 1
     return frames.withColumn("to_index", F.greatest(F.lit(0), F.least(last, F.col("frame_index") + by)))
 
 
@@ -89,7 +94,7 @@ def indices_where(frames: DataFrame, **equal) -> DataFrame:
 
 def positions(frames: DataFrame) -> DataFrame:
     """Adds ``progress``, the share of the session before each frame, and ``percent``."""
-    share = F.col("frame_index") / F.greatest(F.lit(1), F.count("*").over(SESSION) - 1)
+    share = F.col("frame_index") / F.greatest(F.lit(1), F.count("*").over(_session()) - 1)
     return frames.withColumn("progress", share).withColumn("percent", share * 100)
 
 
@@ -101,8 +106,8 @@ def delays(frames: DataFrame, speed: float = 1.0) -> DataFrame:
 def stack_depth(frames: DataFrame) -> DataFrame:
     """Adds ``depth``: calls that haven't returned, never below 0."""
     step = F.when(F.col("event_type") == "call", 1).when(F.col("event_type") == "return", -1).otherwise(0)
-    running = frames.withColumn("__s", F.sum(step).over(ORDERED))
-    low = F.min("__s").over(ORDERED.rowsBetween(W.unboundedPreceding, 0))
+    running = frames.withColumn("__s", F.sum(step).over(_ordered()))
+    low = F.min("__s").over(_ordered().rowsBetween(W.unboundedPreceding, 0))
     return running.withColumn("depth", F.col("__s") - F.least(F.lit(0), low)).drop("__s")
 
 
@@ -140,10 +145,10 @@ def stack_content(frames: DataFrame) -> DataFrame:
 
 def activity_histogram(frames: DataFrame, buckets: int = 100) -> DataFrame:
     """``bucket``, ``activity``, ``normalised`` of each session's course: calls weigh 1.5, exceptions 2, others 1."""
-    share = F.col("frame_index").cast("double") / F.count("*").over(SESSION) * buckets
+    share = F.col("frame_index").cast("double") / F.count("*").over(_session()) * buckets
     weight = F.when(F.col("event_type") == "call", 1.5).when(F.col("event_type") == "exception", 2.0).otherwise(1.0)
     own = frames.withColumn("bucket", F.floor(share)).groupBy("session_id", "bucket").agg(F.sum(weight).alias("activity"))
-    return own.withColumn("normalised", F.col("activity") / F.max("activity").over(SESSION))
+    return own.withColumn("normalised", F.col("activity") / F.max("activity").over(_session()))
 
 
 def located(frames: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1 +1 @@
-"""Analytics over property graphs of source code, on DataFrames."""
+"""The stored graph, its query language, and the catalogue of queries."""

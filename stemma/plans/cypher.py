@@ -296,7 +296,7 @@ def _returned(p: Parser, rows: DataFrame, nodes: set[str], relations: set[str])
         if not p.take(","):
             break
     names = [a for a, _ in order]
-    kept = rows.select(*[c.alias(a) for a, c in plain], "*") if plain and not aggregates else rows
+    kept = rows.select(*[c.alias(a) for a, c in plain]) if not aggregates else rows
     if aggregates:
         grouped = rows.groupBy(*[c.alias(a) for a, c in plain]) if plain else rows
         out = grouped.agg(*[c.alias(a) for a, c in aggregates]).select(*[F.col(f"`{a}`") for a in names])

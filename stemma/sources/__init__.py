@@ -1 +1 @@
-"""Analytics over property graphs of source code, on DataFrames."""
+"""Where rows come from: files, saved graphs, recordings, tables."""

@@ -12,11 +12,11 @@ DETECTED = [".js", ".ts", ".tsx", ".java", ".go", ".rs", ".c", ".cpp"]
 
 
 def directory(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(``file``, ``text``) of all files below a folder that a parser knows, or that match a name pattern."""
+    """(``file``, ``text``) of all files below a folder that a parser knows and that match a name pattern; Spark's reader leaves out empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.load(path).select(F.regexp_replace("path", "^file:/+", "/").alias("file"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    rows = reader.load(path).select(F.regexp_replace("path", "^file:/+", "/").alias("file"), F.decode("content", "UTF-8").alias("text"))
     return rows.filter(language_of(F.col("file")).isNotNull())
 
 
@@ -26,7 +26,7 @@ def text(spark: SparkSession, source: str, filename: str = "<string>.py") -> Dat
 
 def detected_pattern(files: DataFrame) -> str:
     """``*`` and the first known suffix that occurs, Python's if there's none."""
-    found = {r[0] for r in files.select(suffix(F.col("file"))).distinct().filter(F.col(files.select(suffix(F.col("file"))).columns[0]).isin(DETECTED)).collect()}
+    found = {r["s"] for r in files.select(suffix(F.col("file")).alias("s")).distinct().filter(F.col("s").isin(DETECTED)).collect()}
     return next((f"*{s}" for s in DETECTED if s in found), "*.py")
 
 

@@ -14,7 +14,7 @@ import re
 NAME = r"[A-Za-z_$][\w$]*"
 SKIP = {"if", "for", "while", "switch", "catch", "return", "sizeof", "function", "match", "else", "do", "new", "class", "super", "fn", "func", "async", "await", "typeof", "defer", "go", "select", "case", "loop", "unsafe", "throw"}
 JS_FUNCTION = rf"(?:\basync\s+)?\bfunction\s*\*?\s*(?P<name>{NAME})\s*\(|\b(?:const|let|var)\s+(?P<arrow>{NAME})\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:\([^()]*\)|{NAME})\s*(?::[^=;{{]+)?=>"
-JS_METHOD = rf"(?m)^\s*(?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*\*?(?P<name>#?{NAME})\s*\([^;{{}}]*\)\s*(?::[^{{;=]+)?\{{"
+JS_METHOD = rf"(?m)(?:^|(?<=[{{;}}]))\s*(?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*\*?(?P<name>#?{NAME})\s*\([^;{{}}]*\)\s*(?::[^{{;=]+)?\{{"
 JS_IMPORT = r"\bimport\s+(?:[^;'\"]*?\bfrom\s*)?['\"](?P<name>[^'\"]+)['\"]"
 LANGUAGES = {
     "javascript": {"class": rf"\bclass\s+(?P<name>{NAME})", "function": JS_FUNCTION, "method": JS_METHOD, "import": JS_IMPORT, "calls": True},
@@ -103,7 +103,7 @@ def scan(path: str, text: str, lang: str) -> tuple[list[dict], list[dict]]:
             name = m["name"] or m.groupdict().get("arrow")
             body = block(clean, m.end() - (clean[m.end() - 1] == "{"))
             held = owner(m.start("name") if m["name"] else m.start())
-            if name in SKIP or (body is None and lang != "javascript") or any(a < m.start() and (body[1] if body else m.end()) <= b for a, b, _ in spans):
+            if (name in SKIP and not (lang == "rust" and name == "new")) or (body is None and lang != "javascript") or any(a < m.start() and (body[1] if body else m.end()) <= b for a, b, _ in spans):
                 continue
             if kind == "method" and lang != "go" and not held:
                 continue

@@ -1 +1 @@
-"""Analytics over property graphs of source code, on DataFrames."""
+"""Trace frames as a stream."""

@@ -65,4 +65,4 @@ def session_depth(events: DataFrame) -> DataFrame:
         state.update((frames, depth, calls, exceptions))
         yield pd.DataFrame({"session_id": [key[0]], "frames": [frames], "depth": [depth], "calls": [calls], "exceptions": [exceptions]})
 
-    return events.groupBy(F.col("user_id").alias("session_id")).applyInPandasWithState(update, DEPTH_OUT, DEPTH_STATE, "update", GroupStateTimeout.NoTimeout)
+    return events.withColumn("session_id", F.col("user_id")).groupBy("session_id").applyInPandasWithState(update, DEPTH_OUT, DEPTH_STATE, "update", GroupStateTimeout.NoTimeout)
