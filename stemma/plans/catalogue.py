@@ -131,15 +131,15 @@ def lookup_by_name(spark, sf_dir):
     return graph.where(tables.nodes(spark, sf_dir), node_type="module").filter(F.col("name").startswith("NATION")).select("id", "name")
 
 
-@query(f"WITH {METRICS} SELECT l_partkey, cyclomatic, cognitive, depth, round(score, 6) AS score FROM metrics")
+@query(f"WITH {METRICS} SELECT l_partkey, cyclomatic, cognitive, depth, round(score, 9) AS score FROM metrics")
 def health_score_parts(spark, sf_dir):
-    return scored_parts(spark, sf_dir).select("l_partkey", "cyclomatic", "cognitive", "depth", F.round("score", 6).alias("score"))
+    return scored_parts(spark, sf_dir).select("l_partkey", "cyclomatic", "cognitive", "depth", F.round("score", 9).alias("score"))
 
 
-@query(SCORED + "SELECT node_type, status, count(*) AS n, round(min(score), 6) AS least, round(max(score), 6) AS most FROM scored GROUP BY 1, 2")
+@query(SCORED + "SELECT node_type, status, count(*) AS n, round(min(score), 9) AS least, round(max(score), 9) AS most FROM scored GROUP BY 1, 2")
 def health_status_histogram(spark, sf_dir):
     nodes, _ = scored_nodes(spark, sf_dir, 49)
-    return nodes.groupBy("node_type", "status").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))
+    return nodes.groupBy("node_type", "status").agg(F.count("*").alias("n"), F.round(F.min("score"), 9).alias("least"), F.round(F.max("score"), 9).alias("most"))
 
 
 @query(SCORED + "SELECT " + ", ".join(f"round(count(*) FILTER (status = '{s}') / greatest(count(*), 1), 6) AS {s}" for s in ["healthy", "stressed", "inflamed", "necrotic", "cancerous", "unknown"]) + " FROM scored")
@@ -169,9 +169,9 @@ def hotspots_topk(spark, sf_dir):
     return graph.hotspots(scored_nodes(spark, sf_dir, 49)[0]).select("id", "cyclomatic_complexity")
 
 
-@query(SCORED + "SELECT id, node_type, round(score, 6) AS score FROM scored WHERE node_type IN ('function', 'method') AND score < 0.5")
+@query(SCORED + "SELECT id, node_type, round(score, 9) AS score FROM scored WHERE node_type IN ('function', 'method') AND score < 0.5")
 def unhealthy_union(spark, sf_dir):
-    return graph.unhealthy(scored_nodes(spark, sf_dir, 49)[0]).select("id", "node_type", F.round("score", 6).alias("score"))
+    return graph.unhealthy(scored_nodes(spark, sf_dir, 49)[0]).select("id", "node_type", F.round("score", 9).alias("score"))
 
 
 @query(SCORED + "SELECT status, count(*) AS n FROM scored WHERE status NOT IN ('healthy', 'unknown') GROUP BY 1")
