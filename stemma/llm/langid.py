@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.llm.encoding import text_slices
-from stemma.llm.shared import quoted, with_replaced, written
+from stemma.llm.shared import few_or_shuffled, quoted, with_replaced, written
 from stemma.llm.toxicity import folded, grams
 
 #: Labelled texts to learn from, of each language at most.
@@ -192,11 +192,11 @@ def identify(
     hosts = table_of(["__host", "__domain"]).filter("__host IS NOT NULL").groupBy("__host").agg(F.max("__domain").alias("__domain"), F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(k)]).alias("n"))
     domains = table_of(["__domain"]).filter("__domain IS NOT NULL").withColumn("p_domain", smoothed(F.col("n"), flat)).select("__domain", "p_domain")
     prior = hosts.join(domains, "__domain", "left").select("__host", F.transform(smoothed(F.col("n"), F.coalesce("p_domain", flat)), lambda p: F.log(p)).alias("__prior"))
-    joined = rows.join(prior, "__host", "left")
+    joined = rows.join(few_or_shuffled(written(prior)), "__host", "left")
     zero = F.array(*[F.lit(0.0)] * k)
     for column in ("__declared", "__suffix"):
         seen = table_of([column]).filter(F.col(column).isNotNull()).select(column, likelihood(F.col("n")).alias(f"{column}_ll"))
-        joined = joined.join(seen, column, "left")
+        joined = joined.join(few_or_shuffled(written(seen)), column, "left")
     added = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     log_flat = F.array(*[F.lit(float(np.log(s))) for s in share])
     score = added(added(F.col("__text_ll"), F.coalesce("__prior", log_flat)), added(F.coalesce("__declared_ll", zero), F.coalesce("__suffix_ll", zero)))

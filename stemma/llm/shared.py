@@ -8,13 +8,17 @@ takes its place.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Where ``written`` notes its folders, if anywhere.
+_NOTED: list[str] | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,7 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, codec: str = "zstd", folder: str | None = None) -> DataFrame:
     """``df`` as a table read back from the shared folder."""
     spark = df.sparkSession
-    folder = folder or shared_folder(spark)
+    if folder is None:
+        folder = shared_folder(spark)
+        if _NOTED is not None:
+            _NOTED.append(folder)
     df.write.option("compression", codec).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
@@ -44,3 +51,30 @@ def with_replaced(df: DataFrame, *new: str) -> list[str]:
 def quoted(name: str):
     """The column called exactly ``name``, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: Rows of a small table that are sent to every executor at most.
+BROADCAST_ROWS = 200_000
+
+
+def few_or_shuffled(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``small`` marked for broadcast if it has no more than ``most`` rows; else it is left to a shuffled join."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders that ``written`` makes inside the context."""
+    global _NOTED
+    before, _NOTED = _NOTED, []
+    try:
+        yield _NOTED
+    finally:
+        _NOTED = before
+
+
+def deleted(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders of intermediate tables that nothing reads any more."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
