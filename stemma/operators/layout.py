@@ -80,3 +80,13 @@ def force_layout(nodes: DataFrame, links: DataFrame, iterations: int = 100, seed
         return state.select("id", "x", "y", "z")
     span = max(box[f"hi{c}"] - box[f"lo{c}"] for c in "xyz") or 1.0
     return state.select("id", *[((F.col(c) - (box[f"lo{c}"] + box[f"hi{c}"]) / 2) / span * SIDE).alias(c) for c in "xyz"])
+
+
+def cached_layout(nodes: DataFrame, links: DataFrame, folder: str, iterations: int = 100, seed: int = 1) -> DataFrame:
+    """The layout of a graph, from ``folder`` if it has been laid out before with the same parameters."""
+    spark = nodes.sparkSession
+    path = f"{folder.rstrip('/')}/{layout_key(nodes, links)}-{iterations}-{seed}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        force_layout(nodes, links, iterations, seed).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -170,3 +170,40 @@ def clock(ns) -> object:
     """Nanoseconds as mm:ss.mmm."""
     ms = F.floor(ns / 1_000_000)
     return F.format_string("%02d:%02d.%03d", F.floor(ms / 60_000), F.pmod(F.floor(ms / 1000), F.lit(60)), F.pmod(ms, F.lit(1000)))
+
+
+def summaries(frames: DataFrame) -> DataFrame:
+    """``session_id``, ``frame_index``, ``event_type``, ``node_id`` and the time as a clock."""
+    return frames.select("session_id", "frame_index", "event_type", "node_id", clock(F.col("elapsed_ns")).alias("elapsed"))
+
+
+def frame_labels(frames: DataFrame) -> DataFrame:
+    """Adds ``label``: the frame's number from 1 and how many the session has."""
+    return frames.withColumn("label", F.format_string("Frame %d / %d", F.col("frame_index") + 1, F.count("*").over(_session())))
+
+
+def speed_label(speed: float) -> str:
+    """A replay speed as shown: whole numbers without decimals."""
+    kept = max(0.01, min(100.0, speed))
+    return f"{kept:g}x"
+
+
+def trace_counters(frames: DataFrame) -> DataFrame:
+    """Calls, exceptions and the peak of ``memory_bytes`` of each session."""
+    return frames.groupBy("session_id").agg(F.count_if(F.col("event_type") == "call").alias("calls"), F.count_if(F.col("event_type") == "exception").alias("exceptions"), F.coalesce(F.max("memory_bytes"), F.lit(0)).alias("peak_memory_bytes"))
+
+
+def sessions(frames: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """A row for each session: its id, first time, interval statistics and the files of the graph it ran in."""
+    own = interval_statistics(frames)
+    if "timestamp" in frames.columns:
+        own = own.join(frames.groupBy("session_id").agg(F.min("timestamp").alias("started_at"), F.max("timestamp").alias("ended_at")), "session_id")
+    if nodes is not None:
+        counts = nodes.agg(F.count_distinct("file").alias("file_count"), F.count("*").alias("node_count")).first()
+        own = own.withColumn("file_count", F.lit(counts["file_count"])).withColumn("node_count", F.lit(counts["node_count"]))
+    return own
+
+
+def session_name(started_at) -> object:
+    """The name of a recording that starts at a time."""
+    return F.concat(F.lit("rec_"), F.date_format(started_at, "yyyyMMdd_HHmmss"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stemma.functions.names import language_of, suffix
+from stemma.schema import EDGES, NODES
 
 #: The language that decides what is read of a folder: the first that occurs.
 DETECTED = [".js", ".ts", ".tsx", ".java", ".go", ".rs", ".c", ".cpp"]
@@ -40,11 +42,26 @@ def saved_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A graph as JSON lines of nodes and edges, in two folders; read by ``spark.read.json``."""
+    """A graph as JSON lines of nodes and edges, in two folders."""
     nodes.write.mode("overwrite").json(f"{path}/nodes")
     edges.write.mode("overwrite").json(f"{path}/edges")
 
 
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What ``save_graph`` wrote."""
+    judged = T.StructType([*NODES.fields, T.StructField("score", T.DoubleType()), T.StructField("status", T.StringType())])
+    return spark.read.schema(judged).json(f"{path}/nodes"), spark.read.schema(EDGES).json(f"{path}/edges")
+
+
+def graph_document(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """One row ``json``: a small graph as one document, nodes and edges keyed by id, modules as roots."""
+    position = F.struct("file", "line", "column", "end_line").alias("position")
+    metrics = F.struct("cyclomatic_complexity", "lines_of_code", "depth").alias("metrics")
+    own = nodes.agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("id", "name", "node_type", "qualified_name", "parent_id", "docstring", "signature", position, metrics, F.col("status").alias("health"))))).alias("nodes"), F.collect_list(F.when(F.col("node_type") == "module", F.col("id"))).alias("root_ids"))
+    links = edges.agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("id", "source_id", "target_id", "edge_type", "weight")))).alias("edges"))
+    return own.join(F.broadcast(links)).select(F.to_json(F.struct(F.lit(name).alias("name"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), "nodes", "edges", "root_ids")).alias("json"))  # one row each
+
+
 def recording(spark: SparkSession, path: str) -> DataFrame:
     """Frames of a saved recording (JSON, gzip or not)."""
     frame = "struct<timestamp:string,frame_index:bigint,node_id:string,event_type:string,event_data:map<string,string>,local_vars:map<string,string>,call_stack:array<string>,elapsed_ns:bigint>"
