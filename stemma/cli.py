@@ -42,7 +42,7 @@ def graph_of(spark: SparkSession, path: str, pattern: str | None = None) -> tupl
     from stemma.sources import files, python_ast
 
     sources = files.directory(spark, path, pattern)
-    parsed = python_ast.parsed(sources)
+    parsed = graph.settled(python_ast.parsed(sources))  # parsed once for nodes and edges
     nodes, edges = resolve.resolve_calls(python_ast.nodes_of(parsed), python_ast.edges_of(parsed))
     none = F.lit(None).cast("double")
     score = scoring.health_score(F.col("cyclomatic_complexity"), none, F.col("depth"), none, none)
