@@ -95,8 +95,10 @@ def learn(labelled: DataFrame, text: str = "text", language: str = "lang", key:
     counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
     chosen = None
     for r in counts:
-        few = rows.filter(F.col("l") == r["l"]).orderBy(F.xxhash64("k"), "k", "t").limit(sample)
+        few = rows.filter((F.col("l") == r["l"]) & F.col("k").isNotNull()).select("k", "l").orderBy(F.xxhash64("k"), "k").limit(sample)
         chosen = few if chosen is None else chosen.unionByName(few)
+    if chosen is not None:  # keys first, so that no task gathers texts: LANGUAGES samples of keys at most
+        chosen = rows.join(F.broadcast(chosen.distinct()), ["k", "l"]).orderBy(F.xxhash64("k"), "k", "t")
     own = chosen.toPandas() if chosen is not None else None
     return train([], []) if own is None else train(own["t"].tolist(), own["l"].tolist())
 
