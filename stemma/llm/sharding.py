@@ -24,10 +24,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemma.llm.shared import quoted, with_replaced, written
+from stemma.llm.shared import few_or_shuffled, quoted, with_replaced, written
 
 #: The part of a shard's target from which a group of equal texts is placed by itself.
 HEAVY = 0.005
+#: Parts into which the rows of a group larger than a shard are spread.
+PIECES = 1024
 
 
 def text_size(text: Column) -> Column:
@@ -39,8 +41,19 @@ def _hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def cuts(groups: DataFrame, shards: int) -> tuple[list[int], dict[int, int]]:
-    """For groups (``hash``, ``size``): the last hash of all shards but the last one, and the shard of each heavy group.
+def _poured(fill: list[float], size: float) -> list[int]:
+    """The shard of each piece of a group, dealt to the emptiest shards, each shard's pieces in a row."""
+    shards = len(fill)
+    counts = [0] * shards
+    for _ in range(PIECES):
+        to = min(range(shards), key=lambda k: (fill[k], k))
+        counts[to] += 1
+        fill[to] += size / PIECES
+    return [k for k in range(shards) for _ in range(counts[k])]
+
+
+def cuts(groups: DataFrame, shards: int) -> tuple[list[int], dict[int, int], dict[int, list[int]]]:
+    """For groups (``hash``, ``size``): the last hash of all shards but the last one, the shard of each heavy group, and of each piece of larger ones.
 
     The driver sees the totals of the partitions, fewer than shards / HEAVY
     heavy groups and shards - 1 bounds.
@@ -48,15 +61,17 @@ def cuts(groups: DataFrame, shards: int) -> tuple[list[int], dict[int, int]]:
     ranged = written(groups.repartitionByRange("hash").withColumn("part", F.spark_partition_id()))
     total = ranged.agg(F.sum("size")).first()[0] or 0
     target = total / shards
-    heavy = ranged.filter((F.col("size") > HEAVY * target) & (F.col("size") <= target)).orderBy(F.desc("size"), "hash").collect()
-    fill, placed = [0.0] * shards, {}
+    heavy = ranged.filter(F.col("size") > HEAVY * target).orderBy(F.desc("size"), "hash").collect()
+    fill, placed, spread = [0.0] * shards, {}, {}
     for r in heavy:
+        if r["size"] > target:
+            spread[r["hash"]] = _poured(fill, r["size"])
+            continue
         to = min(range(shards), key=lambda k: (fill[k], k))
-        if fill[to] + r["size"] > target:
-            continue  # no shard has room for all of it: it is cut with the rest
-        placed[r["hash"]] = to
-        fill[to] += r["size"]
-    light = ranged if not placed else ranged.filter(~F.col("hash").isin(list(placed)))
+        if fill[to] + r["size"] <= target:  # else no shard has room for all of it: it is cut with the rest
+            placed[r["hash"]] = to
+            fill[to] += r["size"]
+    light = ranged.filter(~F.col("hash").isin([*placed, *spread])) if placed or spread else ranged
     totals = {r["part"]: r["t"] for r in light.groupBy("part").agg(F.sum("size").alias("t")).collect()}
     before, run = {}, 0
     for part in sorted(totals):
@@ -84,20 +99,20 @@ def cuts(groups: DataFrame, shards: int) -> tuple[list[int], dict[int, int]]:
                 bounds[k] = found[f"b{k}"] if found[f"b{k}"] is not None else least[part] - 1
     for k in range(1, shards - 1):
         bounds[k] = max(bounds[k], bounds[k - 1])
-    return bounds, placed
+    return bounds, placed, spread
 
 
 def shard(df: DataFrame, shards: int = 8, text: str = "text", shard: str = "shard", slot: str = "slot") -> DataFrame:
     """All rows with their ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard), texts included.
 
     The bytes of shards are near equal, equal texts share a shard (but for
-    groups larger than a shard).  Null texts count as empty and go with them;
+    groups larger than a shard, which are spread).  Null texts count as empty and go with them;
     repeated rows have a slot each; input columns named like an output are
     replaced; an empty table gives an empty result.
     """
     hashed = _hash(quoted(text).cast("string"))
     groups = df.select(hashed.alias("hash"), text_size(quoted(text)).alias("size")).groupBy("hash").agg(F.sum("size").alias("size"))
-    bounds, placed = cuts(groups, shards)
+    bounds, placed, spread = cuts(groups, shards)
     by_range = F.lit(0)
     for b in bounds:
         by_range = by_range + (F.col("__hash") > F.lit(b).cast("long")).cast("int")
@@ -105,6 +120,9 @@ def shard(df: DataFrame, shards: int = 8, text: str = "text", shard: str = "shar
     if placed:
         heavy = F.create_map(*[x for h, k in placed.items() for x in (F.lit(h).cast("long"), F.lit(k))])
         to = F.coalesce(F.try_element_at(heavy, F.col("__hash")), by_range)
+    for h, pieces in spread.items():
+        piece = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PIECES)).cast("int")
+        to = F.when(F.col("__hash") == F.lit(h).cast("long"), F.get(F.array(*[F.lit(k) for k in pieces]), piece)).otherwise(to)
     kept = with_replaced(df, shard, slot)
     rows = df.select(*[quoted(c) for c in kept], hashed.alias("__hash")).withColumn("__shard", to).drop("__hash")
     fields = [*rows.schema.fields, T.StructField("__place", T.LongType())]
@@ -119,10 +137,10 @@ def shard(df: DataFrame, shards: int = 8, text: str = "text", shard: str = "shar
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], names=[f.name for f in fields])
 
     numbered = written(rows.mapInArrow(number, T.StructType(fields)).withColumn("__part", F.spark_partition_id()))
-    counts = numbered.groupBy("__shard", "__part").agg((F.max("__place") + 1).alias("n"))
+    counts = written(numbered.groupBy("__shard", "__part").agg((F.max("__place") + 1).alias("n")))
     earlier = W.partitionBy("__shard").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select("__shard", "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__base"))
-    joined = numbered.join(base, ["__shard", "__part"])
+    joined = numbered.join(few_or_shuffled(base), ["__shard", "__part"])  # a row for each shard and partition
     return joined.select(*[quoted(c) for c in kept], F.col("__shard").alias(shard), (F.col("__base") + F.col("__place")).alias(slot))
 
 
