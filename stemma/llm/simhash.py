@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from stemma.llm.components import components
 from stemma.llm.encoding import text_slices
-from stemma.llm.shared import quoted, written
+from stemma.llm.shared import few_or_shuffled, quoted, written
 
 BITS = 64
 THRESHOLD = 2
@@ -244,21 +244,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 #
 # Two texts whose word shingles have Jaccard similarity 0.8 differ in some
 # tenth of the bits of a SimHash, far more than 2 of 64.  Longer fingerprints
-# keep the search selective: the same pigeonhole search over WIDE_PARTS parts
-# of WIDE * 64 bits proposes pairs, fingerprints screen them, and exact Jaccard
-# similarity of the texts' shingles decides.
+# keep the search selective: the same pigeonhole search over parts of WIDE * 64
+# bits proposes pairs, fingerprints screen them, and exact Jaccard similarity of
+# the texts' shingles decides.  Parts widen with the logarithm of the corpus, so
+# that pairs met by chance stay in proportion to it.
+#
+# Groups are wanted, not pairs: under a value that many share, each is paired
+# with one head, drawn anew for every part, and with a neighbour in that order,
+# so pairs stay in proportion to documents while every document meets many.
 
 WIDE = 8
 WIDE_PARTS = 24
-#: Complete up to so many differing bits; at a tenth of all bits some 98 % are found.
-WIDE_THRESHOLD = WIDE_PARTS + 1
-#: Share of differing bits from which a pair is not looked at.
-SCREEN = 0.2
+#: Thresholds of all parts sum to this: complete up to parts + SPARE - 1 differing bits; at a tenth of all bits some 98 % are found.
+SPARE = 2
+#: Share of differing bits from which a pair is not looked at, and bits of the first 64 that a pair may differ in to be looked at.
+SCREEN, FIRST_SCREEN = 0.2, 20
+#: Under a value, documents that are all paired up, and documents that a probe from another value is paired with.
+ALL_PAIRS, FEW = 8, 4
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Documents in one comparison task, and rows that are sent to every executor at most.
+#: Documents in one comparison task.
 TOGETHER = 2000
-BROADCAST_ROWS = 500_000
+#: Tasks that count bits.
 STATISTICS_TASKS = 24
 
 
@@ -329,64 +336,67 @@ def _candidates(distinct: DataFrame) -> DataFrame:
     both = np.maximum(both, both.T) / max(n, 1)
     rate = np.diag(both).copy()
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
-    groups = partition_bits((both - np.outer(rate, rate)) / np.outer(spread, spread), WIDE_PARTS)
+    parts = int(np.clip(width // (np.ceil(np.log2(n + 1)) + 3), 8, WIDE_PARTS))
+    groups = partition_bits((both - np.outer(rate, rate)) / np.outer(spread, spread), parts)
 
     def value_of(bits: np.ndarray, g: list[int]) -> np.ndarray:
         return bits[:, g].astype(np.int64) @ (np.int64(1) << np.arange(len(g), dtype=np.int64))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bits, uid = unpack(pdf["wide"]), pdf["uid"].to_numpy()
+            bits, uid, first = unpack(pdf["wide"]), pdf["uid"].to_numpy(), np.stack(pdf["wide"])[:, 0] if len(pdf) else []
             for i, g in enumerate(groups):
-                yield pd.DataFrame({"part": np.int32(i), "value": value_of(bits, g), "uid": uid})
+                yield pd.DataFrame({"part": np.int32(i), "value": value_of(bits, g), "uid": uid, "first": first})
 
-    values = written(distinct.mapInPandas(index, "part int, value long, uid long"))
-    counts = values.groupBy("part", "value").agg(F.count("*").alias("n"))
-    common = values.join(counts.filter("n > 1"), ["part", "value"]).groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("n"))  # WIDE_PARTS entries at most
-    sized = distinct.join(common, "uid", "left").select("uid", "wide", F.transform(F.sequence(F.lit(0), F.lit(WIDE_PARTS - 1)), lambda i: F.coalesce(F.try_element_at("n", i), F.lit(1))).alias("n"))
+    values = written(distinct.mapInPandas(index, "part int, value long, uid long, first long"))
+    drawn = F.struct(F.xxhash64("part", "uid").alias("at"), F.col("uid"))
+    tops = written(values.groupBy("part", "value").agg(F.count("*").alias("n"), F.min_by(F.struct("uid", "first"), drawn).alias("head")))
+    shared = values.join(tops.filter("n > 1"), ["part", "value"])
+    common = shared.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("n"))  # an entry for each part at most
+    sized = distinct.join(written(common), "uid", "left").select("uid", "wide", F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.coalesce(F.try_element_at("n", i), F.lit(1))).alias("n"))
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bits, uid = unpack(pdf["wide"]), pdf["uid"].to_numpy()
+            if not len(pdf):
+                continue
+            bits, uid, first = unpack(pdf["wide"]), pdf["uid"].to_numpy(), np.stack(pdf["wide"])[:, 0]
             own = np.stack(pdf["n"]).astype(float) - 1
             p = np.where(bits == 1, rate, 1 - rate).clip(1e-6, 1 - 1e-6)
-            cost = np.zeros((len(uid), WIDE_PARTS, 3))
+            cost = np.zeros((len(uid), parts, 3))
             for i, g in enumerate(groups):
                 near = n * np.exp(np.log(p[:, g]).sum(1)) * ((1 - p[:, g]) / p[:, g]).sum(1)
                 cost[:, i, 1] = own[:, i] + PROBE_COST
                 cost[:, i, 2] = own[:, i] + near + PROBE_COST * (1 + len(g))
-            chosen = allocations(cost, WIDE_THRESHOLD - WIDE_PARTS + 1)
+            chosen = allocations(cost, SPARE)
             for i, g in enumerate(groups):
                 at = np.flatnonzero(chosen[:, i] >= 1)
                 if len(at):
                     value = value_of(bits[at], g)
                     for place in range(len(g)):
-                        yield pd.DataFrame({"part": np.int32(i), "value": value ^ (np.int64(1) << np.int64(place)), "q": uid[at]})
-
-    # values of their own meet in the index itself, whichever of the two thresholds is 0 or more
-    within = values.join(counts.filter((F.col("n") > 1) & (F.col("n") <= HEAVY)), ["part", "value"]).select("part", "value", "uid")
-    equal = within.join(within.withColumnRenamed("uid", "b"), ["part", "value"]).filter("uid < b").select(F.col("uid").alias("a"), "b")
-    crowd = values.join(counts.filter(F.col("n") > HEAVY), ["part", "value"]).withColumn("at", F.xxhash64("part", "uid"))
-    order = W.partitionBy("part", "value").orderBy("at", "uid")
-    heads = crowd.groupBy("part", "value").agg(F.min_by("uid", F.struct("at", "uid")).alias("head"))
-    chained = crowd.withColumn("last", F.lag("uid").over(order)).join(heads, ["part", "value"])
-    chained = chained.select("uid", F.explode(F.array("last", "head")).alias("b")).filter("b IS NOT NULL AND uid <> b")
-    crowded = chained.select(F.least("uid", "b").alias("a"), F.greatest("uid", "b").alias("b"))
-    asked = sized.mapInPandas(probes, "part int, value long, q long")
-    first = values.join(counts.filter(F.col("n") <= HEAVY), ["part", "value"]).select("part", "value", "uid")
-    heads_of = heads.select("part", "value", F.col("head").alias("uid"))
-    reached = asked.join(first.unionByName(heads_of), ["part", "value"]).filter("q <> uid").select(F.least("q", "uid").alias("a"), F.greatest("q", "uid").alias("b"))
-    pairs = equal.unionByName(crowded).unionByName(reached).distinct()
+                        yield pd.DataFrame({"part": np.int32(i), "value": value ^ (np.int64(1) << np.int64(place)), "q": uid[at], "q_first": first[at]})
+
+    alike = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= FIRST_SCREEN
+    ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    by = ["part", "value"]
+    # documents of one value meet whichever of the two has a threshold of 0 or more there
+    few = written(values.join(tops.filter((F.col("n") > 1) & (F.col("n") <= ALL_PAIRS)).select(*by), by))
+    other = few.select(*by, F.col("uid").alias("b"), F.col("first").alias("b_first"))
+    equal = few.join(other, (few["part"] == other["part"]) & (few["value"] == other["value"]) & (F.col("uid") < F.col("b")) & alike("first", "b_first")).select(*ordered("uid", "b"))
+    crowd = written(values.join(tops.filter(F.col("n") > ALL_PAIRS).select(*by, "head"), by).withColumn("at", F.xxhash64("part", "uid")))
+    last = F.lag(F.struct("uid", "first")).over(W.partitionBy(*by).orderBy("at", "uid"))
+    crowded = crowd.withColumn("last", last).select("uid", "first", F.explode(F.array("last", "head")).alias("o")).filter(F.col("o.uid").isNotNull() & (F.col("uid") != F.col("o.uid")) & alike("first", "o.first")).select(*ordered("uid", F.col("o.uid")))
+    asked = sized.mapInPandas(probes, "part int, value long, q long, q_first long")
+    scarce = values.join(tops.filter(F.col("n") <= FEW).select(*by), by).select(*by, "uid", "first")
+    open_ = written(scarce.unionByName(tops.filter(F.col("n") > FEW).select(*by, "head.uid", "head.first")))
+    asked = written(asked)
+    reached = asked.join(open_, (asked["part"] == open_["part"]) & (asked["value"] == open_["value"]) & (F.col("q") != F.col("uid")) & alike("q_first", "first")).select(*ordered("q", "uid"))
+    pairs = written(written(equal).unionByName(written(crowded)).unionByName(written(reached)).distinct())
     of = distinct.select("uid", "wide")
     both_ends = pairs.join(of.select(F.col("uid").alias("a"), F.col("wide").alias("x")), "a").join(of.select(F.col("uid").alias("b"), F.col("wide").alias("y")), "b")
     differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
     return written(both_ends.filter(differ <= int(SCREEN * width)).select("a", "b"))
 
 
-def _few_or_shuffled(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
-
-
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs with Jaccard similarity of at least SIMILARITY, as far as components need them.
 
@@ -401,7 +411,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     tasks = max(1, -(-count // TOGETHER))
     nodes = written(nodes.withColumn("bin", F.when(F.col("size") <= TOGETHER, F.pmod(F.xxhash64("component"), F.lit(tasks)))))
     placed = nodes.select(F.col("node").alias("a"), F.col("bin").alias("task"))
-    texts = docs.join(_few_or_shuffled(nodes.select(F.col("node").alias("uid"))), "uid")
+    texts = docs.join(few_or_shuffled(nodes.select(F.col("node").alias("uid"))), "uid")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -463,4 +473,4 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text")
     keyed = rows.select(F.col(uid).alias("uid"), quoted(key).alias("k")).join(member, "uid")
     first = keyed.groupBy("component").agg(F.min_by("uid", F.struct(F.col("k").isNull(), F.col("k"), F.col("uid"))).alias("uid"))
     gone = written(keyed.select("uid").join(first.select("uid"), "uid", "left_anti").withColumnRenamed("uid", uid))
-    return rows.join(_few_or_shuffled(gone), uid, "left_anti").select(*[quoted(c) for c in df.columns])
+    return rows.join(few_or_shuffled(gone), uid, "left_anti").select(*[quoted(c) for c in df.columns])
