@@ -44,7 +44,7 @@ EVIDENCE_STRENGTH = 20.0
 #: Accepted from this posterior.
 CONFIDENT = 0.5
 UNKNOWN = "und"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
 
@@ -71,8 +71,8 @@ class TextModel:
             self._place.clear()
             self._rows = self._rows[:0]
         missing = list({w for words in split for w in words if w not in self._place})
-        for k in range(0, len(missing), 20_000):
-            self._learn(missing[k : k + 20_000])
+        for k in range(0, len(missing), 8_000):
+            self._learn(missing[k : k + 8_000])
         get = self._place.__getitem__
         return np.stack([self._rows[np.fromiter(map(get, words), np.int64, len(words))].sum(0, dtype=float) if words else np.zeros(self.table.shape[1]) for words in split])
 

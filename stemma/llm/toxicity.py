@@ -46,7 +46,7 @@ STEP = 0.3
 SCALE = 200.0
 #: Unseen misspellings score lower than what was learnt, so the bound is nearer to clean documents.
 GAP = 0.4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 EDGES = "\"'.,;:!?()[]{}<>|*#$%&-_/\\~`+=^@"
 
 
@@ -61,7 +61,7 @@ def grams(words: list[str], buckets: int = BUCKETS, sizes: tuple[int, ...] = GRA
     classes: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         classes.setdefault((len(w) + 2).bit_length(), []).append(i)
-    for at in (a[k : k + 20_000] for a in classes.values() for k in range(0, len(a), 20_000)):
+    for at in (a[k : k + 8_000] for a in classes.values() for k in range(0, len(a), 8_000)):
         marked = ["<" + words[i] + ">" for i in at]
         size = np.fromiter(map(len, marked), np.int64, len(at))
         code = np.zeros((len(at), size.max()), np.uint64)
@@ -117,8 +117,8 @@ class Model:
         if len(known) > CACHE_WORDS:
             known.clear()
         missing = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
+        for k in range(0, len(missing), 8_000):
+            part = missing[k : k + 8_000]
             plain = [folded(w) for w in part]
             known.update(zip(part, np.where([w != "" for w in plain], self.word_weights(plain), 0.0).tolist(), strict=True))
         out = []
