@@ -249,9 +249,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 # the texts' shingles decides.  Parts widen with the logarithm of the corpus, so
 # that pairs met by chance stay in proportion to it.
 #
-# Groups are wanted, not pairs: under a value that many share, each is paired
-# with one head, drawn anew for every part, and with a neighbour in that order,
-# so pairs stay in proportion to documents while every document meets many.
+# Groups are wanted, not pairs.  First each document is paired with one head of
+# every value it has, drawn anew for every part: at most a pair for each part.
+# What these pairs, verified, do not connect is then paired in full; documents
+# that are connected already are not compared again.
 
 WIDE = 8
 WIDE_PARTS = 24
@@ -314,8 +315,8 @@ def _prints(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _candidates(distinct: DataFrame) -> DataFrame:
-    """Pairs (``a`` < ``b``) of ``uid`` that share a probed value and differ in few enough bits."""
+def _links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified pairs (``a``, ``b``) of ``uid`` that connect the near copies among ``distinct``."""
     width = 64 * WIDE
     unpack = lambda col: np.unpackbits(np.stack(col).astype(np.int64).view(np.uint8), axis=1, bitorder="little")
 
@@ -378,23 +379,32 @@ def _candidates(distinct: DataFrame) -> DataFrame:
     alike = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= FIRST_SCREEN
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     by = ["part", "value"]
+    def screened(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs whose fingerprints differ in few enough bits."""
+        of = distinct.select("uid", "wide")
+        ends = written(pairs.distinct()).join(of.select(F.col("uid").alias("a"), F.col("wide").alias("x")), "a").join(of.select(F.col("uid").alias("b"), F.col("wide").alias("y")), "b")
+        differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+        return written(ends.filter(differ <= int(SCREEN * width)).select("a", "b"))
+
     # documents of one value meet whichever of the two has a threshold of 0 or more there
-    few = written(values.join(tops.filter((F.col("n") > 1) & (F.col("n") <= ALL_PAIRS)).select(*by), by))
-    other = few.select(*by, F.col("uid").alias("b"), F.col("first").alias("b_first"))
-    equal = few.join(other, (few["part"] == other["part"]) & (few["value"] == other["value"]) & (F.col("uid") < F.col("b")) & alike("first", "b_first")).select(*ordered("uid", "b"))
-    crowd = written(values.join(tops.filter(F.col("n") > ALL_PAIRS).select(*by, "head"), by).withColumn("at", F.xxhash64("part", "uid")))
-    last = F.lag(F.struct("uid", "first")).over(W.partitionBy(*by).orderBy("at", "uid"))
-    crowded = crowd.withColumn("last", last).select("uid", "first", F.explode(F.array("last", "head")).alias("o")).filter(F.col("o.uid").isNotNull() & (F.col("uid") != F.col("o.uid")) & alike("first", "o.first")).select(*ordered("uid", F.col("o.uid")))
-    asked = sized.mapInPandas(probes, "part int, value long, q long, q_first long")
-    scarce = values.join(tops.filter(F.col("n") <= FEW).select(*by), by).select(*by, "uid", "first")
-    open_ = written(scarce.unionByName(tops.filter(F.col("n") > FEW).select(*by, "head.uid", "head.first")))
-    asked = written(asked)
-    reached = asked.join(open_, (asked["part"] == open_["part"]) & (asked["value"] == open_["value"]) & (F.col("q") != F.col("uid")) & alike("q_first", "first")).select(*ordered("q", "uid"))
-    pairs = written(written(equal).unionByName(written(crowded)).unionByName(written(reached)).distinct())
-    of = distinct.select("uid", "wide")
-    both_ends = pairs.join(of.select(F.col("uid").alias("a"), F.col("wide").alias("x")), "a").join(of.select(F.col("uid").alias("b"), F.col("wide").alias("y")), "b")
-    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
-    return written(both_ends.filter(differ <= int(SCREEN * width)).select("a", "b"))
+    headed = values.join(tops.filter("n > 1").select(*by, "head"), by).filter(F.col("uid") != F.col("head.uid")).filter(alike("first", "head.first"))
+    first_links = _verified(screened(headed.select(*ordered("uid", F.col("head.uid")))), docs)
+    labels = components(first_links).select(F.col("node").alias("uid"), F.col("component").alias("group"))
+    grouped = lambda table, key: table.join(few_or_shuffled(labels.withColumnRenamed("uid", key)), key, "left").withColumn("group", F.coalesce("group", key))
+    known = written(grouped(values, "uid"))
+    few = written(known.join(tops.filter((F.col("n") > 1) & (F.col("n") <= ALL_PAIRS)).select(*by), by))
+    other = few.select(*by, F.col("uid").alias("b"), F.col("first").alias("b_first"), F.col("group").alias("b_group"))
+    equal = few.join(other, (few["part"] == other["part"]) & (few["value"] == other["value"]) & (F.col("uid") < F.col("b")) & (F.col("group") != F.col("b_group")) & alike("first", "b_first")).select(*ordered("uid", "b"))
+    crowd = written(known.join(tops.filter(F.col("n") > ALL_PAIRS).select(*by), by).withColumn("at", F.xxhash64("part", "uid")))
+    last = F.lag(F.struct("uid", "first", "group")).over(W.partitionBy(*by).orderBy("at", "uid"))
+    crowded = crowd.withColumn("last", last).filter(F.col("last").isNotNull() & (F.col("group") != F.col("last.group")) & alike("first", "last.first")).select(*ordered("uid", F.col("last.uid")))
+    asked = written(grouped(sized.mapInPandas(probes, "part int, value long, q long, q_first long"), "q").withColumnRenamed("group", "q_group"))
+    scarce = known.join(tops.filter(F.col("n") <= FEW).select(*by), by).select(*by, "uid", "first", "group")
+    heads = grouped(tops.filter(F.col("n") > FEW).select(*by, "head.uid", "head.first"), "uid").select(*by, "uid", "first", "group")
+    open_ = written(scarce.unionByName(heads))
+    reached = asked.join(open_, (asked["part"] == open_["part"]) & (asked["value"] == open_["value"]) & (F.col("q_group") != F.col("group")) & alike("q_first", "first")).select(*ordered("q", "uid"))
+    rest = _verified(screened(written(equal).unionByName(written(crowded)).unionByName(written(reached))), docs)
+    return first_links.unionByName(rest)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -466,7 +476,7 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text")
     prints = written(_prints(docs))
     classes = prints.groupBy("digest").agg(F.min("uid").alias("uid"), F.first("wide").alias("wide"))
     distinct = written(classes.select("uid", "digest", "wide"))
-    links = _verified(_candidates(distinct), docs)
+    links = _links(distinct, docs)
     labels = components(links).withColumnRenamed("node", "uid")
     named = distinct.select("uid", "digest").join(labels, "uid", "left").select("digest", F.coalesce("component", "uid").alias("component"))
     member = prints.select("uid", "digest").join(named, "digest").select("uid", "component")
