@@ -25,7 +25,6 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,32 +241,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 # -- near copies at a Jaccard similarity -------------------------------------
 #
-# Two texts whose word shingles have Jaccard similarity 0.8 differ in some
-# tenth of the bits of a SimHash, far more than 2 of 64.  Longer fingerprints
-# keep the search selective: the same pigeonhole search over parts of WIDE * 64
-# bits proposes pairs, fingerprints screen them, and exact Jaccard similarity of
-# the texts' shingles decides.  Parts widen with the logarithm of the corpus, so
-# that pairs met by chance stay in proportion to it.
+# Texts whose word shingles have Jaccard similarity 0.8 may differ in 15 % of the
+# bits of a SimHash, too many for parts of its bits to meet.  A MinHash agrees
+# with the probability of the similarity itself, whatever the edits are and
+# however large the corpus is: BANDS bands of ROWS propose pairs, the MinHashes'
+# bytes screen them, and exact Jaccard similarity of the shingles decides.
 #
 # Groups are wanted, not pairs.  First each document is paired with one head of
-# every value it has, drawn anew for every part: at most a pair for each part.
-# What these pairs, verified, do not connect is then paired in full; documents
-# that are connected already are not compared again.
-
-WIDE = 8
-WIDE_PARTS = 24
-#: Thresholds of all parts sum to this: complete up to parts + SPARE - 1 differing bits; at a tenth of all bits some 98 % are found.
-SPARE = 2
-#: Share of differing bits from which a pair is not looked at, and bits of the first 64 that a pair may differ in to be looked at.
-SCREEN, FIRST_SCREEN = 0.2, 20
-#: Under a value, documents that are all paired up, and documents that a probe from another value is paired with.
-ALL_PAIRS, FEW = 8, 4
+# every band value it has, drawn anew for every band.  What these pairs,
+# verified, do not connect is then paired in full; documents that are connected
+# already are not compared again.
+
+#: A pair at similarity 0.8 meets in some band with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.992.
+BANDS, ROWS = 16, 6
+#: Share of equal MinHashes from which a pair is looked at: 3.4 standard deviations under the similarity.
+SCREEN = 0.66
+#: Under a value, documents that are all paired up.
+ALL_PAIRS = 8
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Documents in one comparison task.
 TOGETHER = 2000
-#: Tasks that count bits.
-STATISTICS_TASKS = 24
+_SALT, _FACTOR = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)[:, :, None] * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -275,17 +270,6 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def wide_fingerprint(own: list[bytes], words: int = 3) -> np.ndarray:
-    """WIDE 64-bit words of SimHash of a word list's shingles."""
-    shingles = map(b" ".join, zip(*[own[i:] for i in range(words)])) if len(own) >= words else [b" ".join(own)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
-    out = np.zeros(WIDE, np.uint64)
-    for k in range(WIDE):
-        counts = bit_counts(_mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))))
-        out[k] = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
-    return out
-
-
 def shingle_set(text: str, words: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles (fewer words: the whole sequence)."""
     own = text.encode().translate(LOWER).split()
@@ -298,112 +282,91 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def min_hashes(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Values of the BANDS of a shingle set, and a byte of each MinHash."""
+    h, least = shingles.view(np.uint64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(h), 4096):
+        least = np.minimum(least, ((h[k : k + 4096] ^ _SALT) * _FACTOR).min(1))
+    rows, value = _mixed(least).reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        value = _mixed(value * np.uint64(1_000_003) + rows[:, r])
+    return value.view(np.int64), (rows & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def _prints(df: DataFrame) -> DataFrame:
-    """(``uid``, ``digest``, ``wide``) of (``uid``, ``text``): digest of the words, fingerprint words as longs."""
-    schema = "uid long, digest binary, wide array<long>"
+    """(``uid``, ``digest``, ``bands``, ``least``) of (``uid``, ``text``): digest of the words, and ``min_hashes``."""
+    schema = "uid long, digest binary, bands array<long>, least binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                digests, wide = [], []
-                for t in texts:
-                    own = t.encode().translate(LOWER).split()
-                    digests.append(xxhash.xxh3_128_digest(b" ".join(own)))
-                    wide.append(wide_fingerprint(own).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(digests, pa.binary()), pa.array(wide, pa.list_(pa.int64()))], names=["uid", "digest", "wide"])
+                digests = [xxhash.xxh3_128_digest(b" ".join(t.encode().translate(LOWER).split())) for t in texts]
+                bands, least = zip(*[min_hashes(shingle_set(t)) for t in texts], strict=True) if texts else ((), ())
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(least, pa.binary())], names=["uid", "digest", "bands", "least"])
 
     return df.mapInArrow(run, schema)
 
 
-def _links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified pairs (``a``, ``b``) of ``uid`` that connect the near copies among ``distinct``."""
-    width = 64 * WIDE
-    unpack = lambda col: np.unpackbits(np.stack(col).astype(np.int64).view(np.uint8), axis=1, bitorder="little")
+def _unpacked(least: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(least), np.uint8).reshape(len(least), BANDS * ROWS)
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, both = 0, np.zeros((width, width))
-        for pdf in batches:
-            b = unpack(pdf["wide"]).astype(np.float32)
-            n, both = n + len(b), both + b.T @ b
-        i, j = np.triu_indices(width)
-        yield pd.DataFrame({"i": np.append(-1, i).astype(np.int32), "j": np.append(-1, j).astype(np.int32), "s": np.append(float(n), both[i, j])})
-
-    # each task reports on all pairs of bits, so a fixed number of tasks reads all fingerprints
-    total = distinct.select("wide").repartition(STATISTICS_TASKS).mapInPandas(sums, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
-    n = int(total.loc[total["i"] < 0, "s"].sum())
-    pairs = total[total["i"] >= 0]
-    both = np.zeros((width, width))
-    both[pairs["i"], pairs["j"]] = pairs["s"]
-    both = np.maximum(both, both.T) / max(n, 1)
-    rate = np.diag(both).copy()
-    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
-    parts = int(np.clip(width // (np.ceil(np.log2(n + 1)) + 3), 8, WIDE_PARTS))
-    groups = partition_bits((both - np.outer(rate, rate)) / np.outer(spread, spread), parts)
 
-    def value_of(bits: np.ndarray, g: list[int]) -> np.ndarray:
-        return bits[:, g].astype(np.int64) @ (np.int64(1) << np.arange(len(g), dtype=np.int64))
+def _paired(members: DataFrame) -> DataFrame:
+    """Distinct pairs (``a``, ``b``) of a value's members that are in different groups and pass the screen.
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            bits, uid, first = unpack(pdf["wide"]), pdf["uid"].to_numpy(), np.stack(pdf["wide"])[:, 0] if len(pdf) else []
-            for i, g in enumerate(groups):
-                yield pd.DataFrame({"part": np.int32(i), "value": value_of(bits, g), "uid": uid, "first": first})
+    ``members``: (``band``, ``uid``, ``group``, ``least``).  A value's members meet in one task.
+    """
 
-    values = written(distinct.mapInPandas(index, "part int, value long, uid long, first long"))
-    drawn = F.struct(F.xxhash64("part", "uid").alias("at"), F.col("uid"))
-    tops = written(values.groupBy("part", "value").agg(F.count("*").alias("n"), F.min_by(F.struct("uid", "first"), drawn).alias("head")))
-    shared = values.join(tops.filter("n > 1"), ["part", "value"])
-    common = shared.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("n"))  # an entry for each part at most
-    sized = distinct.join(written(common), "uid", "left").select("uid", "wide", F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.coalesce(F.try_element_at("n", i), F.lit(1))).alias("n"))
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        uid, group, least = pdf["uid"].to_numpy(), pdf["group"].to_numpy(), _unpacked(pdf["least"])
+        found = []
+        for i in range(len(uid) - 1):
+            other = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+            other = other[(least[other] == least[i]).mean(1) >= SCREEN]
+            found.append(np.stack([np.minimum(uid[other], uid[i]), np.maximum(uid[other], uid[i])], 1))
+        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
-    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["band"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for pdf in batches:
             if not len(pdf):
                 continue
-            bits, uid, first = unpack(pdf["wide"]), pdf["uid"].to_numpy(), np.stack(pdf["wide"])[:, 0]
-            own = np.stack(pdf["n"]).astype(float) - 1
-            p = np.where(bits == 1, rate, 1 - rate).clip(1e-6, 1 - 1e-6)
-            cost = np.zeros((len(uid), parts, 3))
-            for i, g in enumerate(groups):
-                near = n * np.exp(np.log(p[:, g]).sum(1)) * ((1 - p[:, g]) / p[:, g]).sum(1)
-                cost[:, i, 1] = own[:, i] + PROBE_COST
-                cost[:, i, 2] = own[:, i] + near + PROBE_COST * (1 + len(g))
-            chosen = allocations(cost, SPARE)
-            for i, g in enumerate(groups):
-                at = np.flatnonzero(chosen[:, i] >= 1)
-                if len(at):
-                    value = value_of(bits[at], g)
-                    for place in range(len(g)):
-                        yield pd.DataFrame({"part": np.int32(i), "value": value ^ (np.int64(1) << np.int64(place)), "q": uid[at], "q_first": first[at]})
-
-    alike = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= FIRST_SCREEN
-    ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    by = ["part", "value"]
-    def screened(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose fingerprints differ in few enough bits."""
-        of = distinct.select("uid", "wide")
-        ends = written(pairs.distinct()).join(of.select(F.col("uid").alias("a"), F.col("wide").alias("x")), "a").join(of.select(F.col("uid").alias("b"), F.col("wide").alias("y")), "b")
-        differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
-        return written(ends.filter(differ <= int(SCREEN * width)).select("a", "b"))
-
-    # documents of one value meet whichever of the two has a threshold of 0 or more there
-    headed = values.join(tops.filter("n > 1").select(*by, "head"), by).filter(F.col("uid") != F.col("head.uid")).filter(alike("first", "head.first"))
-    first_links = _verified(screened(headed.select(*ordered("uid", F.col("head.uid")))), docs)
+            keys = pdf[names].to_numpy()
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(pdf)]
+            if held and (held[0][names].to_numpy()[0] != keys[0]).any():
+                yield compare(pd.concat(held))
+                held = []
+            for a, b in zip(starts[:-2], starts[1:-1], strict=True):
+                yield compare(pd.concat([*held, pdf.iloc[a:b]]))
+                held = []
+            held.append(pdf.iloc[starts[-2] :])
+        if held:
+            yield compare(pd.concat(held))
+
+    return members.repartition(*names).sortWithinPartitions(*names, "uid").mapInPandas(run, "a long, b long").distinct()
+
+
+def _links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified pairs (``a``, ``b``) of ``uid`` that connect the near copies among ``distinct``."""
+    values = written(distinct.select("uid", F.explode("bands").alias("band")))
+    tops = written(values.groupBy("band").agg(F.count("*").alias("n"), F.min_by("uid", F.xxhash64("band", "uid")).alias("head")).filter("n > 1"))
+    least = distinct.select("uid", "least")
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.loc[(_unpacked(pdf["x"]) == _unpacked(pdf["y"])).mean(1) >= SCREEN, ["a", "b"]] if len(pdf) else pdf[["a", "b"]]
+
+    headed = values.join(tops, "band").filter("uid <> head").select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b")).distinct()
+    ends = written(headed).join(least.select(F.col("uid").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("uid").alias("b"), F.col("least").alias("y")), "b")
+    tried = written(ends.mapInPandas(alike, "a long, b long"))
+    first_links = _verified(tried, docs)
     labels = components(first_links).select(F.col("node").alias("uid"), F.col("component").alias("group"))
-    grouped = lambda table, key: table.join(few_or_shuffled(labels.withColumnRenamed("uid", key)), key, "left").withColumn("group", F.coalesce("group", key))
-    known = written(grouped(values, "uid"))
-    few = written(known.join(tops.filter((F.col("n") > 1) & (F.col("n") <= ALL_PAIRS)).select(*by), by))
-    other = few.select(*by, F.col("uid").alias("b"), F.col("first").alias("b_first"), F.col("group").alias("b_group"))
-    equal = few.join(other, (few["part"] == other["part"]) & (few["value"] == other["value"]) & (F.col("uid") < F.col("b")) & (F.col("group") != F.col("b_group")) & alike("first", "b_first")).select(*ordered("uid", "b"))
-    crowd = written(known.join(tops.filter(F.col("n") > ALL_PAIRS).select(*by), by).withColumn("at", F.xxhash64("part", "uid")))
-    last = F.lag(F.struct("uid", "first", "group")).over(W.partitionBy(*by).orderBy("at", "uid"))
-    crowded = crowd.withColumn("last", last).filter(F.col("last").isNotNull() & (F.col("group") != F.col("last.group")) & alike("first", "last.first")).select(*ordered("uid", F.col("last.uid")))
-    asked = written(grouped(sized.mapInPandas(probes, "part int, value long, q long, q_first long"), "q").withColumnRenamed("group", "q_group"))
-    scarce = known.join(tops.filter(F.col("n") <= FEW).select(*by), by).select(*by, "uid", "first", "group")
-    heads = grouped(tops.filter(F.col("n") > FEW).select(*by, "head.uid", "head.first"), "uid").select(*by, "uid", "first", "group")
-    open_ = written(scarce.unionByName(heads))
-    reached = asked.join(open_, (asked["part"] == open_["part"]) & (asked["value"] == open_["value"]) & (F.col("q_group") != F.col("group")) & alike("q_first", "first")).select(*ordered("q", "uid"))
-    rest = _verified(screened(written(equal).unionByName(written(crowded)).unionByName(written(reached))), docs)
+    known = written(values.join(tops.filter("n > 2").select("band", "n"), "band").join(few_or_shuffled(labels), "uid", "left").withColumn("group", F.coalesce("group", "uid")))
+    apart = known.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("band")
+    members = known.join(apart, "band").filter(F.col("n") <= ALL_PAIRS).join(least, "uid").select("band", "uid", "group", "least")
+    rest = _verified(written(_paired(members).join(tried, ["a", "b"], "left_anti")), docs)
     return first_links.unionByName(rest)
 
 
@@ -474,8 +437,8 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text")
     rows = written(df.withColumn(uid, F.monotonically_increasing_id()))
     docs = rows.select(F.col(uid).alias("uid"), quoted(text).cast("string").alias("text"))
     prints = written(_prints(docs))
-    classes = prints.groupBy("digest").agg(F.min("uid").alias("uid"), F.first("wide").alias("wide"))
-    distinct = written(classes.select("uid", "digest", "wide"))
+    classes = prints.groupBy("digest").agg(F.min("uid").alias("uid"), F.first("bands").alias("bands"), F.first("least").alias("least"))
+    distinct = written(classes.select("uid", "digest", "bands", "least"))
     links = _links(distinct, docs)
     labels = components(links).withColumnRenamed("node", "uid")
     named = distinct.select("uid", "digest").join(labels, "uid", "left").select("digest", F.coalesce("component", "uid").alias("component"))

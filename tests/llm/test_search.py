@@ -203,3 +203,27 @@ def test_query_of_shards(spark, odd_docs, tmp_path):
     expected = sorted((str(r["doc_id"]), len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in odd_docs.collect())
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == expected
     assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+
+
+def test_near_copies_at_the_threshold_meet_in_a_band(spark):
+    from tests.llm.conftest import prose
+
+    rng = random.Random(12)
+    rows, pairs = [], 0
+    for k in range(400):
+        words = prose(300, 50_000 + k).split()
+        other = list(words)
+        if k % 3 == 0:  # appended text
+            other += prose(rng.randint(60, 74), 60_000 + k).split()
+        elif k % 3 == 1:  # a replaced block
+            other[100 : 100 + 27] = prose(27, 60_000 + k).split()
+        else:
+            for i in rng.sample(range(300), 6):
+                other[i] = f"zz{rng.randrange(10**6)}"
+        pair = " ".join(words), " ".join(other)
+        if 0.8 <= simhash.jaccard(*map(simhash.shingle_set, pair)) < 0.87:
+            rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+            pairs += 1
+    assert pairs > 200
+    kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert 2 * pairs - kept >= 0.98 * pairs
