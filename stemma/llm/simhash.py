@@ -256,8 +256,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 BANDS, ROWS = 16, 6
 #: Share of equal MinHashes from which a pair is looked at: 3.4 standard deviations under the similarity.
 SCREEN = 0.66
-#: Under a value, documents that are all paired up.
-ALL_PAIRS = 8
+#: Members of a value that are compared in one task; more are compared tile by tile.
+TILE = 2048
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Documents in one comparison task.
@@ -314,19 +314,24 @@ def _unpacked(least: pd.Series) -> np.ndarray:
 def _paired(members: DataFrame) -> DataFrame:
     """Distinct pairs (``a``, ``b``) of a value's members that are in different groups and pass the screen.
 
-    ``members``: (``band``, ``uid``, ``group``, ``least``).  A value's members meet in one task.
+    ``members``: (``band``, ``n``, ``uid``, ``group``, ``least``).  Members of two tiles
+    of a value meet in one task, so that no pair is left out, however crowded a value is.
     """
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    own = members.withColumn("own", F.pmod(F.xxhash64("uid"), tiles).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "group", "least")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        uid, group, least = pdf["uid"].to_numpy(), pdf["group"].to_numpy(), _unpacked(pdf["least"])
+        uid, group, tile, least = pdf["uid"].to_numpy(), pdf["group"].to_numpy(), pdf["own"].to_numpy(), _unpacked(pdf["least"])
+        within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         found = []
         for i in range(len(uid) - 1):
-            other = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+            other = np.flatnonzero((group[i + 1 :] != group[i]) & (within | (tile[i + 1 :] != tile[i]))) + i + 1
             other = other[(least[other] == least[i]).mean(1) >= SCREEN]
             found.append(np.stack([np.minimum(uid[other], uid[i]), np.maximum(uid[other], uid[i])], 1))
         return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
-    names = ["band"]
+    names = ["band", "i", "j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -345,7 +350,7 @@ def _paired(members: DataFrame) -> DataFrame:
         if held:
             yield compare(pd.concat(held))
 
-    return members.repartition(*names).sortWithinPartitions(*names, "uid").mapInPandas(run, "a long, b long").distinct()
+    return dealt.repartition(*names).sortWithinPartitions(*names, "uid").mapInPandas(run, "a long, b long").distinct()
 
 
 def _links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
@@ -365,7 +370,7 @@ def _links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     labels = components(first_links).select(F.col("node").alias("uid"), F.col("component").alias("group"))
     known = written(values.join(tops.filter("n > 2").select("band", "n"), "band").join(few_or_shuffled(labels), "uid", "left").withColumn("group", F.coalesce("group", "uid")))
     apart = known.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("band")
-    members = known.join(apart, "band").filter(F.col("n") <= ALL_PAIRS).join(least, "uid").select("band", "uid", "group", "least")
+    members = known.join(apart, "band").join(least, "uid").select("band", "n", "uid", "group", "least")
     rest = _verified(written(_paired(members).join(tried, ["a", "b"], "left_anti")), docs)
     return first_links.unionByName(rest)
 

@@ -227,3 +227,22 @@ def test_near_copies_at_the_threshold_meet_in_a_band(spark):
     assert pairs > 200
     kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count()
     assert 2 * pairs - kept >= 0.98 * pairs
+
+
+def test_near_copies_in_a_family_below_the_threshold(spark, monkeypatch):
+    from tests.llm.conftest import prose
+
+    monkeypatch.setattr(simhash, "TILE", 40)
+    rng, template = random.Random(13), prose(200, 70_000).split()
+    rows = []
+    for k in range(150):
+        words = list(template)
+        words[60:80] = prose(20, 71_000 + k).split()  # the family is alike below the threshold
+        copy = list(words)
+        for i in rng.sample(range(90, 190, 6), 4):
+            copy[i] = f"zz{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    sets = [simhash.shingle_set(t) for _, t in rows]
+    assert max(simhash.jaccard(sets[0], s) for s in sets[2:]) < 0.8 <= min(simhash.jaccard(sets[2 * k], sets[2 * k + 1]) for k in range(150))
+    kept = sorted(r["doc_id"] for r in simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(kept) <= 153 and set(range(0, 300, 2)) <= set(kept)
