@@ -175,3 +175,24 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert sum(bool(windows(t) & windows(passage)) for t in seen[3].values()) == 1
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(seen[3])
+
+
+def test_passages_inside_sentences_and_edited_paragraphs_go(spark):
+    rng = random.Random(21)
+    bare = lambda n, seed: prose(n, seed).replace(".", "").lower()
+    rows, passage = [], {}
+    for k in range(60):  # 51 to 80 words in the middle of a sentence, or of text without sentences
+        passage[k] = bare(rng.randint(51, 80), 3000 + k)
+        side = bare if k % 2 else lambda n, seed: prose(n, seed)[:-1]
+        rows += [(2 * k, f"{side(30, 4000 + k)} {passage[k]} {bare(7, 4500 + k)}. {prose(20, 4700 + k)}"), (2 * k + 1, f"{side(41, 5000 + k)} {passage[k]} {side(23, 5500 + k)}")]
+    for k in range(20):  # a paragraph with one word changed
+        words = prose(60, 6000 + k).split()
+        rows.append((1000 + 2 * k, f"{prose(30, 6100 + k)}\n{' '.join(words)}\n{prose(30, 6200 + k)}"))
+        words[rng.randrange(60)] = "changed"
+        rows.append((1001 + 2 * k, f"{prose(30, 6300 + k)}\n{' '.join(words)}\n{prose(30, 6400 + k)}"))
+    got = {r["doc_id"]: r for r in passages.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert all(got[i]["text"] == texts[i] for i in texts if i % 2 == 0)
+    exact = [got[2 * k + 1]["text"] == texts[2 * k + 1].replace(passage[k] + " ", "") for k in range(60)]
+    assert np.mean(exact) > 0.95
+    assert sum(got[1001 + 2 * k]["removed_words"] == 60 for k in range(20)) >= 19
