@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +33,8 @@ from stemma.llm.toxicity import folded, grams
 
 #: Labelled texts to learn from, of each language at most.
 SAMPLE = 400
-#: Languages at most, the most frequent ones.
-LANGUAGES = 32
+#: Languages whose samples the driver holds at once.
+TOGETHER = 32
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 SMOOTHING = 0.1
@@ -44,7 +45,8 @@ EVIDENCE_STRENGTH = 20.0
 #: Accepted from this posterior.
 CONFIDENT = 0.5
 UNKNOWN = "und"
-CACHE_WORDS = 150_000
+#: Likelihoods of words that are remembered, and that are worked out at once with their n-grams.
+CACHE_CELLS, LEARN_CELLS = 750_000, 40_000
 HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
 
@@ -67,40 +69,42 @@ class TextModel:
 
     def likelihoods(self, texts: list[str]) -> np.ndarray:
         split = [t.split() for t in texts]
-        if len(self._place) > CACHE_WORDS:
+        if self._rows.size > CACHE_CELLS:
             self._place.clear()
             self._rows = self._rows[:0]
         missing = list({w for words in split for w in words if w not in self._place})
-        for k in range(0, len(missing), 8_000):
-            self._learn(missing[k : k + 8_000])
+        at_once = max(1, LEARN_CELLS // self.table.shape[1])
+        for k in range(0, len(missing), at_once):
+            self._learn(missing[k : k + at_once])
         get = self._place.__getitem__
         return np.stack([self._rows[np.fromiter(map(get, words), np.int64, len(words))].sum(0, dtype=float) if words else np.zeros(self.table.shape[1]) for words in split])
 
 
-def train(texts: list[str], languages: list[str]) -> TextModel:
-    """n-gram models of the languages that label texts."""
-    names = sorted(set(languages))
+def train(samples: Iterable[tuple[str, str]], names: list[str]) -> TextModel:
+    """n-gram models of the languages ``names`` from (text, language)."""
+    place = {name: i for i, name in enumerate(names)}
     table = np.full((BUCKETS, len(names) + 1), SMOOTHING)
-    for text, language in zip(texts, languages, strict=True):
+    for text, language in samples:
         words = [w for w in map(folded, text.split()) if any(c.isalpha() for c in w)]
         if words:
-            table[:, names.index(language)] += np.bincount(grams(words, BUCKETS, GRAMS)[0], minlength=BUCKETS)
+            table[:, place[language]] += np.bincount(grams(words, BUCKETS, GRAMS)[0], minlength=BUCKETS)
     table /= table.sum(0)
-    return TextModel(names, np.log(table).astype(np.float32))
+    return TextModel(names, np.log(table, out=table).astype(np.float32))
 
 
 def learn(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> TextModel:
-    """A model from at most ``sample`` rows of each of the most frequent languages, those with the least hash of their key."""
+    """A model of every language that labels rows, from at most ``sample`` rows of each, those with the least hash of their key."""
     rows = labelled.select(quoted(key).alias("k"), F.lower(quoted(language).cast("string")).alias("l"), quoted(text).cast("string").alias("t")).filter("l IS NOT NULL AND l <> '' AND t IS NOT NULL")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
-    chosen = None
-    for r in counts:
-        few = rows.filter((F.col("l") == r["l"]) & F.col("k").isNotNull()).select("k", "l").orderBy(F.xxhash64("k"), "k").limit(sample)
-        chosen = few if chosen is None else chosen.unionByName(few)
-    if chosen is not None:  # keys first, so that no task gathers texts: LANGUAGES samples of keys at most
-        chosen = rows.join(F.broadcast(chosen.distinct()), ["k", "l"]).orderBy(F.xxhash64("k"), "k", "t")
-    own = chosen.toPandas() if chosen is not None else None
-    return train([], []) if own is None else train(own["t"].tolist(), own["l"].tolist())
+    names = sorted(r["l"] for r in rows.filter("k IS NOT NULL").select("l").distinct().collect())
+    rank = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
+    keys = written(rows.filter("k IS NOT NULL").select("k", "l").withColumn("rank", rank).filter(F.col("rank") <= sample).select("k", "l").distinct()) if names else None
+
+    def samples() -> Iterator[tuple[str, str]]:
+        for i in range(0, len(names), TOGETHER):  # keys first, so that no task gathers texts
+            own = rows.join(F.broadcast(keys.filter(F.col("l").isin(names[i : i + TOGETHER]))), ["k", "l"]).orderBy(F.xxhash64("k"), "k", "t").toPandas()
+            yield from zip(own["t"], own["l"], strict=True)
+
+    return train(samples(), names)
 
 
 def declared_in(html: Column) -> Column:

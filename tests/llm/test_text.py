@@ -196,3 +196,16 @@ def test_passages_inside_sentences_and_edited_paragraphs_go(spark):
     exact = [got[2 * k + 1]["text"] == texts[2 * k + 1].replace(passage[k] + " ", "") for k in range(60)]
     assert np.mean(exact) > 0.95
     assert sum(got[1001 + 2 * k]["removed_words"] == 60 for k in range(20)) >= 19
+
+
+def test_every_labelled_language_is_known(spark):
+    rng = random.Random(33)
+    rows = []
+    for k in range(40):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=30)), f"l{k:02d}", "s", None) for i in range(4 if k else 12)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.learn(docs)
+    assert len(model.languages) == 40
+    got = langid.identify(docs, model, declared=F.col("lang"), host=F.col("source")).collect()
+    assert all(r["accepted"] and r["language"] == r["lang"] for r in got)
