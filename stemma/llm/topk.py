@@ -40,8 +40,8 @@ def finite(vector: Column) -> Column:
 
 
 def integers(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, as doubles that hold integers."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    """floor(scale * x) of each component, as doubles that hold integers; null for one that is NaN or infinite."""
+    return F.transform(vector, lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.floor(x.cast("double") * scale).cast("double")))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

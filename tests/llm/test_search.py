@@ -246,3 +246,12 @@ def test_near_copies_in_a_family_below_the_threshold(spark, monkeypatch):
     assert max(simhash.jaccard(sets[0], s) for s in sets[2:]) < 0.8 <= min(simhash.jaccard(sets[2 * k], sets[2 * k + 1]) for k in range(150))
     kept = sorted(r["doc_id"] for r in simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert len(kept) <= 153 and set(range(0, 300, 2)) <= set(kept)
+
+
+def test_top_k_query_leaves_non_finite_vectors_out(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (1, [0.5, -0.25]), (2, [-3.0, 1.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [-inf, 1.0]), (50, [nan, nan]), (100, [1.0, inf]), (150, [-1.0, -1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in queries.op7_top_k(spark, str(tmp_path)).collect())
+    unit = 256 * 256
+    assert got == [(0, 1, 1, 0), (0, 2, 2, -unit), (0, 3, 150, -3 * unit), (150, 1, 2, 2 * unit), (150, 2, 1, -unit // 4), (150, 3, 0, -3 * unit)]
