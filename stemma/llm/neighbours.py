@@ -5,10 +5,14 @@ hyperplane buckets, then neighbours of neighbours are compared and lists keep
 the most similar, until a round adds hardly any.  Only neighbours within the
 graph's FLOOR are kept, so lists are short where nothing is similar.
 
-A list that is full of links is saturated: its vector may have more.  Such lists
-are enlarged to the whole connected component of their vector, compared tile by
-tile, and only counts of links leave a tile.  Recall is audited against brute
-force for a bounded set of vectors; while it is too low, more buckets are added.
+A list that is full of links is saturated: its vector may have more.  Links that
+a bucket holds join components before lists are cut, and besides its nearest a
+vector keeps the nearest of other components, so that pockets of near-equal
+vectors go on looking for each other.  Saturated lists are enlarged to the whole
+connected component of their vector, compared tile by tile, and only counts of
+links leave a tile.  Recall is audited against brute force for a bounded set of
+vectors; while it is too low, more buckets are added, and at last all vectors of
+a label are compared tile by tile.
 """
 
 from __future__ import annotations
@@ -46,14 +50,30 @@ def unit_rows(vectors) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
+def _grouped(close: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric table of links the least row of its connected component."""
+    label = np.arange(len(close))
+    while True:
+        near = np.minimum(label, np.where(close, label, len(close)).min(1))
+        near = near[near]
+        if (near == label).all():
+            return label
+        label = near
+
+
 def _top(ids: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's most similar others within FLOOR."""
+    """Each row's most similar others within FLOOR, also among those it isn't connected with; with NaN, one it is connected with."""
     np.fill_diagonal(cosine, -2)
     k = min(NEIGHBOURS, len(ids) - 1)
-    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-    value = np.take_along_axis(cosine, near, 1)
-    r, c = np.nonzero(value >= FLOOR)
-    return ids[r], ids[near[r, c]], value[r, c]
+    label = _grouped(cosine >= SIMILARITY)
+    joined = np.flatnonzero(label != np.arange(len(ids)))
+    found = [(ids[joined], ids[label[joined]], np.full(len(joined), np.nan))]
+    for other in [cosine, np.where(label[:, None] == label[None, :], -2, cosine)] if len(joined) else [cosine]:
+        near = np.argpartition(-other, k - 1, axis=1)[:, :k]
+        value = np.take_along_axis(other, near, 1)
+        r, c = np.nonzero(value >= FLOOR)
+        found.append((ids[r], ids[near[r, c]], value[r, c]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _bucketed(classes: DataFrame, bits: int, seed: int) -> DataFrame:
@@ -101,11 +121,18 @@ def _bucketed(classes: DataFrame, bits: int, seed: int) -> DataFrame:
     return dealt.mapInPandas(paired, "c long, other long, cosine double")
 
 
-def _lists(edges: DataFrame) -> DataFrame:
-    """Both directions of all edges, each vector's NEIGHBOURS most similar."""
-    both = edges.unionByName(edges.select(F.col("other").alias("c"), F.col("c").alias("other"), "cosine")).groupBy("c", "other").agg(F.max("cosine").alias("cosine"))
-    rank = F.row_number().over(W.partitionBy("c").orderBy(F.desc("cosine"), "other"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= NEIGHBOURS).drop("rank")
+def _grouped_links(links: DataFrame) -> DataFrame:
+    """(``c``, ``component``) of the vectors that links (``c``, ``other``) connect."""
+    return written(components(links.select("c", "other"), "c", "other").withColumnRenamed("node", "c"))
+
+
+def _lists(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Both directions of all edges, each vector's NEIGHBOURS most similar in its component and as many in ``foreign`` ones."""
+    both = edges.select("c", "other", "cosine").unionByName(edges.select(F.col("other").alias("c"), F.col("c").alias("other"), "cosine")).groupBy("c", "other").agg(F.max("cosine").alias("cosine"))
+    placed = both.join(labels.withColumnRenamed("component", "own"), "c", "left").join(labels.select(F.col("c").alias("other"), F.col("component").alias("far")), "other", "left")
+    placed = placed.withColumn("foreign", F.coalesce("own", "c") != F.coalesce("far", "other"))
+    rank = F.row_number().over(W.partitionBy("c", "foreign").orderBy(F.desc("cosine"), "other"))
+    return placed.withColumn("rank", rank).filter(F.col("rank") <= NEIGHBOURS).select("c", "other", "cosine", "foreign")
 
 
 def _cosine(a: str, b: str) -> Column:
@@ -114,29 +141,35 @@ def _cosine(a: str, b: str) -> Column:
     return F.when(F.size(a) == F.size(b), dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))).otherwise(0.0)
 
 
-def _descended(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The lists after comparing neighbours of neighbours, round by round."""
-    lists = written(_lists(edges))
+def _descended(classes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists after comparing neighbours of neighbours, round by round, and all links (``c``, ``other``) seen."""
+    is_link = F.isnan("cosine") | (F.col("cosine") >= SIMILARITY)
+    links, known = edges.filter(is_link).select("c", "other"), edges.filter(~F.isnan("cosine"))
+    labels = _grouped_links(links)
+    lists = written(_lists(known, labels))
     vectors = classes.select("c", "v")
     for _ in range(ROUNDS):
-        full = lists.groupBy("c").agg((F.count_if(F.col("cosine") >= SIMILARITY) >= NEIGHBOURS).alias("full"))
-        open_ = lists.join(full.filter(~F.col("full")).select("c"), "c", "left_semi")  # saturated ones are enlarged later
+        full = lists.groupBy("c").agg((F.count_if(~F.col("foreign") & (F.col("cosine") >= SIMILARITY)) >= NEIGHBOURS).alias("full"))
+        open_ = lists.join(full, "c").filter(~F.col("full") | F.col("foreign"))  # in their component saturated ones are enlarged later
         far = lists.select(F.col("c").alias("other"), F.col("other").alias("beyond"))
-        pairs = open_.join(far, "other").filter("c <> beyond").select("c", F.col("beyond").alias("other")).distinct()
+        pairs = open_.join(far, "other").filter("c <> beyond").select("c", F.col("beyond").alias("other"), "full").distinct()
         pairs = pairs.join(lists.select("c", "other"), ["c", "other"], "left_anti")
+        placed = pairs.join(labels.withColumnRenamed("component", "own"), "c", "left").join(labels.select(F.col("c").alias("other"), F.col("component").alias("far")), "other", "left")
+        pairs = placed.filter(~F.col("full") | (F.coalesce("own", "c") != F.coalesce("far", "other"))).select("c", "other")
         scored = pairs.join(vectors, "c").join(vectors.select(F.col("c").alias("other"), F.col("v").alias("w")), "other")
         found = written(scored.select("c", "other", _cosine("v", "w").alias("cosine")).filter(F.col("cosine") >= FLOOR))
         if found.count() == 0:
             break
         before = lists
-        lists = written(_lists(before.unionByName(found)))
+        links = links.unionByName(found.filter(F.col("cosine") >= SIMILARITY).select("c", "other"))
+        lists = written(_lists(before.select("c", "other", "cosine").unionByName(found), labels))
         if lists.join(before, ["c", "other"], "left_anti").count() * 1000 < lists.count():
             break
-    return lists
+    return lists, links
 
 
-def _tiles(classes: DataFrame, members: DataFrame) -> DataFrame:
-    """(``c``, ``links``): weights of all others of a component within SIMILARITY, counted tile by tile."""
+def _tiles(classes: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``c``, ``links``): weights of all others of a component within SIMILARITY, counted tile by tile; and (``c``, ``other``) that connect them."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     own = classes.join(members, "c").join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
 
@@ -155,23 +188,39 @@ def _tiles(classes: DataFrame, members: DataFrame) -> DataFrame:
                 close[a_ids[:, None] == b_ids[None, :]] = False
                 yield pd.DataFrame({"c": a_ids, "links": close @ n})
 
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                ids = np.concatenate([np.frombuffer(r.a_ids, np.int64), np.frombuffer(r.ids, np.int64)])
+                a = len(r.a_ids) // 8
+                rows = np.concatenate([np.frombuffer(r.a_rows).reshape(a, -1), np.frombuffer(r.rows).reshape(len(ids) - a, -1)])
+                label = _grouped(rows @ rows.T >= SIMILARITY)
+                at = np.flatnonzero(ids != ids[label])
+                yield pd.DataFrame({"c": ids[at], "other": ids[label[at]]})
+
     pairs = left.join(tiles.drop("tiles"), ["component", "tile"])
-    return pairs.mapInPandas(counted, "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
+    return pairs.mapInPandas(counted, "c long, links long").groupBy("c").agg(F.sum("links").alias("links")), pairs.mapInPandas(joined, "c long, other long").distinct()
 
 
 def _linked(classes: DataFrame, edges: DataFrame) -> DataFrame:
     """(``c``, ``links``, ``component``) of all classes that have links, from the edges found."""
-    lists = _descended(classes, edges)
+    lists, links = _descended(classes, edges)
     close = lists.filter(F.col("cosine") >= SIMILARITY)
     both = written(close.select("c", "other").unionByName(close.select(F.col("other").alias("c"), F.col("c").alias("other"))).distinct())
-    labels = components(both, "c", "other").withColumnRenamed("node", "c")
+    labels = _grouped_links(links.unionByName(both))
     full = close.groupBy("c").count().filter(F.col("count") >= NEIGHBOURS).select("c")
     grown = written(labels.join(full, "c").select("component").distinct())
-    by_tiles = _tiles(classes, written(labels.join(grown, "component", "left_semi")))
+    by_tiles, _ = _tiles(classes, written(labels.join(grown, "component", "left_semi")))
     by_lists = both.join(labels.join(grown, "component", "left_anti"), "c").join(classes.select(F.col("c").alias("other"), "n"), "other").groupBy("c").agg(F.sum("n").alias("links"))
     return written(by_tiles.unionByName(by_lists).join(labels, "c"))
 
 
+def _exact(classes: DataFrame) -> DataFrame:
+    """What ``_linked`` gives, with all vectors of a label and length compared."""
+    counts, joined = _tiles(classes, classes.select("c", F.xxhash64("g", F.size("v")).alias("component")))
+    return written(counts.filter("links > 0").join(_grouped_links(written(joined)), "c"))
+
+
 def audited(classes: DataFrame, linked: DataFrame) -> float:
     """Links found by brute force for AUDIT vectors (those with the least hash) that ``linked`` counts, as a share."""
     sample = classes.orderBy(F.xxhash64("c", "v"), "c").limit(AUDIT // 2).unionByName(classes.join(linked.select("c"), "c", "left_semi").orderBy(F.xxhash64("c"), "c").limit(AUDIT // 2)).dropDuplicates(["c"])
@@ -223,6 +272,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         linked = _linked(classes, edges)
         if audited(classes, linked) >= RECALL:
             break
+    else:
+        linked = _exact(classes)
     named = classes.join(linked, "c", "left").withColumn("component", F.coalesce("component", "c"))
     named = written(named.select("l", "v", "n", "least", "component", F.coalesce("links", F.lit(0)).alias("links")))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))

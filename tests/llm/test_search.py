@@ -255,3 +255,39 @@ def test_top_k_query_leaves_non_finite_vectors_out(spark, tmp_path):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in queries.op7_top_k(spark, str(tmp_path)).collect())
     unit = 256 * 256
     assert got == [(0, 1, 1, 0), (0, 2, 2, -unit), (0, 3, 150, -3 * unit), (150, 1, 2, 2 * unit), (150, 2, 1, -unit // 4), (150, 3, 0, -3 * unit)]
+
+
+def pockets():
+    """Pockets of 24 near-equal vectors of one label, in a chain and apart; links between pockets are at 0.98 to 0.99."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for _ in range(12):
+        centre, side = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+        for step in range(4):
+            middle = np.cos(0.165 * step) * centre + np.sin(0.165 * step) * side
+            rows += [middle + rng.standard_normal(32) * 0.002 for _ in range(24)]
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    close = unit @ unit.T >= 0.98
+    np.fill_diagonal(close, False)
+    return unit, close, groups_of(list(zip(*np.nonzero(close), strict=True)), range(len(rows)))
+
+
+def test_pockets_of_near_equal_vectors_are_joined(spark):
+    unit, close, truth = pockets()
+    assert len(set(truth.values())) == 12 and close.sum(1).max() == 71
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(unit)], "vec_id long, embedding array<double>, label int")
+    got = neighbours.near_duplicates(table).collect()
+    assert {r["vec_id"]: r["component_id"] for r in got} == truth
+    assert {r["vec_id"]: r["n_links"] for r in got} == {i: int(n) for i, n in enumerate(close.sum(1))}
+
+
+def test_vectors_are_compared_whole_when_the_audit_fails(spark, monkeypatch):
+    unit, close, truth = pockets()
+    monkeypatch.setattr(neighbours, "TRIES", 1)
+    monkeypatch.setattr(neighbours, "TILE", 50)
+    monkeypatch.setattr(neighbours, "audited", lambda *_: 0.0)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(unit[::3])], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in neighbours.near_duplicates(table).collect()}
+    want = close[::3, ::3]
+    assert {i: r["n_links"] for i, r in got.items()} == {i: int(n) for i, n in enumerate(want.sum(1))}
+    assert {i: r["component_id"] for i, r in got.items()} == groups_of(list(zip(*np.nonzero(want), strict=True)), range(len(want)))
