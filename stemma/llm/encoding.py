@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from stemma.llm.bytebpe import loaded
-from stemma.llm.shared import quoted, with_replaced
+from stemma.llm.shared import quoted, unused, with_replaced
 
 #: Characters of text that are worked on at a time, a longer text alone.
 SLICE_CHARS = 2_000_000
@@ -45,13 +45,14 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", carry: list[str]
     empty table; the length of a text is not limited.
     """
     carry = [c for c in (with_replaced(df, ids, decoded) if carry is None else carry) if c not in (ids, decoded) and (carry is not None or c != text)]
-    source = df.select(*[quoted(c) for c in carry], quoted(text).cast("string").alias("__text"))
+    held = unused(df, "__text")
+    source = df.select(*[quoted(c) for c in carry], quoted(text).cast("string").alias(held))
     schema = T.StructType([*[source.schema[c] for c in carry], T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            for part, texts in text_slices(batch, "__text"):
+            for part, texts in text_slices(batch, held):
                 coded = bpe.encode(texts)
                 flat = np.frombuffer(b"".join(coded), "<i4")
                 ends = np.cumsum([0, *[len(x) // 4 for x in coded]]).astype(np.int32)

@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.llm.encoding import text_slices
-from stemma.llm.shared import few_or_shuffled, quoted, with_replaced, written
+from stemma.llm.shared import few_or_shuffled, quoted, sampled, with_replaced, written
 from stemma.llm.toxicity import folded, grams
 
 #: Labelled texts to learn from, of each language at most.
 SAMPLE = 400
+#: Characters of a language's sample from which no more texts are added.
+SAMPLE_CHARS = 4_000_000
 #: Languages whose samples the driver holds at once.
 TOGETHER = 32
 BUCKETS = 1 << 16
@@ -92,16 +94,17 @@ def train(samples: Iterable[tuple[str, str]], names: list[str]) -> TextModel:
     return TextModel(names, np.log(table, out=table).astype(np.float32))
 
 
-def learn(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> TextModel:
-    """A model of every language that labels rows, from at most ``sample`` rows of each, those with the least hash of their key."""
+def learn(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> TextModel:
+    """A model of every language that labels rows, from at most ``sample`` rows of each, those with the least hash of their key, while they have under ``chars`` characters."""
     rows = labelled.select(quoted(key).alias("k"), F.lower(quoted(language).cast("string")).alias("l"), quoted(text).cast("string").alias("t")).filter("l IS NOT NULL AND l <> '' AND t IS NOT NULL")
     names = sorted(r["l"] for r in rows.filter("k IS NOT NULL").select("l").distinct().collect())
-    rank = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    keys = written(rows.filter("k IS NOT NULL").select("k", "l").withColumn("rank", rank).filter(F.col("rank") <= sample).select("k", "l").distinct()) if names else None
+    keys = written(sampled(rows, "l", sample)) if names else None
 
     def samples() -> Iterator[tuple[str, str]]:
         for i in range(0, len(names), TOGETHER):  # keys first, so that no task gathers texts
-            own = rows.join(F.broadcast(keys.filter(F.col("l").isin(names[i : i + TOGETHER]))), ["k", "l"]).orderBy(F.xxhash64("k"), "k", "t").toPandas()
+            own = rows.join(F.broadcast(keys.filter(F.col("l").isin(names[i : i + TOGETHER]))), ["k", "l"])
+            before = F.sum(F.length("t")).over(W.partitionBy("l").orderBy(F.xxhash64("k"), "k", "t").rowsBetween(W.unboundedPreceding, -1))
+            own = own.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < chars).orderBy(F.xxhash64("k"), "k", "t").toPandas()
             yield from zip(own["t"], own["l"], strict=True)
 
     return train(samples(), names)
@@ -198,11 +201,12 @@ def identify(
     hosts = table_of(["__host", "__domain"]).filter("__host IS NOT NULL").groupBy("__host").agg(F.max("__domain").alias("__domain"), F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(k)]).alias("n"))
     domains = table_of(["__domain"]).filter("__domain IS NOT NULL").withColumn("p_domain", smoothed(F.col("n"), flat)).select("__domain", "p_domain")
     prior = hosts.join(domains, "__domain", "left").select("__host", F.transform(smoothed(F.col("n"), F.coalesce("p_domain", flat)), lambda p: F.log(p)).alias("__prior"))
-    joined = rows.join(few_or_shuffled(written(prior)), "__host", "left")
+    apart = F.concat(F.lit("\0"), F.monotonically_increasing_id())  # no rows meet for want of a host
+    joined = rows.withColumn("__host", F.coalesce("__host", apart)).join(few_or_shuffled(written(prior), F.lit(8 * k)), "__host", "left")
     zero = F.array(*[F.lit(0.0)] * k)
     for column in ("__declared", "__suffix"):
         seen = table_of([column]).filter(F.col(column).isNotNull()).select(column, likelihood(F.col("n")).alias(f"{column}_ll"))
-        joined = joined.join(few_or_shuffled(written(seen)), column, "left")
+        joined = joined.join(few_or_shuffled(written(seen), F.lit(8 * k)), column, "left")
     added = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     log_flat = F.array(*[F.lit(float(np.log(s))) for s in share])
     score = added(added(F.col("__text_ll"), F.coalesce("__prior", log_flat)), added(F.coalesce("__declared_ll", zero), F.coalesce("__suffix_ll", zero)))

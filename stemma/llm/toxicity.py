@@ -24,14 +24,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.llm.encoding import text_slices
-from stemma.llm.shared import quoted, with_replaced
+from stemma.llm.shared import quoted, sampled, unused, with_replaced
 
 #: Labelled documents to learn from, of each class at most.
 SAMPLE = 1500
+#: Characters of a class's sample from which no more documents are added.
+SAMPLE_CHARS = 32_000_000
 BUCKETS = 1 << 17
 DIM = 12
 GRAMS = (3, 4, 5, 6)
@@ -229,17 +232,18 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents of each class that aren't held out.
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """A model from at most ``sample`` labelled documents of each class that aren't held out, while they have under ``chars`` characters.
 
     Keys or labels that are null are no examples; a key labelled twice has its
     highest label; null texts are empty.
     """
     known = labels.select(quoted(key).alias("k"), quoted(label).cast("int").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("k").agg(F.max("y").alias("y")).filter(~held_out(F.col("k")))
-    few = [known.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample) for y in (0, 1)]
-    chosen = few[0].unionByName(few[1])  # at most two samples: small enough for every executor
+    chosen = sampled(known, "y", sample)  # at most two samples: small enough for every executor
     own = docs.select(quoted(key).alias("k"), quoted(text).cast("string").alias("text")).join(F.broadcast(chosen), "k")
+    before = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(W.partitionBy("y").orderBy(F.xxhash64("k"), "k", "text").rowsBetween(W.unboundedPreceding, -1))
+    own = own.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < chars)
     rows = own.orderBy(F.xxhash64("k"), "k", "text").toPandas()
     return train([t or "" for t in rows["text"]], rows["y"].tolist())
 
@@ -253,7 +257,8 @@ def score(df: DataFrame, model: Model, text: str = "text", score: str = "score",
     ``carry``: the input columns to return, all by default.
     """
     carry = with_replaced(df, score, predicted) if carry is None else carry
-    source = df.select(*[quoted(c) for c in carry], quoted(text).cast("string").alias("__text"))
+    held = unused(df, "__text")
+    source = df.select(*[quoted(c) for c in carry], quoted(text).cast("string").alias(held))
     schema = T.StructType([*[source.schema[c] for c in carry], T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
     shared = df.sparkSession.sparkContext.broadcast((model.weight, model.bias))
     name = uuid.uuid4().hex
@@ -264,7 +269,7 @@ def score(df: DataFrame, model: Model, text: str = "text", score: str = "score",
             _MODELS[name] = Model(*shared.value)
         own = _MODELS[name]
         for batch in batches:
-            for part, texts in text_slices(batch, "__text"):
+            for part, texts in text_slices(batch, held):
                 value = own.scores(texts)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(value), pa.array([int(v >= 0.5) for v in value], pa.int32())], names=[*carry, score, predicted])
 
