@@ -17,7 +17,7 @@ more rows than fingerprints times bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from stemma.llm.components import components
 from stemma.llm.encoding import text_slices
 from stemma.llm.shared import few_or_shuffled, quoted, written
+from stemma.llm.tiles import merged_groups
 
 BITS = 64
 THRESHOLD = 2
@@ -247,21 +248,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 # however large the corpus is: BANDS bands of ROWS propose pairs, the MinHashes'
 # bytes screen them, and exact Jaccard similarity of the shingles decides.
 #
-# Groups are wanted, not pairs.  First each document is paired with one head of
-# every band value it has, drawn anew for every band.  What these pairs,
-# verified, do not connect is then paired in full; documents that are connected
-# already are not compared again.
+# Groups are wanted, not pairs.  First each document is paired with one head: of
+# the heads of its crowded values, the one its MinHashes are most like.  A
+# value's head is the member that shares values with most others, so a text and
+# its copies form a star around it.  Documents of a value that the stars leave in
+# different groups are then compared in full, tile by tile, and pairs that are
+# connected by then are passed over.  Links between groups alone leave a tile.
 
 #: A pair at similarity 0.8 meets in some band with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.992.
 BANDS, ROWS = 16, 6
 #: Share of equal MinHashes from which a pair is looked at: 3.4 standard deviations under the similarity.
 SCREEN = 0.66
-#: Members of a value that are compared in one task; more are compared tile by tile.
-TILE = 2048
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Documents in one comparison task.
-TOGETHER = 2000
 _SALT, _FACTOR = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)[:, :, None] * np.uint64(2) + np.uint64(1)
 
 
@@ -294,138 +293,83 @@ def min_hashes(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def _prints(df: DataFrame) -> DataFrame:
-    """(``uid``, ``digest``, ``bands``, ``least``) of (``uid``, ``text``): digest of the words, and ``min_hashes``."""
-    schema = "uid long, digest binary, bands array<long>, least binary"
+    """(``uid``, ``digest``, ``size``, ``bands``, ``least``) of (``uid``, ``text``): digest of the words, shingles, and ``min_hashes``."""
+    schema = "uid long, digest binary, size long, bands array<long>, least binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
                 digests = [xxhash.xxh3_128_digest(b" ".join(t.encode().translate(LOWER).split())) for t in texts]
-                bands, least = zip(*[min_hashes(shingle_set(t)) for t in texts], strict=True) if texts else ((), ())
-                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(least, pa.binary())], names=["uid", "digest", "bands", "least"])
+                sets = [shingle_set(t) for t in texts]
+                bands, least = zip(*map(min_hashes, sets), strict=True) if sets else ((), ())
+                columns = [part.column("uid"), pa.array(digests, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(least, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "digest", "size", "bands", "least"])
 
     return df.mapInArrow(run, schema)
 
 
+def _shingled(df: DataFrame) -> DataFrame:
+    """(``uid``, ``shingles``) of (``uid``, ``text``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, own in text_slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([shingle_set(t) for t in own], pa.list_(pa.int64()))], names=["uid", "shingles"])
+
+    return df.mapInArrow(run, "uid long, shingles array<long>")
+
+
 def _unpacked(least: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(least), np.uint8).reshape(len(least), BANDS * ROWS)
 
 
-def _paired(members: DataFrame) -> DataFrame:
-    """Distinct pairs (``a``, ``b``) of a value's members that are in different groups and pass the screen.
-
-    ``members``: (``band``, ``n``, ``uid``, ``group``, ``least``).  Members of two tiles
-    of a value meet in one task, so that no pair is left out, however crowded a value is.
-    """
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = members.withColumn("own", F.pmod(F.xxhash64("uid"), tiles).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "group", "least")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        uid, group, tile, least = pdf["uid"].to_numpy(), pdf["group"].to_numpy(), pdf["own"].to_numpy(), _unpacked(pdf["least"])
-        within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        found = []
-        for i in range(len(uid) - 1):
-            other = np.flatnonzero((group[i + 1 :] != group[i]) & (within | (tile[i + 1 :] != tile[i]))) + i + 1
-            other = other[(least[other] == least[i]).mean(1) >= SCREEN]
-            found.append(np.stack([np.minimum(uid[other], uid[i]), np.maximum(uid[other], uid[i])], 1))
-        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
-
-    names = ["band", "i", "j"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            keys = pdf[names].to_numpy()
-            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(pdf)]
-            if held and (held[0][names].to_numpy()[0] != keys[0]).any():
-                yield compare(pd.concat(held))
-                held = []
-            for a, b in zip(starts[:-2], starts[1:-1], strict=True):
-                yield compare(pd.concat([*held, pdf.iloc[a:b]]))
-                held = []
-            held.append(pdf.iloc[starts[-2] :])
-        if held:
-            yield compare(pd.concat(held))
-
-    return dealt.repartition(*names).sortWithinPartitions(*names, "uid").mapInPandas(run, "a long, b long").distinct()
-
-
-def _links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified pairs (``a``, ``b``) of ``uid`` that connect the near copies among ``distinct``."""
-    values = written(distinct.select("uid", F.explode("bands").alias("band")))
-    tops = written(values.groupBy("band").agg(F.count("*").alias("n"), F.min_by("uid", F.xxhash64("band", "uid")).alias("head")).filter("n > 1"))
+def _stars(crowded: DataFrame, distinct: DataFrame, shingled: DataFrame) -> DataFrame:
+    """Verified pairs (``a``, ``b``): of each ``uid`` and the head that it is most like."""
+    crowd = crowded.groupBy("uid").agg(F.sum("n").alias("crowd"))
+    heads = crowded.join(crowd, "uid").groupBy("band").agg(F.max_by("uid", F.struct("crowd", -F.col("uid"))).alias("head"))
+    headed = written(crowded.join(heads, "band").filter("uid <> head").select("uid", "head").distinct())
     least = distinct.select("uid", "least")
+    ends = headed.join(least.withColumnRenamed("least", "x"), "uid").join(least.select(F.col("uid").alias("head"), F.col("least").alias("y")), "head")
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.loc[(_unpacked(pdf["x"]) == _unpacked(pdf["y"])).mean(1) >= SCREEN, ["a", "b"]] if len(pdf) else pdf[["a", "b"]]
-
-    headed = values.join(tops, "band").filter("uid <> head").select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b")).distinct()
-    ends = written(headed).join(least.select(F.col("uid").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("uid").alias("b"), F.col("least").alias("y")), "b")
-    tried = written(ends.mapInPandas(alike, "a long, b long"))
-    first_links = _verified(tried, docs)
-    labels = components(first_links).select(F.col("node").alias("uid"), F.col("component").alias("group"))
-    known = written(values.join(tops.filter("n > 2").select("band", "n"), "band").join(few_or_shuffled(labels), "uid", "left").withColumn("group", F.coalesce("group", "uid")))
-    apart = known.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("band")
-    members = known.join(apart, "band").join(least, "uid").select("band", "n", "uid", "group", "least")
-    rest = _verified(written(_paired(members).join(tried, ["a", "b"], "left_anti")), docs)
-    return first_links.unionByName(rest)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs with Jaccard similarity of at least SIMILARITY, as far as components need them.
-
-    Pairs of a candidate component meet in one task, which skips those already
-    connected; a component of more than TOGETHER documents is spread over all
-    tasks, pair by pair.
-    """
-    groups = components(pairs)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    nodes = groups.join(sizes, "component")
-    count = groups.count()
-    tasks = max(1, -(-count // TOGETHER))
-    nodes = written(nodes.withColumn("bin", F.when(F.col("size") <= TOGETHER, F.pmod(F.xxhash64("component"), F.lit(tasks)))))
-    placed = nodes.select(F.col("node").alias("a"), F.col("bin").alias("task"))
-    texts = docs.join(few_or_shuffled(nodes.select(F.col("node").alias("uid"))), "uid")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, own in text_slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([shingle_set(t) for t in own], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    shingled = written(texts.select("uid", "text").mapInArrow(sets, "node long, shingles array<long>"))
-    dealt = shingled.join(nodes, "node")
-    small_pairs = pairs.join(placed.filter("task IS NOT NULL"), "a")
-    large_pairs = pairs.join(placed.filter("task IS NULL").select("a"), "a")
-
-    def compare(key, texts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        of = {u: np.asarray(s, np.int64) for u, s in zip(texts["node"], texts["shingles"], strict=True)}
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        good = []
-        for a, b in sorted(zip(own["a"], own["b"], strict=True)):
-            x, y = root(a), root(b)
-            if x != y and a in of and b in of and jaccard(of[a], of[b]) >= SIMILARITY:
-                parent[max(x, y)] = min(x, y)
-                good.append((a, b))
-        return pd.DataFrame(good, columns=["a", "b"]).astype("int64")
-
-    together = dealt.filter("bin IS NOT NULL").select("bin", "node", "shingles").groupBy("bin").cogroup(small_pairs.groupBy("task")).applyInPandas(compare, "a long, b long")
-    left = shingled.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = shingled.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+            if len(pdf):
+                share = (_unpacked(pdf["x"]) == _unpacked(pdf["y"])).mean(1)
+                yield pdf[["uid", "head"]].assign(share=share)[share >= SCREEN]
+
+    best = ends.mapInPandas(alike, "uid long, head long, share double").groupBy("uid").agg(F.max_by("head", F.struct("share", -F.col("head"))).alias("head"))
     both = F.size(F.array_intersect("x", "y"))
-    apart = large_pairs.join(left, "a").join(right, "b").filter(both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
-    return written(together.unionByName(apart))
+    pairs = written(best).join(shingled.withColumnRenamed("shingles", "x"), "uid").join(shingled.select(F.col("uid").alias("head"), F.col("shingles").alias("y")), "head")
+    return written(pairs.filter(both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select(F.col("uid").alias("a"), F.col("head").alias("b")))
+
+
+def _merged(known: DataFrame, distinct: DataFrame, shingled: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) of groups that hold near copies of each other; ``known``: (``band``, ``uid``, ``size``, ``group``)."""
+
+    def prepared(pdf: pd.DataFrame) -> tuple[Callable, Callable]:
+        sets, least, bands = pdf["shingles"].tolist(), _unpacked(pdf["least"]), np.stack(pdf["bands"].to_numpy())
+        place = int((bands[0] == pdf["band"].iloc[0]).argmax())
+
+        def screened(i: int, other: np.ndarray) -> np.ndarray:
+            other = other[~(bands[other, :place] == bands[i, :place]).any(1)]  # else they meet under an earlier value
+            return other[(least[other] == least[i]).mean(1) >= SCREEN]
+
+        return screened, lambda i, j: jaccard(sets[i], sets[j]) >= SIMILARITY
+
+    return written(merged_groups(known, distinct.select("uid", "bands", "least").join(shingled, "uid"), prepared))
+
+
+def _groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """(``uid``, ``component``) of those of ``distinct`` that are in a group of near copies with others."""
+    values = written(distinct.select("uid", "size", F.explode("bands").alias("band")))
+    crowds = values.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = written(values.join(crowds, "band"))
+    shingled = written(_shingled(docs.join(few_or_shuffled(written(crowded.select("uid").distinct())), "uid")))
+    labels = components(_stars(crowded, distinct, shingled)).select(F.col("node").alias("uid"), F.col("component").alias("group"))
+    known = written(crowded.select("band", "uid", "size").join(few_or_shuffled(labels), "uid", "left").withColumn("group", F.coalesce("group", "uid")))
+    merged = components(_merged(known, distinct, shingled)).withColumnRenamed("node", "group")
+    grouped = known.select("uid", "group").distinct().join(few_or_shuffled(merged), "group", "left")
+    return grouped.select("uid", F.coalesce("component", "group").alias("component"))
 
 
 def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -438,17 +382,16 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text")
     stays; a null key comes after all others.  Columns and types stay as they
     are, an empty table stays empty, long texts are compared whole.
     """
-    uid = "__uid"
-    rows = written(df.withColumn(uid, F.monotonically_increasing_id()))
-    docs = rows.select(F.col(uid).alias("uid"), quoted(text).cast("string").alias("text"))
+    rows = written(df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")))
+    of_row = lambda name: F.col("row").getField(name)
+    docs = rows.select("uid", of_row(text).cast("string").alias("text"))
     prints = written(_prints(docs))
-    classes = prints.groupBy("digest").agg(F.min("uid").alias("uid"), F.first("bands").alias("bands"), F.first("least").alias("least"))
-    distinct = written(classes.select("uid", "digest", "bands", "least"))
-    links = _links(distinct, docs)
-    labels = components(links).withColumnRenamed("node", "uid")
+    classes = prints.groupBy("digest").agg(F.min("uid").alias("uid"), *[F.first(c).alias(c) for c in ("size", "bands", "least")])
+    distinct = written(classes)
+    labels = _groups(distinct, docs)
     named = distinct.select("uid", "digest").join(labels, "uid", "left").select("digest", F.coalesce("component", "uid").alias("component"))
     member = prints.select("uid", "digest").join(named, "digest").select("uid", "component")
-    keyed = rows.select(F.col(uid).alias("uid"), quoted(key).alias("k")).join(member, "uid")
+    keyed = rows.select("uid", of_row(key).alias("k")).join(member, "uid")
     first = keyed.groupBy("component").agg(F.min_by("uid", F.struct(F.col("k").isNull(), F.col("k"), F.col("uid"))).alias("uid"))
-    gone = written(keyed.select("uid").join(first.select("uid"), "uid", "left_anti").withColumnRenamed("uid", uid))
-    return rows.join(few_or_shuffled(gone), uid, "left_anti").select(*[quoted(c) for c in df.columns])
+    gone = written(keyed.select("uid").join(first.select("uid"), "uid", "left_anti"))
+    return rows.join(few_or_shuffled(gone), "uid", "left_anti").select("row.*")

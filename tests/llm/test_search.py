@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from stemma.llm import components, neighbours, queries, sharding, simhash, topk
+from stemma.llm import components, neighbours, queries, sharding, simhash, tiles, topk
 
 
 def groups_of(pairs, ids):
@@ -232,7 +232,7 @@ def test_near_copies_at_the_threshold_meet_in_a_band(spark):
 def test_near_copies_in_a_family_below_the_threshold(spark, monkeypatch):
     from tests.llm.conftest import prose
 
-    monkeypatch.setattr(simhash, "TILE", 40)
+    monkeypatch.setattr(tiles, "TILE", 40)
     rng, template = random.Random(13), prose(200, 70_000).split()
     rows = []
     for k in range(150):
