@@ -89,17 +89,31 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-#: Bytes of a small table that are sent to every executor at most, and of a row of a few numbers.
-BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
+#: Bytes of a small table that are sent to every executor at most, of a row of a few numbers, and of a key.
+BROADCAST_BYTES, ROW_BYTES, KEY_BYTES = 64 << 20, 64, 24
 
 
-def few_or_shuffled(small: DataFrame, more: Column | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``small`` marked for broadcast if it has no more than ``most`` bytes; else it is left to a shuffled join.
+def few(small: DataFrame, more: Column | None = None, row: int = ROW_BYTES) -> bool:
+    """Whether ``small`` has no more than BROADCAST_BYTES; ``more``: bytes of a row besides ``row``, for columns that vary in length."""
+    size = F.lit(row) if more is None else row + F.coalesce(more, F.lit(0))
+    return (small.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
-    ``more``: bytes of a row besides ROW_BYTES, for columns that vary in length.
+
+def few_or_shuffled(small: DataFrame, more: Column | None = None) -> DataFrame:
+    """``small`` marked for broadcast if it is ``few``; else it is left to a shuffled join."""
+    return F.broadcast(small) if few(small, more) else small
+
+
+def with_wide(df: DataFrame, wide: DataFrame, key: str, more: Column) -> DataFrame:
+    """Rows of ``df`` joined with those of ``wide`` by ``key``.
+
+    Where ``wide`` is too large to be sent to all executors, its keys may not be:
+    then only the rows of ``df`` that have a partner are moved.
     """
-    size = F.lit(ROW_BYTES) if more is None else ROW_BYTES + F.coalesce(more, F.lit(0))
-    return F.broadcast(small) if (small.agg(F.sum(size)).first()[0] or 0) <= most else small
+    if few(wide, more):
+        return df.join(F.broadcast(wide), key)
+    keys = wide.select(key)
+    return (df.join(F.broadcast(keys), key, "left_semi") if few(keys, row=KEY_BYTES) else df).join(wide, key)
 
 
 @contextlib.contextmanager

@@ -364,7 +364,7 @@ def _groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     values = written(distinct.select("uid", "size", F.explode("bands").alias("band")))
     crowds = values.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = written(values.join(crowds, "band"))
-    shingled = written(_shingled(docs.join(few_or_shuffled(written(crowded.select("uid").distinct())), "uid")))
+    shingled = written(_shingled(docs.join(few_or_shuffled(written(crowded.select("uid").distinct())), "uid", "left_semi")))
     labels = components(_stars(crowded, distinct, shingled)).select(F.col("node").alias("uid"), F.col("component").alias("group"))
     known = written(crowded.select("band", "uid", "size").join(few_or_shuffled(labels), "uid", "left").withColumn("group", F.coalesce("group", "uid")))
     merged = components(_merged(known, distinct, shingled)).withColumnRenamed("node", "group")
