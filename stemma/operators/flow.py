@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Calls that are no steps.
-TRIVIAL = set("len list dict set tuple str int float bool print range enumerate zip sorted round min max any all isinstance hasattr type repr id format open super".split())
+from stemma.schema import TRIVIAL_CALLS
+
 STEPS = "file string, function string, step long, line long, callee string, full_callee string, outputs array<string>, args array<string>, kwargs map<string,string>, loop string, condition string, label string"
 LABEL_LINES = 6
 
@@ -55,7 +55,7 @@ def function_steps(path: str, text: str, name: str) -> list[dict]:
     lines, out = text.splitlines(), []
 
     def emit(call: ast.Call, outputs: list[str], line: int, loops, conditions) -> None:
-        if _called(call.func) in TRIVIAL:
+        if _called(call.func) in TRIVIAL_CALLS:
             return
         out.append(
             {

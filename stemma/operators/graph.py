@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,18 +13,18 @@ from pyspark.sql import functions as F
 from stemma.functions import scoring
 from stemma.schema import KINDS, LOOKUP_ORDER, STATUSES, TABLE_OF_KIND
 
-_LOCAL: dict[str, str] = {}
-
-
 def settled(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder of the cluster: cuts the lineage of iterations, survives lost executors."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="stemma-")
-        _LOCAL[spark.sparkContext.applicationId] = base
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/stemma-{spark.sparkContext.applicationId}"
     folder = f"{base.rstrip('/')}/stemma-{uuid.uuid4().hex}"
     df.write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -84,6 +85,32 @@ def hotspots(nodes: DataFrame, limit: int = 10, kinds: list[str] | None = None)
     return own.orderBy(F.desc("cyclomatic_complexity"), "id").limit(limit)
 
 
+def complex_nodes(nodes: DataFrame, least: int = 10) -> DataFrame:
+    """All nodes of at least a complexity, the most complex first."""
+    return nodes.filter(F.col("cyclomatic_complexity") >= least).orderBy(F.desc("cyclomatic_complexity"), "id")
+
+
+def attention(nodes: DataFrame, limit: int = 20) -> DataFrame:
+    """The first nodes, by id, whose status asks for attention."""
+    return nodes.filter(~F.col("status").isin("healthy", "unknown")).orderBy("id").limit(limit)
+
+
+def contents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, and the directories and files that nodes come from."""
+    folder = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
+    own = nodes.agg(F.count("*").alias("nodes"), F.count_distinct(F.when(F.col("file").isNotNull(), folder)).alias("directories"), F.count_distinct("file").alias("files"))
+    return own.join(F.broadcast(edges.agg(F.count("*").alias("edges")))).select("nodes", "edges", "directories", "files")  # one row each
+
+
+def numbered(rows: DataFrame, by: str, name: str = "n") -> DataFrame:
+    """Adds ``name``: places from 0 in the order of a column of unique values, by prefix sums over ranges of it."""
+    parts = settled(rows.repartitionByRange(by).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))  # a row for each range
+    before = sizes.withColumn("__before", F.sum("__size").over(W.orderBy("__part")) - F.col("__size")).drop("__size")
+    own = F.row_number().over(W.partitionBy("__part").orderBy(by)) - 1
+    return parts.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+
+
 def unhealthy(nodes: DataFrame, below: float = 0.5) -> DataFrame:
     """Functions and methods with a score under the bound, lowest first."""
     return nodes.filter(F.col("node_type").isin("function", "method") & (F.col("score") < below)).orderBy("score", "id")
@@ -110,7 +137,7 @@ def impact(edges: DataFrame, targets: DataFrame, direction: str = "upstream", ma
     of the frontier with the edges, and a table of its own.
     """
     here, there = ("target_id", "source_id") if direction == "upstream" else ("source_id", "target_id")
-    steps = edges.select(F.col(here).alias("at"), F.col(there).alias("id"), "edge_type")
+    steps = settled(edges.select(F.col(here).alias("at"), F.col(there).alias("id"), "edge_type"))
     seen = settled(targets.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("edge_type")).dropDuplicates(["id"]))
     frontier, levels = seen, [seen]
     for depth in range(1, max_depth + 1):

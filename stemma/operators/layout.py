@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from stemma.operators.graph import settled
 REPULSION = 1000.0
 ATTRACTION = 0.01
 SIDE = 100.0
-#: Cells along each side: repulsion acts between nodes of neighbouring cells.
-CELLS = 5
+#: Repulsion acts between nodes of neighbouring cells: the least cells along each side, and nodes that a cell should hold.
+CELLS, CROWD = 5, 8
 
 
 def sphere_points(rows: DataFrame, key: str, digits: int = 2) -> DataFrame:
@@ -52,15 +54,17 @@ def force_layout(nodes: DataFrame, links: DataFrame, iterations: int = 100, seed
 
     Each node starts at a place given by a hash of its id and the seed.  In a
     step nodes meet those of the 27 cells around theirs by an equi-join on the
-    cell, so the cost follows the nodes and not their pairs.
+    cell; cells grow in number with the nodes, so the cost follows the nodes and
+    not their pairs.
     """
     at = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1_000_003)) / 1_000_003.0 * SIDE
     state = settled(nodes.select("id").distinct().select("id", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), *[F.lit(0.0).alias(v) for v in ("vx", "vy", "vz")]))
     both = settled(links.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("o"))))
+    side = max(CELLS, math.ceil((state.count() / CROWD) ** (1 / 3)))
     for step in range(iterations):
         damping = 0.9 - 0.4 * step / max(1, iterations - 1)
         box = state.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
-        cell = lambda c: F.least(F.lit(CELLS - 1), F.floor((F.col(c) - box[f"lo{c}"]) / (max(box[f"hi{c}"] - box[f"lo{c}"], 1e-9) / CELLS))).cast("int")  # noqa: E731, B023
+        cell = lambda c: F.least(F.lit(side - 1), F.floor((F.col(c) - box[f"lo{c}"]) / (max(box[f"hi{c}"] - box[f"lo{c}"], 1e-9) / side))).cast("int")  # noqa: E731, B023
         placed = state.withColumn("cx", cell("x")).withColumn("cy", cell("y")).withColumn("cz", cell("z"))
         other = placed.select(F.col("id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), "cx", "cy", "cz")
         seen = placed.select("id", "x", "y", "z", "cx", "cy", "cz")

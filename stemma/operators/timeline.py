@@ -47,8 +47,8 @@ def node_activity(frames: DataFrame) -> DataFrame:
 
 def next_of_type(frames: DataFrame, event_type: str) -> DataFrame:
     """Adds ``next_index``: the next later frame of a type, the frame itself if there's none."""
-    later = _ordered().rowsBetween(1, W.unboundedFollowing)
-    found = F.first(F.when(F.col("event_type") == event_type, F.col("frame_index")), ignorenulls=True).over(later)
+    later = _session().orderBy(F.desc("frame_index")).rowsBetween(W.unboundedPreceding, -1)  # a frame that grows is read once
+    found = F.last(F.when(F.col("event_type") == event_type, F.col("frame_index")), ignorenulls=True).over(later)
     return frames.withColumn("next_index", F.coalesce(found, F.col("frame_index")))
 
 

@@ -39,7 +39,7 @@ _KIND = {name: kind for kind, name, _, _ in tables.ENTITIES}
 NODES = "nodes AS (" + " UNION ALL ".join(f"SELECT {_id(kind, t, key)} AS id, '{kind}' AS node_type, {title} AS name, '{t}.' || {key} AS qualified_name FROM {t}" for kind, t, key, title in tables.ENTITIES) + ")"
 
 
-def _edges(least: int = 0) -> str:
+def _edges() -> str:
     def rel(source, sk, target, tk, kind, rows):
         return f"SELECT {_id(_KIND[source], source, sk)} AS source_id, {_id(_KIND[target], target, tk)} AS target_id, '{kind}' AS edge_type FROM {rows}"
 
@@ -51,8 +51,8 @@ def _edges(least: int = 0) -> str:
                 rel("customer", "c_custkey", "nation", "c_nationkey", "reference", "customer"),
                 rel("supplier", "s_suppkey", "nation", "s_nationkey", "reference", "supplier"),
                 rel("customer", "o_custkey", "orders", "o_orderkey", "call", "orders"),
-                rel("orders", "l_orderkey", "part", "l_partkey", "call", f"(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= {least})"),
-                rel("part", "l_partkey", "supplier", "l_suppkey", "call", f"(SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= {least})"),
+                rel("orders", "l_orderkey", "part", "l_partkey", "call", "(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)"),
+                rel("part", "l_partkey", "supplier", "l_suppkey", "call", "(SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)"),
             ]
         )
         + "), edges AS (SELECT substr(sha256(edge_type || ':' || source_id || '->' || target_id), 1, 16) AS id, * FROM e0)"
@@ -86,9 +86,9 @@ def scored_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("score", scoring.health_score(F.col("cyclomatic"), F.col("cognitive"), F.col("depth"), F.col("difficulty"), F.col("maintainability")))
 
 
-def scored_nodes(spark: SparkSession, sf_dir: str, least_quantity: float = 0) -> tuple[DataFrame, DataFrame]:
+def scored_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All nodes with metrics (parts' own, others' defaults), health, and the edges."""
-    nodes, edges = tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir, least_quantity)
+    nodes, edges = tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir)
     own = scored_parts(spark, sf_dir).select(scoring.node_id(F.lit("function"), F.concat(F.lit("part."), F.col("l_partkey").cast("string"))).alias("id"), F.col("cyclomatic").alias("cyclomatic_complexity"), F.col("loc").alias("lines_of_code"), "depth", "score")
     hidden = F.when((F.col("node_type") == "function") & (F.length("name") % 2 == 0), F.concat(F.lit("_"), F.col("name"))).otherwise(F.col("name"))
     joined = nodes.withColumn("name", hidden).join(own.withColumnRenamed("score", "own_score"), "id", "left")
@@ -99,7 +99,7 @@ SCORED = (
     "WITH "
     + NODES
     + ", "
-    + _edges(49)
+    + _edges()
     + ", "
     + METRICS
     + f""", callers AS (SELECT target_id AS id, count(*) AS callers FROM edges WHERE edge_type = 'call' GROUP BY 1),
@@ -138,13 +138,13 @@ def health_score_parts(spark, sf_dir):
 
 @query(SCORED + "SELECT node_type, status, count(*) AS n, round(min(score), 9) AS least, round(max(score), 9) AS most FROM scored GROUP BY 1, 2")
 def health_status_histogram(spark, sf_dir):
-    nodes, _ = scored_nodes(spark, sf_dir, 49)
+    nodes, _ = scored_nodes(spark, sf_dir)
     return nodes.groupBy("node_type", "status").agg(F.count("*").alias("n"), F.round(F.min("score"), 9).alias("least"), F.round(F.max("score"), 9).alias("most"))
 
 
 @query(SCORED + "SELECT " + ", ".join(f"round(count(*) FILTER (status = '{s}') / greatest(count(*), 1), 6) AS {s}" for s in ["healthy", "stressed", "inflamed", "necrotic", "cancerous", "unknown"]) + " FROM scored")
 def health_summary_ratios(spark, sf_dir):
-    own = graph.health_summary(scored_nodes(spark, sf_dir, 49)[0])
+    own = graph.health_summary(scored_nodes(spark, sf_dir)[0])
     return own.select(*[F.round(c, 6).alias(c) for c in own.columns])
 
 
@@ -155,28 +155,49 @@ def health_summary_ratios(spark, sf_dir):
  count(*) FILTER (node_type = 'function') AS n_function, count(*) FILTER (node_type = 'external') AS n_external, count(*) FILTER (status = 'healthy') AS n_healthy, count(*) FILTER (status = 'necrotic') AS n_necrotic FROM scored"""
 )
 def graph_stats(spark, sf_dir):
-    own = graph.statistics(scored_nodes(spark, sf_dir, 49)[0])
+    own = graph.statistics(scored_nodes(spark, sf_dir)[0])
     return own.select("total_nodes", "total_lines", F.round("avg_complexity", 6).alias("avg_complexity"), "max_complexity", "max_depth", "n_hotspots", "n_module", "n_class", "n_function", "n_external", "n_healthy", "n_necrotic")
 
 
 @query(SCORED + "SELECT id, qualified_name FROM scored WHERE status = 'necrotic'")
 def dead_code(spark, sf_dir):
-    return graph.dead_code(scored_nodes(spark, sf_dir, 49)[0]).select("id", "qualified_name")
+    return graph.dead_code(scored_nodes(spark, sf_dir)[0]).select("id", "qualified_name")
 
 
 @query(SCORED + "SELECT id, cyclomatic_complexity FROM scored WHERE node_type = 'function' AND cyclomatic_complexity > 0 ORDER BY cyclomatic_complexity DESC, id LIMIT 10")
 def hotspots_topk(spark, sf_dir):
-    return graph.hotspots(scored_nodes(spark, sf_dir, 49)[0]).select("id", "cyclomatic_complexity")
+    return graph.hotspots(scored_nodes(spark, sf_dir)[0]).select("id", "cyclomatic_complexity")
+
+
+@query(SCORED + "SELECT id, cyclomatic_complexity FROM scored WHERE cyclomatic_complexity >= 10")
+def hotspots_by_threshold(spark, sf_dir):
+    return graph.complex_nodes(scored_nodes(spark, sf_dir)[0], 10).select("id", "cyclomatic_complexity")
+
+
+@query(SCORED + "SELECT id, cyclomatic_complexity FROM scored WHERE cyclomatic_complexity > 10")
+def hotspots_of_report(spark, sf_dir):
+    return graph.complex_nodes(scored_nodes(spark, sf_dir)[0], 11).select("id", "cyclomatic_complexity")
+
+
+@query(SCORED + "SELECT id, status FROM scored WHERE status NOT IN ('healthy', 'unknown') ORDER BY id LIMIT 20")
+def attention_first(spark, sf_dir):
+    return graph.attention(scored_nodes(spark, sf_dir)[0]).select("id", "status")
+
+
+@query(SCORED + ", f AS (SELECT split_part(qualified_name, '.', 1) || '/' || (hash_place % 7) || '.py' AS file, split_part(qualified_name, '.', 1) AS directory FROM (SELECT qualified_name, length(name) AS hash_place FROM scored)) SELECT (SELECT count(*) FROM scored) AS nodes, (SELECT count(*) FROM edges) AS edges, count(DISTINCT directory) AS directories, count(DISTINCT file) AS files FROM f")
+def graph_contents(spark, sf_dir):
+    nodes, edges = scored_nodes(spark, sf_dir)
+    return graph.contents(nodes.withColumn("file", F.concat(F.substring_index("qualified_name", ".", 1), F.lit("/"), (F.length("name") % 7).cast("string"), F.lit(".py"))), edges)
 
 
 @query(SCORED + "SELECT id, node_type, round(score, 9) AS score FROM scored WHERE node_type IN ('function', 'method') AND score < 0.5")
 def unhealthy_union(spark, sf_dir):
-    return graph.unhealthy(scored_nodes(spark, sf_dir, 49)[0]).select("id", "node_type", F.round("score", 9).alias("score"))
+    return graph.unhealthy(scored_nodes(spark, sf_dir)[0]).select("id", "node_type", F.round("score", 9).alias("score"))
 
 
 @query(SCORED + "SELECT status, count(*) AS n FROM scored WHERE status NOT IN ('healthy', 'unknown') GROUP BY 1")
 def needs_attention(spark, sf_dir):
-    return scored_nodes(spark, sf_dir, 49)[0].filter(~F.col("status").isin("healthy", "unknown")).groupBy("status").agg(F.count("*").alias("n"))
+    return scored_nodes(spark, sf_dir)[0].filter(~F.col("status").isin("healthy", "unknown")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -281,27 +302,30 @@ def cycle_members(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_edges(49)} SELECT a.source_id || ' ' || a.target_id || ' ' || b.target_id || ' ' || c.target_id AS path FROM edges a JOIN edges b ON a.target_id = b.source_id JOIN edges c ON b.target_id = c.source_id
- WHERE a.edge_type = 'call' AND b.edge_type = 'call' AND c.edge_type = 'call' AND a.source_id NOT IN (SELECT target_id FROM edges WHERE edge_type = 'call') AND c.target_id NOT IN (SELECT source_id FROM edges WHERE edge_type = 'call')"""
+    f"""WITH {_edges()}, c AS MATERIALIZED (SELECT source_id, target_id FROM edges WHERE edge_type = 'call'),
+ starts AS (SELECT DISTINCT source_id FROM c ANTI JOIN (SELECT DISTINCT target_id AS source_id FROM c) USING (source_id)), ends AS (SELECT DISTINCT target_id FROM c ANTI JOIN (SELECT DISTINCT source_id AS target_id FROM c) USING (target_id)),
+ found AS (SELECT a.source_id AS start, a.source_id || ' ' || a.target_id || ' ' || b.target_id || ' ' || d.target_id AS path FROM c a SEMI JOIN starts USING (source_id) JOIN c b ON a.target_id = b.source_id JOIN c d ON b.target_id = d.source_id JOIN ends e ON d.target_id = e.target_id)
+ SELECT start, count(*) AS paths, min(path) AS least, max(path) AS most FROM found GROUP BY 1"""
 )
 def call_paths_len4(spark, sf_dir):
-    links = tables.edges(spark, sf_dir, 49).filter("edge_type = 'call'").select("source_id", "target_id")
+    links = tables.edges(spark, sf_dir).filter("edge_type = 'call'").select("source_id", "target_id")
     starts = links.select(F.col("source_id").alias("id")).distinct().join(links.select(F.col("target_id").alias("id")), "id", "left_anti")
-    found = paths.simple_paths(starts, links, longest=5)
-    return found.filter(F.size("path") == 4).select(F.array_join("path", " ").alias("path"))
+    found = paths.simple_paths(starts, links, longest=5).filter(F.size("path") == 4)
+    text = F.array_join("path", " ")
+    return found.groupBy(F.col("path")[0].alias("start")).agg(F.count("*").alias("paths"), F.min(text).alias("least"), F.max(text).alias("most"))
 
 
 @query(None)
 def processes_topk(spark, sf_dir):
     nodes = tables.nodes(spark, sf_dir).withColumn("seq", F.lit(0))
-    return paths.processes(nodes, tables.edges(spark, sf_dir, 49)).select("process_id", "entry", "terminal", F.col("step_count").cast("long").alias("step_count"))
+    return paths.processes(nodes, tables.edges(spark, sf_dir)).select("process_id", "entry", "terminal", F.col("step_count").cast("long").alias("step_count"))
 
 
 # -- resolution --------------------------------------------------------------------
 
 PLACEHOLDERS = f"""names AS (SELECT {_id("function", "part", "p_partkey")} AS id, 'function' AS node_type, p_type AS name FROM part),
  holes AS (SELECT DISTINCT substr(sha256('builtin:' || p_type), 1, 16) AS id, p_type AS name FROM part UNION SELECT substr(sha256('builtin:unused'), 1, 16), 'unused'),
- calls AS (SELECT DISTINCT {_id("method", "orders", "l_orderkey")} AS source_id, substr(sha256('builtin:' || p_type), 1, 16) AS target_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1)"""
+ calls AS (SELECT DISTINCT {_id("method", "orders", "l_orderkey")} AS source_id, substr(sha256('builtin:' || p_type), 1, 16) AS target_id FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 def _placeholders(spark, sf_dir):
@@ -309,7 +333,7 @@ def _placeholders(spark, sf_dir):
     names_ = part.select(scoring.node_id(F.lit("function"), F.concat(F.lit("part."), F.col("p_partkey").cast("string"))).alias("id"), F.lit("function").alias("node_type"), F.col("p_type").alias("name"))
     titles = part.select("p_type").distinct().unionByName(spark.range(1).select(F.lit("unused").alias("p_type")))
     holes = titles.select(scoring.node_id(F.lit("builtin"), F.col("p_type")).alias("id"), F.lit("builtin").alias("node_type"), F.col("p_type").alias("name"))
-    lines = tables.table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = tables.table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     calls = lines.select(scoring.node_id(F.lit("method"), F.concat(F.lit("orders."), F.col("l_orderkey").cast("string"))).alias("source_id"), scoring.node_id(F.lit("builtin"), F.col("p_type")).alias("target_id")).distinct()
     edges = calls.select(scoring.edge_id(F.lit("call"), F.col("source_id"), F.col("target_id")).alias("id"), "source_id", "target_id", F.lit("call").alias("edge_type"))
     return names_.unionByName(holes), edges
@@ -678,7 +702,7 @@ def dotdep_substring_join(spark, sf_dir):
 
 
 def _stored(spark, sf_dir):
-    nodes, edges = scored_nodes(spark, sf_dir, 49)
+    nodes, edges = scored_nodes(spark, sf_dir)
     return store.GraphStore.of(nodes, edges)
 
 
@@ -692,7 +716,7 @@ def cypher_grouped_count(spark, sf_dir):
     return cypher.run(_stored(spark, sf_dir), "MATCH (f:Function) RETURN f.health_status AS status, count(f) AS n")
 
 
-@query(f"WITH {NODES}, {_edges(49)} SELECT a.name AS a, b.name AS b FROM edges e JOIN nodes a ON e.source_id = a.id JOIN nodes b ON e.target_id = b.id WHERE e.edge_type = 'import'")
+@query(f"WITH {NODES}, {_edges()} SELECT a.name AS a, b.name AS b FROM edges e JOIN nodes a ON e.source_id = a.id JOIN nodes b ON e.target_id = b.id WHERE e.edge_type = 'import'")
 def cypher_relations(spark, sf_dir):
     return cypher.run(_stored(spark, sf_dir), "MATCH (a)-[r:CodeRelation {kind:'import'}]->(b) RETURN a.name AS a, b.name AS b")
 
@@ -715,8 +739,8 @@ def louvain_partition(spark, sf_dir):
 
 @query(None)
 def community_report(spark, sf_dir):
-    nodes = tables.nodes(spark, sf_dir).filter("node_type IN ('module', 'class')")
-    edges = tables.edges(spark, sf_dir, 49)
+    nodes = tables.nodes(spark, sf_dir)
+    edges = tables.edges(spark, sf_dir)
     return communities.communities(nodes, edges).withColumn("keywords", F.array_join("keywords", ", "))
 
 
@@ -792,5 +816,5 @@ def force_layout(spark, sf_dir):
     from stemma.operators.layout import force_layout as layout
 
     nodes = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"))
-    links = tables.nation_trade(spark, sf_dir).filter("n > 120 AND source_id <> target_id").select(F.col("source_id").cast("string").alias("a"), F.col("target_id").cast("string").alias("b"))
-    return layout(nodes, links, iterations=3)
+    links = tables.nation_trade(spark, sf_dir).filter("source_id <> target_id").select(F.col("source_id").cast("string").alias("a"), F.col("target_id").cast("string").alias("b"))
+    return layout(nodes, links, iterations=10)

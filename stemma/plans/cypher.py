@@ -21,6 +21,10 @@ TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<n
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect"}
 
 
+#: Matches that the lesser end of a relation to create may have.
+MATCHES = 100_000
+
+
 class QueryError(ValueError):
     """A query outside the subset."""
 
@@ -349,7 +353,17 @@ def _related(store, nodes: list[Pattern], p: Parser) -> DataFrame:
     out = None
     for r in relations:
         left, right = _node_columns(store, by_name[r.source]), _node_columns(store, by_name[r.target])
-        ends = left.select(F.col(f"`{r.source}.uid`").alias("source"), F.lit(1).alias("k")).limit(2).join(right.select(F.col(f"`{r.target}.uid`").alias("target"), F.lit(1).alias("k")).limit(2), "k")
+        for end in (by_name[r.source], by_name[r.target]):
+            if not end.label and not end.properties:
+                raise QueryError("an end of a relation to create needs a label or a property")
+        sources, targets = left.select(F.col(f"`{r.source}.uid`").alias("source")), right.select(F.col(f"`{r.target}.uid`").alias("target"))
+        if by_name[r.source] is by_name[r.target]:
+            ends = sources.withColumn("target", F.col("source"))
+        else:  # every match of one end with every match of the other
+            small, large = sorted([sources, targets], key=lambda m: m.limit(MATCHES + 1).count())
+            if small.limit(MATCHES + 1).count() > MATCHES:
+                raise QueryError(f"both ends of a relation to create have more than {MATCHES} matches")
+            ends = large.join(F.broadcast(small))
         rows = ends.select("source", "target", F.lit(r.properties.get("kind", r.label)).cast("string").alias("kind"), F.lit(float(r.properties.get("weight", 1.0))).alias("weight"))
         rows.select(*EDGE_SCHEMA.names).write.mode("append").parquet(f"{store.path}/relations")
         out = rows if out is None else out.unionByName(rows)

@@ -69,8 +69,14 @@ def recording(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("session_id", F.explode("frames").alias("f")).select("session_id", "f.*").withColumn("timestamp", F.to_timestamp("timestamp"))
 
 
+#: What a frame of a recording consists of.
+FRAME_FIELDS = ["timestamp", "frame_index", "node_id", "event_type", "event_data", "local_vars", "call_stack", "elapsed_ns"]
+
+
 def save_recording(frames: DataFrame, path: str, compressed: bool = True) -> None:
-    """A session's frames as one JSON document each, gzip if asked."""
-    rows = frames.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", "event_type", "node_id", "elapsed_ns"))).alias("frames"))
+    """A session's frames as one JSON document each, with all fields of a frame that there are, gzip if asked."""
+    own = [F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) if c == "timestamp" else F.col(c) for c in FRAME_FIELDS if c in frames.columns]
+    rows = frames.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", F.struct(*own).alias("f"))), lambda a, b: a["frame_index"].cast("int") - b["frame_index"].cast("int")).alias("sorted"))
+    rows = rows.select("session_id", F.transform("sorted", lambda x: x["f"]).alias("frames"))
     writer = rows.write.mode("overwrite")
     (writer.option("compression", "gzip") if compressed else writer).json(path)

@@ -61,7 +61,7 @@ def scan(path: str, text: str, lang: str) -> tuple[list[dict], list[dict]]:
             first = bisect.bisect_right(line_starts, span[0]) if span else None
             last = bisect.bisect_right(line_starts, max(span[0], span[1] - 1)) if span else None
             lines = loc if loc is not None else (last - first + 1 if span else 0)
-            nodes.append({"id": own, "name": name, "node_type": kind, "qualified_name": qualified, "file": path if span else None, "line": first, "column": span[0] - line_starts[first - 1] if span else None, "end_line": last, "docstring": None, "signature": None, "source_code": text[span[0] : span[1]][:2000] if span and kind != "module" else None, "parent_id": parent, "tags": [], "cyclomatic_complexity": 0, "lines_of_code": lines, "depth": 0, "seq": len(nodes)})
+            nodes.append({"id": own, "name": name, "node_type": kind, "qualified_name": qualified, "file": path if span else None, "line": first, "column": span[0] - line_starts[first - 1] if span else None, "end_line": last, "docstring": None, "signature": None, "source_code": text[span[0] : span[1]] if span and kind != "module" else None, "parent_id": parent, "tags": [], "cyclomatic_complexity": 0, "lines_of_code": lines, "depth": 0, "seq": len(nodes)})
         return own
 
     def edge(kind, source, target) -> None:

@@ -42,14 +42,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, own)
 
 
-def edges(spark: SparkSession, sf_dir: str, least_quantity: float = 0) -> DataFrame:
-    """``id``, ``source_id``, ``target_id``, ``edge_type``, ``weight``; calls of parts only from lines of a least quantity."""
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id``, ``source_id``, ``target_id``, ``edge_type``, ``weight``."""
     kind_of = {name: kind for kind, name, _, _ in ENTITIES}
 
     def relation(rows: DataFrame, source: str, source_key: str, target: str, target_key: str, kind: str) -> DataFrame:
         return rows.select(node_id(F.lit(kind_of[source]), _qualified(source, source_key)).alias("source_id"), node_id(F.lit(kind_of[target]), _qualified(target, target_key)).alias("target_id"), F.lit(kind).alias("edge_type"))
 
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= least_quantity)
+    lines = table(spark, sf_dir, "lineitem")
     own = [
         relation(table(spark, sf_dir, "nation"), "nation", "n_nationkey", "region", "n_regionkey", "import"),
         relation(table(spark, sf_dir, "customer"), "customer", "c_custkey", "nation", "c_nationkey", "reference"),
