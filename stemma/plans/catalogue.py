@@ -623,9 +623,9 @@ def malware_risk(spark, sf_dir):
     return findings.text_risk(_documents(spark, sf_dir), "file").select(F.col("file").alias("doc_id"), F.round("risk", 6).alias("risk"), "likely")
 
 
-@query("SELECT doc_id, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS n_lines FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) END AS n_lines FROM documents WHERE text IS NOT NULL")
 def line_counts(spark, sf_dir):
-    own = tables.table(spark, sf_dir, "documents").filter("text <> ''")
+    own = tables.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     return own.select("doc_id", F.size(names.lines_of(F.col("text"))).cast("long").alias("n_lines"))
 
 
@@ -754,54 +754,118 @@ def cluster_hierarchy(spark, sf_dir):
     return clusters.hierarchy(own, links.unionByName(ring), target=20)
 
 
+SOURCES = "src AS (SELECT CAST(p_partkey AS VARCHAR) AS k, CAST(p_size % 5 AS BIGINT) AS m FROM part)"
+_CODE = [  # kind, qualified name, line, decisions
+    ("module", "'p' || k", "1", "0"),
+    ("class", "'p' || k || '.P' || k", "4", "0"),
+    ("attribute", "'p' || k || '.P' || k || '.size'", "5", "0"),
+    ("method", "'p' || k || '.P' || k || '.price'", "7", "1 + m"),
+    ("parameter", "'p' || k || '.P' || k || '.price.self'", "7", "0"),
+    ("parameter", "'p' || k || '.P' || k || '.price.x'", "7", "0"),
+    ("function", "'p' || k || '.help' || k", "11 + 2 * m", "1"),
+    ("parameter", "'p' || k || '.help' || k || '.x'", "11 + 2 * m", "0"),
+    ("function", "'p' || k || '.main'", "16 + 2 * m", "1"),
+    ("parameter", "'p' || k || '.main.x'", "16 + 2 * m", "0"),
+    ("external", "'os'", "NULL", "0"),
+    ("builtin", "'help' || k", "NULL", "0"),
+    ("builtin", "'os.getcwd'", "NULL", "0"),
+    ("builtin", "'load' || k", "NULL", "0"),
+    ("builtin", "'save'", "NULL", "0"),
+]
+
+
+def _code_id(kind: str, name: str) -> str:
+    return f"substr(sha256('{kind}:' || {name}), 1, 16)"
+
+
+def _code_edges() -> str:
+    name = {"help": ("function", _CODE[6][1]), "price": ("method", _CODE[3][1]), "main": ("function", _CODE[8][1]), "module": ("module", _CODE[0][1])}
+    links = [("import", "module", ("external", "'os'")), ("call", "price", name["help"]), ("call", "help", ("builtin", "'os.getcwd'")), ("call", "main", ("builtin", "'load' || k")), ("call", "main", ("builtin", "'save'"))]
+    rows = " UNION ALL ".join(f"SELECT '{kind}' AS edge_type, {_code_id(*name[source])} AS source_id, {_code_id(*target)} AS target_id FROM src" for kind, source, target in links)
+    return f"SELECT substr(sha256(edge_type || ':' || source_id || '->' || target_id), 1, 16) AS id, source_id, target_id, edge_type, 1.0::DOUBLE AS weight FROM ({rows})"
+
+
 def _parsed(spark, sf_dir):
-    from stemma.sources import python_ast, samples
+    from stemma.sources import python_ast
 
-    return python_ast.parsed(samples.sources(spark))
+    return python_ast.parsed(tables.python_sources(spark, sf_dir))
 
 
-@query(None)
+@query(f"WITH {SOURCES} " + " UNION ".join(f"SELECT {_code_id(kind, name)} AS id, '{kind}' AS node_type, {name} AS qualified_name, CAST({line} AS BIGINT) AS line, CAST({cc} AS BIGINT) AS cyclomatic_complexity FROM src" for kind, name, line, cc in _CODE))
 def py_parse_nodes(spark, sf_dir):
     from stemma.sources import python_ast
 
     return python_ast.nodes_of(_parsed(spark, sf_dir)).select("id", "node_type", "qualified_name", "line", "cyclomatic_complexity")
 
 
-@query(None)
+@query(f"WITH {SOURCES} {_code_edges()}")
 def py_parse_edges(spark, sf_dir):
     from stemma.sources import python_ast
 
-    parsed = _parsed(spark, sf_dir)
+    parsed = graph.settled(_parsed(spark, sf_dir))
     return resolve.resolve_calls(python_ast.nodes_of(parsed), python_ast.edges_of(parsed))[1].select("id", "source_id", "target_id", "edge_type", "weight")
 
 
-@query(None)
+@query(
+    f"""WITH {SOURCES}, f AS (SELECT 'd/p' || k || '.py' AS file, * FROM src)
+ SELECT file, 'P' || k AS name, 4 AS line, 5 + 2 * m AS loc, 'class' AS kind, 2 + m AS cyclomatic, m AS cognitive, 0 AS max_nesting FROM f
+ UNION ALL SELECT file, 'price', 7, 2 + 2 * m, 'function', 1 + m, m, least(m, 1) FROM f
+ UNION ALL SELECT file, 'help' || k, 11 + 2 * m, 3, 'function', 1, 0, 0 FROM f UNION ALL SELECT file, 'main', 16 + 2 * m, 4, 'function', 1, 0, 0 FROM f"""
+)
 def py_complexity(spark, sf_dir):
-    from stemma.sources import python_ast, samples
+    from stemma.sources import python_ast
 
-    return python_ast.complexity(samples.sources(spark))
+    return python_ast.complexity(tables.python_sources(spark, sf_dir)).select("file", "name", "line", "loc", "kind", "cyclomatic", "cognitive", "max_nesting")
 
 
-@query(None)
+@query(
+    f"""WITH {SOURCES}, f AS (SELECT 'd/p' || k || '.py' AS file, * FROM src)
+ SELECT file, unnest(['dangerous_import_os.system', 'dangerous_import_os.popen', 'missing_class_docstring', 'missing_docstring', 'missing_docstring', 'missing_docstring']) AS rule,
+ unnest(['high', 'high', 'info', 'info', 'info', 'info']) AS severity, unnest([1, 1, 4, 7, 11 + 2 * m, 16 + 2 * m]) AS line FROM f"""
+)
 def py_findings(spark, sf_dir):
-    from stemma.sources import python_ast, samples
+    from stemma.sources import python_ast
 
-    return python_ast.findings(samples.sources(spark))
+    return python_ast.findings(tables.python_sources(spark, sf_dir)).select("file", "rule", "severity", "line")
 
 
-@query(None)
+@query(
+    f"""WITH {SOURCES}, n(kind, name, line) AS (SELECT 'module', 'q' || k, 1 FROM src UNION ALL SELECT 'function', 'q' || k || ':load' || k, 1 FROM src UNION ALL SELECT 'class', 'q' || k || ':P' || k, 5 FROM src UNION ALL SELECT 'method', 'q' || k || ':P' || k || ':price', 6 FROM src)
+ SELECT substr(sha256(kind || ':' || name), 1, 16) AS id, kind AS node_type, name AS qualified_name, CAST(line AS BIGINT) AS line FROM n"""
+)
 def other_language_nodes(spark, sf_dir):
-    from stemma.sources import python_ast, samples
+    from stemma.sources import python_ast
 
-    return python_ast.nodes_of(python_ast.parsed(samples.other_sources(spark))).select("id", "node_type", "qualified_name", "line")
+    return python_ast.nodes_of(python_ast.parsed(tables.script_sources(spark, sf_dir))).select("id", "node_type", "qualified_name", "line")
 
 
-@query(None)
+@query(f"WITH {SOURCES} SELECT 'd/p' || k || '.py' AS file, 1 AS step, 'load' || k AS callee, 'y' AS outputs FROM src UNION ALL SELECT 'd/p' || k || '.py', 2, 'save', 'z' FROM src")
 def flow_steps(spark, sf_dir):
     from stemma.operators import flow
-    from stemma.sources import samples
 
-    return flow.steps(samples.sources(spark), "main").select("file", "step", "callee", F.array_join("outputs", ",").alias("outputs"), "loop", "condition")
+    return flow.steps(tables.python_sources(spark, sf_dir), "main").select("file", "step", "callee", F.array_join("outputs", ",").alias("outputs"))
+
+
+@query("SELECT count(*) AS nodes, count(*) AS ids, true AS grouped FROM nation")
+def louvain_cover(spark, sf_dir):
+    """Every node is in exactly one community, and communities hold several."""
+    own = louvain_partition(spark, sf_dir)
+    return own.agg(F.count("*").alias("nodes"), F.count_distinct("id").alias("ids"), (F.count_distinct("community") < F.count("*")).alias("grouped"))
+
+
+@query(f"WITH {NODES} SELECT CAST(count(*) AS BIGINT) AS members, true AS cohesive FROM nodes WHERE node_type IN ('module', 'class', 'function', 'method')")
+def community_cover(spark, sf_dir):
+    """Sizes of communities add up to the structural nodes; cohesion is a share."""
+    own = community_report(spark, sf_dir)
+    return own.agg(F.sum("size").alias("members"), F.min(F.col("cohesion").between(0, 1)).alias("cohesive"))
+
+
+@query("SELECT true AS entries_uncalled, true AS steps_within")
+def process_invariants(spark, sf_dir):
+    """Processes start where no call leads and have two steps or more."""
+    own = processes_topk(spark, sf_dir)
+    called = tables.edges(spark, sf_dir).filter("edge_type = 'call'").select(F.col("target_id").alias("entry")).distinct().withColumn("called", F.lit(True))
+    return own.join(called, "entry", "left").agg((F.count_if("called") == 0).alias("entries_uncalled"), F.min(F.col("step_count") >= 2).alias("steps_within"))
 
 
 @query(None)
