@@ -16,6 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, under a model of those not held out; see ``toxicity.score`` for odd rows."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, carry=["doc_id"])
@@ -23,17 +24,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each document, from a new cache; see ``token_counts.count_tokens`` for odd rows."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; see ``passages.remove_repeated`` for odd rows."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return passages.remove_repeated(docs)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens; see ``packing.pack`` for odd rows."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -61,6 +65,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of what they decode to; see ``encoding.encode_decode`` for odd rows."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encoding.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(
@@ -72,15 +77,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each vector whose id 50 divides the 5 of highest integer product; see ``topk.top_k`` for odd rows."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", topk.integers(F.col("embedding")).alias("vector"))
     return topk.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors of a label's near copies; see ``neighbours.near_duplicates`` for odd rows."""
     return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 8 shards of near-equal bytes; see ``sharding.shard`` for odd rows."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(docs).select(
         "doc_id",
@@ -94,6 +102,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of documents; see ``simhash.near_duplicates`` for odd rows."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
@@ -102,5 +111,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: Rows of ``embeddings`` whose vectors hold finite components only.
+_VECTORS = "SELECT * FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+SQL = {
+    "op7_top_k": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM ({_VECTORS})),
+ q AS (SELECT vec_id AS query_id, min(v) AS v FROM v WHERE vec_id % 50 = 0 GROUP BY 1),
+ s AS (SELECT query_id, vec_id, CAST(list_dot_product(q.v, v.v) AS BIGINT) AS score FROM q JOIN v ON vec_id <> query_id AND len(q.v) = len(v.v)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT row_number() OVER () AS i, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM ({_VECTORS}) WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ e AS MATERIALIZED (SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.label = b.label AND a.i <> b.i AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.98),
+ reach AS (SELECT i AS a, i AS b FROM v UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+ least AS (SELECT reach.a AS i, min(vec_id) AS component_id FROM reach JOIN v ON reach.b = v.i GROUP BY 1), n AS (SELECT a AS i, count(*) AS n FROM e GROUP BY 1)
+ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least USING (i) LEFT JOIN n USING (i)
+ UNION ALL SELECT vec_id, 0, vec_id, true FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM v)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can state on whole tables; the others are tested against brute force."""
+    return dict(SQL)

@@ -76,16 +76,16 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", ve
     Vectors hold integers (below 2^53 in every product); ties go to the
     smaller id; a query never finds its own id.  Rows with a null id or a vector
     that is null, empty or holds null or non-finite components take no part;
-    vectors of different lengths are not compared.  An id that repeats counts
-    once, with its least vector.  Other columns are ignored; fewer than k rows
-    give fewer results, empty tables none.
+    vectors of different lengths are not compared.  Rows that repeat an id are
+    rows of their own: each is searched, and each is a result; of queries with
+    one id only the one with the least vector is asked.  Other columns are
+    ignored; fewer than k rows give fewer results, empty tables none.
     """
 
     def usable(table: DataFrame) -> DataFrame:
-        own = table.select(quoted(key).cast("long").alias("id"), quoted(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & finite(F.col("v")))
-        return written(own.groupBy("id").agg(F.min("v").alias("v")))
+        return table.select(quoted(key).cast("long").alias("id"), quoted(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & finite(F.col("v")))
 
-    rows, asked = usable(df), usable(queries)
+    rows, asked = written(usable(df)), written(usable(queries).groupBy("id").agg(F.min("v").alias("v")))
     widest = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("m")).first()["m"] or 0.0
     slices = max(1, -(-asked.count() * 5 // (4 * SLICE)))
     asked = asked.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)))

@@ -47,7 +47,7 @@ def test_top_k_with_ties_and_odd_vectors(spark):
     assert set(found) == {i for i, _ in rows if i % 50 == 0}
     for q, v in rows:
         if q % 50 == 0:
-            best = sorted((-int(np.dot(v, w)), i) for i, w in rows if i != q)[:5]
+            best = sorted((-int(np.dot(v, w)), i) for i, w in [*rows, odd[-1]] if i != q)[:5]
             assert sorted(found[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
@@ -291,3 +291,24 @@ def test_vectors_are_compared_whole_when_the_audit_fails(spark, monkeypatch):
     want = close[::3, ::3]
     assert {i: r["n_links"] for i, r in got.items()} == {i: int(n) for i, n in enumerate(want.sum(1))}
     assert {i: r["component_id"] for i, r in got.items()} == groups_of(list(zip(*np.nonzero(want), strict=True)), range(len(want)))
+
+
+def test_top_k_and_near_dedup_queries_against_their_sql(spark, tmp_path):
+    """Null, NaN, infinite, zero and empty vectors, repeated ids and rows, null labels: the registered queries on a table of odd rows."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((12, 6))
+    rows = [(i, [float(x) for x in base[i % 12] + rng.standard_normal(6) * rng.choice([0.0, 0.05, 1.0])], f"l{i % 3}" if i % 11 else None) for i in range(240)]
+    nan, inf = float("nan"), float("inf")
+    odd = [(300, None, "l0"), (350, [nan, 1.0, 1.0, 1.0, 1.0, 1.0], "l0"), (351, [inf] * 6, "l0"), (352, [-inf, 1.0, 1.0, 1.0, 1.0, 1.0], "l1"), (353, [0.0] * 6, "l0"), (354, [], "l0"), (355, [1.0, None, 1.0, 1.0, 1.0, 1.0], "l1"), (400, [9.0] * 6, "l2"), (401, [9.0] * 6, "l2"), (401, [9.0] * 6, "l2"), (7, [8.0] * 6, "l1")]
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label string").withColumn("score", F.lit("x"))
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    for name, query in (("op7_top_k", queries.op7_top_k), ("op8_embedding_near_dedup", queries.op8_embedding_near_dedup)):
+        got = query(spark, str(tmp_path))
+        columns = sorted(got.columns)
+        expected = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(expected)
+        assert len(expected) > 40
