@@ -6,25 +6,34 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.functions import scoring
 from stemma.schema import KINDS, LOOKUP_ORDER, STATUSES, TABLE_OF_KIND
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder of the cluster: cuts the lineage of iterations, survives lost executors."""
-    spark = df.sparkSession
+
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in the shared folder of the cluster, which goes when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"{tempfile.gettempdir()}/stemma-{spark.sparkContext.applicationId}"
     folder = f"{base.rstrip('/')}/stemma-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage of iterations, survives lost executors."""
+    spark = df.sparkSession
+    folder = f"{new_folder(spark)}/rows"
+    df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

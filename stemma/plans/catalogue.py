@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemma.functions import names, scoring
-from stemma.operators import clusters, communities, findings, graph, paths, resolve, timeline
+from stemma.operators import clusters, communities, findings, graph, paths, resolve, scene, timeline
 from stemma.plans import cypher, store
-from stemma.schema import IMPORT_SIGNATURES, SEVERITY_WEIGHTS, STOP_WORDS, TEXT_PATTERNS
+from stemma.schema import EDGE_COLOURS, IMPORT_SIGNATURES, NODE_COLOURS, NODE_SIZES, SEVERITY_WEIGHTS, STOP_WORDS, TEXT_PATTERNS, VALUE_COLOURS
 from stemma.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,8 +226,6 @@ def complexity_report(spark, sf_dir):
 
 @query(f"WITH {NODES}, colours(node_type, r, g, b, size) AS (VALUES ('package', 0.85, 0.85, 0.9, 3.0), ('module', 0.9, 0.9, 0.95, 2.0), ('class', 0.8, 0.2, 0.2, 1.5), ('function', 0.2, 0.6, 0.8, 1.0), ('method', 0.6, 0.3, 0.7, 0.8)) SELECT node_type, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, CAST(size AS DOUBLE) AS size, count(*) AS n FROM nodes JOIN colours USING (node_type) GROUP BY ALL")
 def colours_and_sizes(spark, sf_dir):
-    from stemma.schema import NODE_COLOURS, NODE_SIZES
-
     own = tables.nodes(spark, sf_dir).groupBy("node_type").agg(F.count("*").alias("n"))
     colour = scoring.looked_up(F.col("node_type"), NODE_COLOURS, (0.5, 0.5, 0.5))
     return own.select("node_type", colour[0].alias("r"), colour[1].alias("g"), colour[2].alias("b"), scoring.looked_up(F.col("node_type"), NODE_SIZES, 1.0).alias("size"), "n")
@@ -868,11 +866,79 @@ def process_invariants(spark, sf_dir):
     return own.join(called, "entry", "left").agg((F.count_if("called") == 0).alias("entries_uncalled"), F.min(F.col("step_count") >= 2).alias("steps_within"))
 
 
-@query(None)
+@query(
+    """SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, count(*) FILTER (event_type = 'click') AS calls, count(*) FILTER (event_type = 'view') AS returns,
+ count(*) FILTER (event_type = 'error') AS exceptions, count(*) AS n FROM events GROUP BY 1"""
+)
 def streaming_counters(spark, sf_dir):
     from stemma.streaming import frames as stream
 
-    return stream.daily_counters(spark, f"{sf_dir}/events.parquet")
+    own = stream.daily_counters(spark, f"{sf_dir}/events.parquet")
+    return own.select(F.floor(F.unix_timestamp("start") / 86400).alias("day"), "calls", "returns", "exceptions", "n")
+
+
+@query(
+    f"""WITH {FRAMES}, r AS (SELECT *, sum(CASE event_type WHEN 'call' THEN 1 WHEN 'return' THEN -1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY frame_index) AS s FROM frames),
+ d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY session_id ORDER BY frame_index)) AS depth FROM r)
+ SELECT session_id, count(*) AS frames, CAST(max_by(depth, frame_index) AS BIGINT) AS depth, count(*) FILTER (event_type = 'call') AS calls, count(*) FILTER (event_type = 'exception') AS exceptions FROM d GROUP BY 1"""
+)
+def streaming_depth(spark, sf_dir):
+    from stemma.streaming import frames as stream
+
+    return stream.final_depth(spark, f"{sf_dir}/events.parquet")
+
+
+# -- what is drawn ---------------------------------------------------------------------
+
+
+def _rgb(of: str, table: dict, other: tuple) -> str:
+    """r, g and b of a fixed table of colours, as SQL."""
+    each = lambda i: "CAST(CASE " + of + "".join(f" WHEN '{k}' THEN {v[i]}" for k, v in table.items()) + f" ELSE {other[i]} END AS DOUBLE) AS {'rgb'[i]}"
+    return ", ".join(map(each, range(3)))
+
+
+def _parts(colour):
+    return [colour[i].alias("rgb"[i]) for i in range(3)]
+
+
+_SIZE = "CAST(CASE node_type" + "".join(f" WHEN '{k}' THEN {v}" for k, v in NODE_SIZES.items()) + " ELSE 1.0 END AS DOUBLE)"
+
+
+@query(
+    SCORED
+    + f"""SELECT id, name, node_type AS type, {_SIZE} AS size, {_rgb("node_type", NODE_COLOURS, scene.GREY)}, status AS health, least(1.0, CAST(callers AS DOUBLE) / 64) AS glow, CAST(callers AS DOUBLE) / 64 * 2 AS pulse FROM scored"""
+)
+def drawn_nodes(spark, sf_dir):
+    nodes, edges = scored_nodes(spark, sf_dir)
+    activity = edges.filter("edge_type = 'call'").groupBy(F.col("target_id").alias("id")).agg((F.count("*") / 64.0).alias("level"))
+    drawn = scene.drawn_nodes(nodes, activity).join(activity, "id", "left")
+    return drawn.select("id", "name", "type", "size", *_parts(F.col("colour")), "health", "glow", scene.pulse(F.coalesce("level", F.lit(0.0))).alias("pulse"))
+
+
+@query(f"WITH {NODES}, {_edges()} SELECT id, source_id AS source, target_id AS target, edge_type AS type, CAST(1.0 AS DOUBLE) AS weight, {_rgb('edge_type', EDGE_COLOURS, scene.GREY)} FROM edges")
+def drawn_edges(spark, sf_dir):
+    return scene.drawn_edges(tables.edges(spark, sf_dir)).select("id", "source", "target", "type", "weight", *_parts(F.col("colour")))
+
+
+@query(
+    f"""WITH p AS (SELECT event_id, CAST(event_id % 100 AS DOUBLE) / 128 AS position, CAST(user_id % 7 AS DOUBLE) / 8 AS speed, CAST(event_id % 6 AS DOUBLE) AS age,
+ CASE event_type WHEN 'click' THEN 'int' WHEN 'view' THEN 'list' WHEN 'error' THEN 'Exception' WHEN 'signup' THEN 'dict' ELSE 'bytes' END AS data_type FROM events)
+ SELECT event_id, position + speed * 0.5 AS position, {_rgb("data_type", VALUE_COLOURS, scene.WHITE)} FROM p WHERE position + speed * 0.5 < 1 AND age + 0.5 <= 5"""
+)
+def particles_moved(spark, sf_dir):
+    """Events as particles, a list with its type argument, half a second on."""
+    kind = F.when(F.col("event_type") == "click", "int").when(F.col("event_type") == "view", "list[int]").when(F.col("event_type") == "error", "Exception").when(F.col("event_type") == "signup", "dict").otherwise("bytes")
+    own = tables.table(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("event_id").alias("id"),
+        F.col("user_id").alias("edge_id"),
+        ((F.col("event_id") % 100).cast("double") / 128).alias("position"),
+        ((F.col("user_id") % 7).cast("double") / 8).alias("speed"),
+        (F.col("event_id") % 6).cast("double").alias("age"),
+        F.lit(5.0).alias("lifetime"),
+        kind.alias("data_type"),
+    )
+    return scene.drawn_particles(scene.moved(own, 0.5)).select(F.col("id").alias("event_id"), "position", *_parts(F.col("colour")))
 
 
 @query(None)

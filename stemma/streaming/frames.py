@@ -10,18 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stemma.operators.graph import new_folder
+
 LATE = "1 day"
 DEPTH_OUT = "session_id long, frames long, depth long, calls long, exceptions long"
-DEPTH_STATE = "frames long, depth long, calls long, exceptions long"
+DEPTH_STATE = "frames long, depth long, calls long, exceptions long, last long"
+#: How long after its last event a session is kept.
+IDLE = "7 days"
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a folder or file as a stream, in event time."""
+def event_stream(spark: SparkSession, path: str, late: str = LATE) -> DataFrame:
+    """Events of a folder or file as a stream, in event time; ``late``: how far behind the latest an event may be."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
     rows = reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and not _is_folder(spark, path) else reader.parquet(path)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -51,18 +55,45 @@ def daily_counters(spark: SparkSession, path: str) -> DataFrame:
     return drained(windowed_counters(event_stream(spark, path)))
 
 
-def session_depth(events: DataFrame) -> DataFrame:
-    """Running frames, call depth and counters of each session (``user_id``), kept as state between micro-batches."""
+def session_depth(events: DataFrame, mode: str = "update", idle: str = IDLE) -> DataFrame:
+    """Running frames, call depth and counters of each session (``user_id``), kept as state between micro-batches.
+
+    A session's state goes once the watermark has passed its last event by ``idle``.
+    """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames, depth, calls, exceptions = state.get if state.exists else (0, 0, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frames, depth, calls, exceptions, last = state.get if state.exists else (0, 0, 0, 0, 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         for kind in rows["event_type"]:
             frames += 1
             depth = depth + 1 if kind == "click" else max(0, depth - 1) if kind == "view" else depth
             calls += kind == "click"
             exceptions += kind == "error"
-        state.update((frames, depth, calls, exceptions))
+        last = max(last, int(rows["ts"].max().timestamp() * 1000))
+        state.update((frames, depth, calls, exceptions, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait)
         yield pd.DataFrame({"session_id": [key[0]], "frames": [frames], "depth": [depth], "calls": [calls], "exceptions": [exceptions]})
 
-    return events.withColumn("session_id", F.col("user_id")).groupBy("session_id").applyInPandasWithState(update, DEPTH_OUT, DEPTH_STATE, "update", GroupStateTimeout.NoTimeout)
+    return events.withColumn("session_id", F.col("user_id")).groupBy("session_id").applyInPandasWithState(update, DEPTH_OUT, DEPTH_STATE, mode, GroupStateTimeout.EventTimeTimeout)
+
+
+def final_depth(spark: SparkSession, path: str) -> DataFrame:
+    """The last row of ``session_depth`` of each session, by way of a stream whose rows go to files and not to the driver.
+
+    No event is late and no session idle: all of what is there counts.
+    """
+    stream = session_depth(event_stream(spark, path, "36500 days"), "append", "36500 days")
+    rows = F.struct("frames", "depth", "calls", "exceptions")
+    return written(stream).groupBy("session_id").agg(F.max(rows).alias("r")).select("session_id", "r.*")
+
+
+def written(stream: DataFrame) -> DataFrame:
+    """What a stream appends once all that is there has been read, as a table in the shared folder."""
+    spark, folder = stream.sparkSession, new_folder(stream.sparkSession)
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
