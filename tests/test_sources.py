@@ -125,8 +125,8 @@ def test_clean_file_has_no_risk(spark):
         ("rust", "core/lib.rs", {"make"}, {"Point", "Kind"}, {"new", "len"}, {"std::fmt"}),
         ("go", "svc/main.go", {"main", "helper"}, {"Server"}, {"Run"}, {"fmt"}),
         ("java", "app/Main.java", set(), {"Main"}, {"Main", "getN"}, {"java.util.List"}),
-        ("c", "sys/io.c", {"read_all", "main"}, {"buf"}, set(), {"<stdio.h>"}),
-        ("cpp", "sys/box.hpp", {"open_box"}, {"Box"}, set(), {'"io.h"'}),
+        ("c", "sys/io.c", {"read_all", "main"}, {"buf"}, set(), {"stdio.h"}),
+        ("cpp", "sys/box.hpp", {"open_box"}, {"Box"}, set(), {"io.h"}),
     ],
 )
 def test_other_languages(lang, path, functions, classes, methods, imports):
