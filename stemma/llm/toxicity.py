@@ -72,7 +72,7 @@ def grams(words: list[str], buckets: int = BUCKETS, sizes: tuple[int, ...] = GRA
         with np.errstate(over="ignore"):
             whole = np.zeros(len(at), np.uint64)
             for k in range(code.shape[1]):
-                whole = whole * np.uint64(1_000_003) + code[:, k] + np.uint64(1)
+                whole = np.where(k < size, whole * np.uint64(1_000_003) + code[:, k] + np.uint64(1), whole)  # of the word alone
             hashes, valid = [whole[:, None]], [np.ones((len(at), 1), bool)]
             for n in sizes:
                 if code.shape[1] >= n:

@@ -209,3 +209,11 @@ def test_every_labelled_language_is_known(spark):
     assert len(model.languages) == 40
     got = langid.identify(docs, model, declared=F.col("lang"), host=F.col("source")).collect()
     assert all(r["accepted"] and r["language"] == r["lang"] for r in got)
+
+
+def test_a_words_grams_do_not_depend_on_other_words():
+    words = ["a", "word", "wordier", "x" * 40, "naïve", "supercalifragilistic"]
+    flat, counts = toxicity.grams(words)
+    ends = np.cumsum(counts)
+    for w, a, b in zip(words, ends - counts, ends, strict=True):
+        assert toxicity.grams([w])[0].tolist() == flat[a:b].tolist()
