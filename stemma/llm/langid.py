@@ -159,7 +159,8 @@ def identify(
     names = [*model.languages, UNKNOWN]
     none = F.lit(None).cast("string")
     evidence = {"__declared": declared, "__suffix": suffix, "__host": host, "__domain": domain}
-    source = df.select(*[quoted(c) for c in carry], quoted(text).cast("string").alias("__text"), *[(none if e is None else e.cast("string")).alias(n) for n, e in evidence.items()])
+    carried = F.struct(*[quoted(c) for c in carry]) if carry else F.struct(none.alias("none"))  # apart from the names used here
+    source = df.select(carried.alias("__row"), quoted(text).cast("string").alias("__text"), *[(none if e is None else e.cast("string")).alias(n) for n, e in evidence.items()])
     kept = [f for f in source.schema.fields if f.name != "__text"]
     schema = T.StructType([*kept, T.StructField("__text_ll", T.ArrayType(T.DoubleType()))])
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.table))
@@ -215,7 +216,7 @@ def identify(
     fused = fused.withColumn("__p", 1 / weight).withColumn("__best", F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position("__score", F.col("__top")).cast("int")))
     language = F.when(F.col("__blank"), F.lit(UNKNOWN)).otherwise(F.col("__best"))
     confidence = F.when(F.col("__blank"), F.lit(0.0)).otherwise(F.col("__p"))
-    return fused.select(*[quoted(c) for c in carry], language.alias("language"), confidence.alias("confidence"), ((language != UNKNOWN) & (confidence >= CONFIDENT)).alias("accepted"))
+    return fused.select(*[F.col("__row").getField(c).alias(c) for c in carry], language.alias("language"), confidence.alias("confidence"), ((language != UNKNOWN) & (confidence >= CONFIDENT)).alias("accepted"))
 
 
 _MODELS: dict[str, TextModel] = {}

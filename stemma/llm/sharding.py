@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemma.llm.shared import few_or_shuffled, quoted, with_replaced, written
+from stemma.llm.shared import few_or_shuffled, quoted, unused, with_replaced, written
 
 #: The part of a shard's target from which a group of equal texts is placed by itself.
 HEAVY = 0.005
@@ -110,38 +110,39 @@ def shard(df: DataFrame, shards: int = 8, text: str = "text", shard: str = "shar
     repeated rows have a slot each; input columns named like an output are
     replaced; an empty table gives an empty result.
     """
+    held = {n: unused(df, f"__{n}") for n in ("hash", "shard", "part", "place", "base")}
     hashed = _hash(quoted(text).cast("string"))
     groups = df.select(hashed.alias("hash"), text_size(quoted(text)).alias("size")).groupBy("hash").agg(F.sum("size").alias("size"))
     bounds, placed, spread = cuts(groups, shards)
     by_range = F.lit(0)
     for b in bounds:
-        by_range = by_range + (F.col("__hash") > F.lit(b).cast("long")).cast("int")
+        by_range = by_range + (F.col(held["hash"]) > F.lit(b).cast("long")).cast("int")
     to = by_range
     if placed:
         heavy = F.create_map(*[x for h, k in placed.items() for x in (F.lit(h).cast("long"), F.lit(k))])
-        to = F.coalesce(F.try_element_at(heavy, F.col("__hash")), by_range)
+        to = F.coalesce(F.try_element_at(heavy, F.col(held["hash"])), by_range)
     for h, pieces in spread.items():
         piece = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PIECES)).cast("int")
-        to = F.when(F.col("__hash") == F.lit(h).cast("long"), F.get(F.array(*[F.lit(k) for k in pieces]), piece)).otherwise(to)
+        to = F.when(F.col(held["hash"]) == F.lit(h).cast("long"), F.get(F.array(*[F.lit(k) for k in pieces]), piece)).otherwise(to)
     kept = with_replaced(df, shard, slot)
-    rows = df.select(*[quoted(c) for c in kept], hashed.alias("__hash")).withColumn("__shard", to).drop("__hash")
-    fields = [*rows.schema.fields, T.StructField("__place", T.LongType())]
+    rows = df.select(*[quoted(c) for c in kept], hashed.alias(held["hash"])).withColumn(held["shard"], to).drop(held["hash"])
+    fields = [*rows.schema.fields, T.StructField(held["place"], T.LongType())]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [0] * shards
         for batch in batches:
             place = []
-            for k in batch.column("__shard").to_pylist():
+            for k in batch.column(held["shard"]).to_pylist():
                 place.append(seen[k])
                 seen[k] += 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], names=[f.name for f in fields])
 
-    numbered = written(rows.mapInArrow(number, T.StructType(fields)).withColumn("__part", F.spark_partition_id()))
-    counts = written(numbered.groupBy("__shard", "__part").agg((F.max("__place") + 1).alias("n")))
-    earlier = W.partitionBy("__shard").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    base = counts.select("__shard", "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__base"))
-    joined = numbered.join(few_or_shuffled(base), ["__shard", "__part"])  # a row for each shard and partition
-    return joined.select(*[quoted(c) for c in kept], F.col("__shard").alias(shard), (F.col("__base") + F.col("__place")).alias(slot))
+    numbered = written(rows.mapInArrow(number, T.StructType(fields)).withColumn(held["part"], F.spark_partition_id()))
+    counts = written(numbered.groupBy(held["shard"], held["part"]).agg((F.max(held["place"]) + 1).alias("n")))
+    earlier = W.partitionBy(held["shard"]).orderBy(held["part"]).rowsBetween(W.unboundedPreceding, -1)
+    base = counts.select(held["shard"], held["part"], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(held["base"]))
+    joined = numbered.join(few_or_shuffled(base), [held["shard"], held["part"]])  # a row for each shard and partition
+    return joined.select(*[quoted(c) for c in kept], F.col(held["shard"]).alias(shard), (F.col(held["base"]) + F.col(held["place"])).alias(slot))
 
 
 def write_shards(df: DataFrame, folder: str, shard: str = "shard", slot: str = "slot") -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.llm.encoding import text_slices
-from stemma.llm.shared import quoted, shared_folder, with_replaced
+from stemma.llm.shared import quoted, shared_folder, unused, with_replaced
 
 #: Words kept in a worker's memory before they are forgotten.
 CACHE_WORDS = 400_000
@@ -150,7 +150,8 @@ def count_tokens(df: DataFrame, path: str, cache: str | None = None, limit: int
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(own)), part.column("digest"), pa.array(count(own), pa.int64())], names=CACHE_SCHEMA.names)
 
     misses.repartition("digest").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    known = read_cache(spark, cache, version).withColumnRenamed("digest", "__digest").withColumnRenamed("n_tokens", "__n")
+    digest, size, n = unused(df, "__digest"), unused(df, "__bytes"), unused(df, "__n")
+    known = read_cache(spark, cache, version).withColumnRenamed("digest", digest).withColumnRenamed("n_tokens", n)
     kept = with_replaced(df, n_bytes, n_tokens, over_limit)
-    rows = df.select(*[quoted(c) for c in kept], F.octet_length(F.coalesce(quoted(text).cast("string"), F.lit(""))).cast("long").alias("__bytes"), content_digest(content).alias("__digest"))
-    return rows.join(known, "__digest", "left").select(*[quoted(c) for c in kept], F.col("__bytes").alias(n_bytes), F.col("__n").alias(n_tokens), (F.col("__n") > limit).alias(over_limit))
+    rows = df.select(*[quoted(c) for c in kept], F.octet_length(F.coalesce(quoted(text).cast("string"), F.lit(""))).cast("long").alias(size), content_digest(content).alias(digest))
+    return rows.join(known, digest, "left").select(*[quoted(c) for c in kept], F.col(size).alias(n_bytes), F.col(n).alias(n_tokens), (F.col(n) > limit).alias(over_limit))
