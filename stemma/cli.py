@@ -8,6 +8,10 @@
     impact-graph DB NAME   the same from a stored graph
     communities PATH, processes PATH, complexity PATH, findings PATH
     steps FILE FUNCTION [--format json|mermaid|dot]
+    report PATH            statistics and the first entities that need attention, as text
+    export PATH --out DIR  the graph as JSON lines
+    record PROGRAM FILES --out DIR   runs a program and writes its frames
+    frames DIR             sessions of recorded frames and each frame's place, as a replay shows them
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.schema import STATUSES
+
 DB = ".stemma_graph"
 
 
@@ -158,6 +164,46 @@ def _steps(spark, a) -> object:
     return None
 
 
+def _report(spark, a) -> None:
+    from stemma.operators import graph
+
+    nodes, edges, _ = graph_of(spark, a.path, a.pattern)
+    own = rows(graph.statistics(nodes))[0]
+    total = max(1, own["total_nodes"])
+    print(f"{own['total_nodes']} nodes, {edges.count()} edges, {own['total_lines']} lines, {graph.cycles(edges).count()} nodes in cycles")
+    print(f"complexity {own['avg_complexity']:.2f} on average, {own['max_complexity']} at most, {own['n_hotspots']} hotspots")
+    print(", ".join(f"{s} {100 * own[f'n_{s}'] / total:.1f} %" for s in STATUSES))
+    for r in graph.attention(nodes).collect():
+        print(f"{r['status']:<10} {r['node_type']:<9} {r['qualified_name']}: {'; '.join(r['notes'] or [])}")
+
+
+def _export(spark, a) -> object:
+    from stemma.sources import files
+
+    nodes, edges, _ = graph_of(spark, a.path, a.pattern)
+    files.save_graph(nodes, edges, a.out)
+    return {"out": a.out, "nodes": nodes.count(), "edges": edges.count()}
+
+
+def _record(_spark, a) -> object:
+    import runpy
+
+    from stemma.streaming.record import Recorder
+
+    with Recorder(a.out, [a.path, *a.files]) as own:
+        runpy.run_path(a.path, run_name="__main__")
+    return {"session": own.session_id, "frames": own.count, "calls": own.calls, "exceptions": own.exceptions}
+
+
+def _frames(spark, a) -> object:
+    from stemma.operators import timeline
+    from stemma.streaming.record import recorded
+
+    own = recorded(spark, a.path)
+    shown = timeline.frame_labels(timeline.delays(own, a.speed)).select("session_id", "frame_index", "label", timeline.clock(F.col("elapsed_ns")).alias("at"), "event_type", "qualified_name", "delay_ns")
+    return {"sessions": rows(timeline.interval_statistics(own)), "frames": rows(shown.orderBy("session_id", "frame_index"))}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stemma", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(dest="command", required=True)
@@ -183,6 +229,12 @@ def parser() -> argparse.ArgumentParser:
         c = command(name, run, where, "name")
         c.add_argument("--direction", choices=["upstream", "downstream"], default=direction)
         c.add_argument("--depth", type=int, default=3)
+    command("report", _report, "path")
+    command("export", _export, "path").add_argument("--out", required=True)
+    c = command("record", _record, "path")
+    c.add_argument("files", nargs="*")
+    c.add_argument("--out", required=True)
+    command("frames", _frames, "path").add_argument("--speed", type=float, default=1.0)
     command("steps", _steps, "path", "function").add_argument("--format", choices=["json", "mermaid", "dot"], default="json")
     return p
 

@@ -61,3 +61,22 @@ def test_table_functions(spark):
     assert count("SELECT p.* FROM own_sources s, LATERAL scan_source(s.file, s.text) p WHERE p.rule = 'syntax_error'") == 1
     assert count("SELECT p.* FROM own_sources s, LATERAL source_complexity(s.file, s.text) p WHERE p.kind = 'class'") == 2
     assert count("SELECT p.* FROM own_sources s, LATERAL source_steps(s.file, s.text, 'main') p") == 4
+
+
+def test_report_and_export(spark, folder, capsys, tmp_path):
+    assert cli.main(["report", folder]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert " nodes, " in lines[0] and "hotspots" in lines[1] and lines[2].startswith("healthy ")
+    assert any(x.startswith("necrotic") and "_unused" in x for x in lines[3:]) and len(lines) <= 23
+    out = ran(capsys, "export", folder, "--out", str(tmp_path / "graph"))
+    assert spark.read.json(out["out"] + "/nodes").count() == out["nodes"] > 10
+
+
+def test_record_and_replay(spark, capsys, tmp_path):
+    program = tmp_path / "prog.py"
+    program.write_text("def f(x):\n    return x + 1\n\nf(1)\nf(2)\n")
+    out = ran(capsys, "record", str(program), "--out", str(tmp_path / "rec"))
+    assert (out["calls"], out["frames"], out["exceptions"]) == (3, 6, 0)
+    replay = ran(capsys, "frames", str(tmp_path / "rec"), "--speed", "2")
+    assert replay["sessions"][0]["total_frames"] == 6 and replay["frames"][0]["label"] == "Frame 1 / 6"
+    assert [r["qualified_name"] for r in replay["frames"]][:3] == ["prog.<module>", "prog.f", "prog.f"]
