@@ -59,7 +59,7 @@ def folded(token: str) -> str:
 
 
 def grams(words: list[str], buckets: int = BUCKETS, sizes: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words' n-grams, word after word, and how many each word has."""
+    """Buckets of all words' n-grams, word after word, and how many each word has; none stands for a whole word, so that misspellings share all that a word's weight is made of."""
     parts, counts = [], np.zeros(len(words), np.int64)
     classes: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -73,7 +73,7 @@ def grams(words: list[str], buckets: int = BUCKETS, sizes: tuple[int, ...] = GRA
             whole = np.zeros(len(at), np.uint64)
             for k in range(code.shape[1]):
                 whole = np.where(k < size, whole * np.uint64(1_000_003) + code[:, k] + np.uint64(1), whole)  # of the word alone
-            hashes, valid = [whole[:, None]], [np.ones((len(at), 1), bool)]
+            hashes, valid = [whole[:, None]], [(size < sizes[0])[:, None]]  # a word too short for n-grams is one itself
             for n in sizes:
                 if code.shape[1] >= n:
                     h = np.full((len(at), code.shape[1] - n + 1), n, np.uint64)
