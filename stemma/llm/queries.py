@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import encoding, langid, neighbours, packing, passages, sharding, simhash, token_counts, topk, toxicity
+from stemma.llm import encoding, langid, neighbours, packing, passages, periods, sharding, simhash, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,15 +106,58 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten is rewritten to repeat its words from some place on, as the contract of ``op11`` has it."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), ""))
+    n = F.size("words").cast("long")
+    split = docs.select("doc_id", "text", words.alias("words"), g.alias("g"))
+    placed = split.withColumn("a", F.when(n > 0, (F.col("g") % n)).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    copies = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), copies))
+    text = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), again), F.lit(1), n.cast("int")), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's runs and of its text without repetitions, and its strongest run; see ``periods.periodic_runs`` for odd rows."""
+    found = periods.periodic_runs(_with_repeats(_table(spark, sf_dir, "documents")), carry=["doc_id"])
+    best = periods.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    text = F.concat_ws("\n", lines, F.when(F.size("runs") > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    named = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("(1000 * best.length) div best.period")
+    return named.select("doc_id", "n_runs", F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_token_counts, op3_substring_dedup, op4_best_fit_packing, op5_language_id, op6_bpe, op7_top_k, op8_embedding_near_dedup, op9_sharding, op10_simhash_near_dedup]
+    own = [op1_toxicity, op2_token_counts, op3_substring_dedup, op4_best_fit_packing, op5_language_id, op6_bpe, op7_top_k, op8_embedding_near_dedup, op9_sharding, op10_simhash_near_dedup, op11_periodic_runs]
     return {f.__name__: f for f in own}
 
 
 #: Rows of ``embeddings`` whose vectors hold finite components only.
 _VECTORS = "SELECT * FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
+#: CRC-32 of ``doc_id`` as text, by the table of its bytes' remainders.
+_CRC = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS t),
+ hashed AS (SELECT row_number() OVER () AS uid, doc_id, text, xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, crc)"""
+
 SQL = {
+    "op11_periodic_runs": rf"""WITH {_CRC},
+ split AS (SELECT *, h // 10 AS g, len(words) AS n FROM (SELECT *, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM hashed)),
+ placed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM split),
+ d AS (SELECT uid, doc_id, n, list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) AS words FROM placed),
+ w AS MATERIALIZED (SELECT uid, n, unnest(range(n)) AS i, unnest(words) AS w FROM d),
+ e AS (SELECT x.uid, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.uid = y.uid AND x.w = y.w AND y.i > x.i WHERE (y.i - x.i) * 4 <= x.n),
+ s AS (SELECT uid, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY uid, q ORDER BY i) AS island FROM e) GROUP BY uid, q, island),
+ r AS MATERIALIZED (SELECT uid, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY uid, start, length),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM r) WHERE place = 1),
+ t AS (SELECT uid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY uid),
+ gone AS (SELECT DISTINCT uid, unnest(range(start + period, start + length)) AS i FROM r),
+ c AS (SELECT uid, string_agg(w, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (uid, i) GROUP BY uid)
+ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c.text, '')) AS collapsed_sha256
+ FROM d LEFT JOIN t USING (uid) LEFT JOIN b USING (uid) LEFT JOIN c USING (uid)""",
     "op7_top_k": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM ({_VECTORS})),
  q AS (SELECT vec_id AS query_id, min(v) AS v FROM v WHERE vec_id % 50 = 0 GROUP BY 1),
  s AS (SELECT query_id, vec_id, CAST(list_dot_product(q.v, v.v) AS BIGINT) AS score FROM q JOIN v ON vec_id <> query_id AND len(q.v) = len(v.v)),
