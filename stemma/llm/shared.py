@@ -39,14 +39,14 @@ def _path(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, codec: str = "zstd", folder: str | None = None) -> DataFrame:
-    """``df`` as a table read back from the shared folder, which goes when the application ends."""
+def written(df: DataFrame, codec: str = "zstd", folder: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """``df`` as a table read back from the shared folder, which goes when the application ends; ``options`` of the writer."""
     spark = df.sparkSession
     if folder is None:
         folder = shared_folder(spark)
         if _NOTED.get() is not None:
             _NOTED.get().append(folder)
-    df.write.option("compression", codec).parquet(folder)
+    df.write.options(**(options or {})).option("compression", codec).parquet(folder)
     path, store = _path(spark, folder)
     store.deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(folder)
