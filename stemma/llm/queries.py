@@ -1,4 +1,4 @@
-"""The ten operators applied to the driver's tables, as registered in ``__spark_entry__``."""
+"""The operators applied to the driver's tables, as registered in ``__spark_entry__``."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import encoding, langid, lexical, neighbours, packing, passages, periods, sharding, simhash, token_counts, topk, toxicity
+from stemma.llm import encoding, langid, lexical, lm, neighbours, packing, passages, periods, sharding, simhash, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,8 +139,15 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(shards, _table(spark, sf_dir, "benchmark"), totals[0], k=10).withColumnRenamed("query_id", "item_id")
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each document under a model of those not held out; see ``lm.language_model_scores`` for odd rows."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return lm.language_model_scores(docs.withColumn("held_out", held_out), ~F.col("held_out"), carry=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_token_counts, op3_substring_dedup, op4_best_fit_packing, op5_language_id, op6_bpe, op7_top_k, op8_embedding_near_dedup, op9_sharding, op10_simhash_near_dedup, op11_periodic_runs, op12_ranked_search]
+    own = [op1_toxicity, op2_token_counts, op3_substring_dedup, op4_best_fit_packing, op5_language_id, op6_bpe, op7_top_k, op8_embedding_near_dedup, op9_sharding, op10_simhash_near_dedup, op11_periodic_runs, op12_ranked_search, op13_lm_scores]
     return {f.__name__: f for f in own}
 
 
