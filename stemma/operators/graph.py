@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -161,46 +162,158 @@ def impact(edges: DataFrame, targets: DataFrame, direction: str = "upstream", ma
     return out
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """``id``, ``component``: nodes on cycles, by strongly connected component (named by its largest id).
+def linked_groups(links: DataFrame, told: Callable[[str], None] | None = None) -> DataFrame:
+    """``id``, ``least``: every node of the links (``a``, ``b``) with the least node of its connected group.
 
-    Each round drops nodes without a way in or out, spreads the largest id
-    forward to colour the rest, and takes from each colour the nodes that reach
-    the node of that name backwards; these are whole components.
+    A label goes to the neighbours and to the label's label in one round, so it travels at doubling lengths.
     """
-    left = settled(edges.select("source_id", "target_id").distinct())
-    found = None
+    both = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = settled(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("least")))
     while True:
-        while True:  # what has no way in or no way out is on no cycle
-            core = left.select(F.col("source_id").alias("id")).intersect(left.select(F.col("target_id").alias("id")))
-            trimmed = settled(induced(core, left))
-            same = trimmed.count() == left.count()
-            left = trimmed
-            if same:
-                break
-        if left.limit(1).count() == 0:
-            return found if found is not None else edges.select(F.col("source_id").alias("id"), F.col("source_id").alias("component")).limit(0)
-        colour = settled(left.select(F.col("source_id").alias("id")).distinct().withColumn("colour", F.col("id")))
-        while True:
-            pushed = left.join(colour.withColumnRenamed("id", "source_id"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.max("colour").alias("pushed"))
-            new = settled(colour.join(pushed, "id", "left").select("id", "colour", F.greatest("colour", F.coalesce("pushed", "colour")).alias("better")))
-            moved = new.filter("better <> colour").limit(1).count()
-            colour = new.select("id", F.col("better").alias("colour"))
-            if not moved:
-                break
-        inner = left.join(colour.withColumnRenamed("id", "source_id").withColumnRenamed("colour", "c1"), "source_id").join(colour.withColumnRenamed("id", "target_id").withColumnRenamed("colour", "c2"), "target_id").filter("c1 = c2").select("source_id", "target_id")
-        inner = settled(inner)
-        own = settled(colour.filter("id = colour").select("id", F.col("colour").alias("component")))
-        fresh = own
-        while True:
-            back = inner.join(fresh.withColumnRenamed("id", "target_id"), "target_id").select(F.col("source_id").alias("id"), "component").distinct().join(own.select("id"), "id", "left_anti")
-            fresh = settled(back)
-            if fresh.limit(1).count() == 0:
-                break
-            own = settled(own.unionByName(fresh))
-        found = own if found is None else settled(found.unionByName(own))
-        rest = left.join(own.select(F.col("id").alias("source_id")), "source_id", "left_anti")
-        left = settled(rest.join(own.select(F.col("id").alias("target_id")), "target_id", "left_anti"))
+        if told:
+            told("group")
+        near = both.join(label.select(F.col("id").alias("b"), F.col("least").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        found = label.join(near, "id").select("id", F.col("least").alias("was"), F.least("least", "near").alias("at"))
+        far = label.select(F.col("id").alias("at"), F.col("least").alias("far"))
+        moved = settled(found.join(far, "at", "left").select("id", "was", F.least("at", F.coalesce("far", "at")).alias("least")))
+        label = moved.select("id", "least")
+        if moved.filter("was <> least").limit(1).count() == 0:
+            return label
+
+
+def chains(links: DataFrame, told: Callable[[str], None] | None = None) -> DataFrame:
+    """``id``, ``back``, ``forth``, ``first``, ``ring``, ``most`` of the nodes with one way in and one way out.
+
+    ``back`` and ``forth`` are the nodes at the ends of their chain, ``first``
+    tells the chain's first node, and of nodes on a ``ring`` of their own, which
+    has no ends, ``most`` is its largest.  Pointers jump to the pointers of where
+    they lead, so a chain of n nodes takes about log2 n rounds.
+    """
+    ways_out = links.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"), F.min("target_id").alias("forth")).filter("n = 1")
+    ways_in = links.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n"), F.min("source_id").alias("back")).filter("n = 1")
+    inner = settled(ways_out.select("id", "forth").join(ways_in.select("id", "back"), "id"))
+    size = inner.count()
+    here = inner.select("id", F.lit(True).alias("open"))
+    side = lambda c: here.select(F.col("id").alias(c), F.col("open").alias(f"{c}_open"))
+    state = inner.join(side("forth"), "forth", "left").join(side("back"), "back", "left")
+    state = settled(state.select("id", "back", "forth", F.coalesce("back_open", F.lit(False)).alias("back_open"), F.coalesce("forth_open", F.lit(False)).alias("forth_open"), (~F.coalesce("back_open", F.lit(False))).alias("first"), F.col("id").alias("most")))
+    for _ in range(max(size - 1, 0).bit_length()):
+        if state.filter("back_open OR forth_open").limit(1).count() == 0:
+            break
+        if told:
+            told("jump")
+        ahead = state.select(F.col("id").alias("forth"), F.col("forth").alias("f"), F.col("forth_open").alias("fo"), F.col("most").alias("m"))
+        behind = state.select(F.col("id").alias("back"), F.col("back").alias("b"), F.col("back_open").alias("bo"))
+        jumped = state.join(ahead, "forth", "left").join(behind, "back", "left")
+        state = settled(
+            jumped.select(
+                "id",
+                F.when(F.col("back_open"), F.col("b")).otherwise(F.col("back")).alias("back"),
+                F.when(F.col("forth_open"), F.col("f")).otherwise(F.col("forth")).alias("forth"),
+                (F.col("back_open") & F.col("bo")).alias("back_open"),
+                (F.col("forth_open") & F.col("fo")).alias("forth_open"),
+                "first",
+                F.when(F.col("forth_open"), F.greatest("most", "m")).otherwise(F.col("most")).alias("most"),
+            )
+        )
+    return state.select("id", "back", "forth", "first", (F.col("back_open") & F.col("forth_open")).alias("ring"), "most")
+
+
+def _renamed(links: DataFrame, names: DataFrame) -> DataFrame:
+    """Links with their ends under new names (``id``, ``to``), loops and repetitions dropped; others keep theirs."""
+    out = links.join(names.select(F.col("id").alias("source_id"), F.col("to").alias("s")), "source_id", "left").join(names.select(F.col("id").alias("target_id"), F.col("to").alias("t")), "target_id", "left")
+    return out.select(F.coalesce("s", "source_id").alias("source_id"), F.coalesce("t", "target_id").alias("target_id")).filter("source_id <> target_id").distinct()
+
+
+def _reached(links: DataFrame, rounds: int, turn: int, told: Callable[[str], None]) -> tuple[DataFrame, bool]:
+    """``id``, ``ahead``, ``behind``: of the nodes that reach it, and that it reaches, in ``rounds`` steps the one of highest rank; and whether more steps change nothing."""
+    ids = links.select(F.col("source_id").alias("id")).unionByName(links.select(F.col("target_id").alias("id"))).distinct()
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("id"))
+    state = settled(ids.select("id", rank("id").alias("ahead"), rank("id").alias("behind")))
+    for _ in range(rounds):
+        told("reach")
+        down = links.join(state.select(F.col("id").alias("source_id"), "ahead"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.max("ahead").alias("a"))
+        up = links.join(state.select(F.col("id").alias("target_id"), "behind"), "target_id").groupBy(F.col("source_id").alias("id")).agg(F.max("behind").alias("b"))
+        better = state.join(down, "id", "left").join(up, "id", "left")
+        new = settled(better.select("id", F.col("ahead").alias("was_a"), F.col("behind").alias("was_b"), F.greatest("ahead", F.coalesce("a", "ahead")).alias("ahead"), F.greatest("behind", F.coalesce("b", "behind")).alias("behind")))
+        state = new.select("id", "ahead", "behind")
+        if new.filter("ahead <> was_a OR behind <> was_b").limit(1).count() == 0:
+            return state, True
+    return state, False
+
+
+def strong_components(edges: DataFrame, told: Callable[[str], None] | None = None) -> DataFrame:
+    """``id``, ``component``: nodes on cycles, by strongly connected component (named by its largest id), nodes that link to themselves included.
+
+    The graph shrinks by rules that keep its components.  Nodes without a way in
+    or out go.  Nodes that link to each other become one.  A chain of nodes with
+    one way in and one way out becomes a link between its ends, found by pointer
+    doubling, whatever its length; it is in a component if both ends are in the
+    same, and a ring is one.  What is left is searched forward and backward from
+    all nodes at once: a node that the same node of highest rank reaches and is
+    reached from within some steps becomes one with it, so that clusters all over
+    the graph shrink in one search; only a search that changes nothing is made
+    longer, and one that has reached all there is cuts the links between
+    different results.  At last the rules are undone in reverse order.  ``told``
+    is called with a name in every round.
+    """
+    told = told or (lambda name: None)
+    loops = edges.filter("source_id = target_id").select(F.col("source_id").alias("id")).distinct()
+    links = settled(edges.select("source_id", "target_id").filter("source_id IS NOT NULL AND target_id IS NOT NULL AND source_id <> target_id").distinct())
+    size, steps, length, turn = links.count(), [], 2, 0
+    while size:
+        before = size
+        told("trim")
+        core = links.select(F.col("source_id").alias("id")).intersect(links.select(F.col("target_id").alias("id")))
+        links = settled(induced(core, links))
+        mutual = settled(links.join(links.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")), ["source_id", "target_id"]).filter("source_id < target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
+        if mutual.limit(1).count():
+            merged = settled(linked_groups(mutual, told).filter("id <> least").select("id", F.col("least").alias("to")))
+            steps.append((merged, None))
+            links = settled(_renamed(links, merged))
+        found = settled(chains(links, told))
+        if found.limit(1).count():
+            rings = settled(found.filter("ring AND id <> most").select("id", F.col("most").alias("to")))
+            inner = settled(found.filter("NOT ring"))
+            steps += [(rings, None), (inner, "chain")]
+            short = inner.filter("first AND back <> forth").select(F.col("back").alias("source_id"), F.col("forth").alias("target_id"))
+            gone = found.select("id")
+            outer = links.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_anti").join(gone.select(F.col("id").alias("target_id")), "target_id", "left_anti")
+            links = settled(outer.select("source_id", "target_id").unionByName(short).distinct())
+        size = links.count()
+        if not size or size < 0.9 * before:
+            continue
+        turn += 1
+        near, whole = _reached(links, length, turn, told)
+        same = settled(near.filter("ahead = behind AND ahead.id <> id").select("id", F.col("ahead.id").alias("to")))
+        if same.limit(1).count():
+            steps.append((same, None))
+        if whole:
+            ends = near.select("id", F.struct("ahead", "behind").alias("seen"))
+            kept = links.join(ends.select(F.col("id").alias("source_id"), F.col("seen").alias("s")), "source_id").join(ends.select(F.col("id").alias("target_id"), F.col("seen").alias("t")), "target_id").filter("s = t")
+            links = kept.select("source_id", "target_id")
+        links = settled(_renamed(links, same))
+        size = links.count()
+        if size > 0.9 * before:
+            length *= 2
+    label = None
+    for step, kind in reversed(steps):
+        told("undo")
+        if kind is None:
+            own = step.select("id", "to") if label is None else step.join(label.select(F.col("id").alias("to"), "label"), "to", "left").select("id", F.coalesce("label", "to").alias("to"))
+        else:
+            own = step.select("id", "back", "forth")
+            for end in ("back", "forth"):
+                own = own if label is None else own.join(label.select(F.col("id").alias(end), F.col("label").alias(f"l_{end}")), end, "left").withColumn(end, F.coalesce(f"l_{end}", end)).select("id", "back", "forth")
+            own = own.filter("back = forth").select("id", F.col("back").alias("to"))
+        own = own.select("id", F.col("to").alias("label"))
+        label = settled(own if label is None else label.unionByName(own))
+    if label is None:
+        return loops.select("id", F.col("id").alias("component"))
+    every = label.unionByName(label.select(F.col("label").alias("id"), "label").distinct())
+    named = every.groupBy("label").agg(F.max("id").alias("component"))
+    alone = loops.join(every.select("id"), "id", "left_anti")
+    return every.join(named, "label").select("id", "component").unionByName(alone.select("id", F.col("id").alias("component")))
 
 
 def cycles(edges: DataFrame, kinds: tuple[str, ...] = ("import", "call")) -> DataFrame:

@@ -844,6 +844,48 @@ def flow_steps(spark, sf_dir):
     return flow.steps(tables.python_sources(spark, sf_dir), "main").select("file", "step", "callee", F.array_join("outputs", ",").alias("outputs"))
 
 
+VISITS = """o AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next, o_custkey FROM orders)"""
+
+
+def _visits(spark, sf_dir):
+    """Orders and, for each, the same customer's next one."""
+    own = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), "o_custkey", F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long").alias("next"))
+    return own
+
+
+@query(
+    f"""WITH {VISITS}, m AS (SELECT count(next)::DOUBLE AS m FROM o), c AS (SELECT min(id) AS community, count(*) AS size, count(next) AS inner_links FROM o GROUP BY o_custkey),
+ q AS (SELECT sum(inner_links / m - 0.1 * (inner_links / m) ** 2) AS q FROM c, m)
+ SELECT community, size, inner_links, round(q, 9) AS modularity, true AS rises FROM c, q"""
+)
+def louvain_levels(spark, sf_dir):
+    """Communities of all orders, linked along each customer's history; the best ones at a low resolution are the customers."""
+    own = _visits(spark, sf_dir)
+    links = own.filter("next IS NOT NULL").select(F.col("id").alias("a"), F.col("next").alias("b"))
+    found, history = communities.louvain(own.select("id"), links, 0.1)
+    sizes = found.groupBy("community").agg(F.count("*").alias("size"))
+    inner = links.join(found.withColumnRenamed("id", "a"), "a").join(found.select(F.col("id").alias("b"), F.col("community").alias("other")), "b").filter("community = other").groupBy("community").agg(F.count("*").alias("inner_links"))
+    before = F.lag("modularity").over(W.orderBy("level", "sweep"))  # a row for each sweep
+    quality = history.withColumn("rises", F.coalesce(F.col("modularity") >= before - 1e-12, F.lit(True))).agg(F.round(F.max_by("modularity", F.struct("level", "sweep")), 9).alias("modularity"), F.min("rises").alias("rises"))
+    return sizes.join(inner, "community", "left").select("community", "size", F.coalesce("inner_links", F.lit(0)).alias("inner_links")).join(F.broadcast(quality))  # one row
+
+
+@query(
+    f"""WITH {VISITS}, r AS (SELECT o_custkey, max(id) AS component, count(*) AS n, bool_or(c_acctbal < 0) AS ring FROM o JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+ SELECT id, component FROM o JOIN r USING (o_custkey) WHERE ring AND n > 1"""
+)
+def order_rings(spark, sf_dir):
+    """Components of all orders: each leads to the customer's next one, the last to the first if the customer owes, and to the first of the customer after."""
+    own = _visits(spark, sf_dir)
+    ends = own.groupBy("o_custkey").agg(F.max(F.when(F.col("next").isNull(), F.col("id"))).alias("last"))
+    heads = own.join(own.select(F.col("next").alias("id")).filter("id IS NOT NULL"), "id", "left_anti").select("o_custkey", F.col("id").alias("first"))
+    owing = tables.table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    back = ends.join(heads, "o_custkey").join(owing, "o_custkey").select(F.col("last").alias("source_id"), F.col("first").alias("target_id")).filter("source_id <> target_id")
+    after = ends.select((F.col("o_custkey") + 1).alias("o_custkey"), "last").join(heads, "o_custkey").select(F.col("last").alias("source_id"), F.col("first").alias("target_id"))
+    links = own.filter("next IS NOT NULL").select(F.col("id").alias("source_id"), F.col("next").alias("target_id"))
+    return graph.strong_components(links.unionByName(back).unionByName(after))
+
+
 @query("SELECT count(*) AS nodes, count(*) AS ids, true AS grouped FROM nation")
 def louvain_cover(spark, sf_dir):
     """Every node is in exactly one community, and communities hold several."""
