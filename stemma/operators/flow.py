@@ -15,6 +15,9 @@ from stemma.schema import TRIVIAL_CALLS
 STEPS = "file string, function string, step long, line long, callee string, full_callee string, outputs array<string>, args array<string>, kwargs map<string,string>, loop string, condition string, label string"
 LABEL_LINES = 6
 
+#: Characters of a variable that the index of inputs goes by.
+GRAM = 5
+
 
 def step_label(lines: list[str], line: int) -> str | None:
     """The nearest comment with dashes in the lines above."""
@@ -125,15 +128,30 @@ def steps(sources: DataFrame, function: str) -> DataFrame:
     return sources.filter("text IS NOT NULL AND file LIKE '%.py'").select("file", "text").mapInPandas(run, STEPS)
 
 
+def candidate_dependencies(rows: DataFrame, key: str = "file") -> DataFrame:
+    """(``producer``, ``consumer``, ``variable``, ``inputs``) of steps in order whose inputs have the variable's first GRAM characters.
+
+    An inverted index: inputs by their pieces as long as some variable's beginning,
+    variables by their beginning, joined on the piece.
+    """
+    made = rows.select(key, F.col("step").alias("producer"), F.explode("outputs").alias("variable")).filter("variable <> ''").withColumn("piece", F.substring("variable", 1, GRAM))
+    lengths = made.groupBy(key).agg(F.collect_set(F.length("piece")).alias("lengths"))  # GRAM at most
+    used = rows.select(key, F.col("step").alias("consumer"), "inputs").join(lengths, key)
+    pieces = lambda text, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
+    every = F.flatten(F.transform("lengths", lambda n: F.flatten(F.transform(F.filter("inputs", lambda t: t.isNotNull()), lambda t: pieces(t, n)))))
+    index = used.select(key, "consumer", F.explode(F.array_distinct(every)).alias("piece"))
+    met = made.join(index, [key, "piece"]).filter("producer < consumer").select(key, "producer", "consumer", "variable")
+    return met.join(rows.select(key, F.col("step").alias("consumer"), "inputs"), [key, "consumer"])
+
+
 def data_dependencies(rows: DataFrame, key: str = "file") -> DataFrame:
     """(``producer``, ``consumer``, ``variable``): an earlier step's output occurs in a later step's inputs.
 
     ``rows``: ``step``, ``outputs`` and ``inputs`` (arrays of text) for each key.
+    Only pairs that an index of pieces brings together are compared.
     """
-    made = rows.select(key, F.col("step").alias("producer"), F.explode("outputs").alias("variable")).filter("variable <> ''")
-    used = rows.select(key, F.col("step").alias("consumer"), "inputs")
-    joined = made.join(used, key).filter("producer < consumer")
-    return joined.filter(F.exists("inputs", lambda t: F.contains(t, F.col("variable")))).select(key, "producer", "consumer", "variable")
+    found = candidate_dependencies(rows, key).filter(F.exists("inputs", lambda t: F.contains(t, F.col("variable"))))
+    return found.select(key, "producer", "consumer", "variable")
 
 
 def chained(rows: DataFrame, key: str = "file") -> DataFrame:

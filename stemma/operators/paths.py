@@ -59,19 +59,32 @@ def is_subsequence(short, long):
     return rises
 
 
+def containment(paths: DataFrame) -> DataFrame:
+    """(``short``, ``long``): candidates for a path that stands within a longer one.
+
+    A short path is looked for where the element of it that the fewest paths have
+    stands, and only in longer paths that have its last element further on; so a
+    hub on every path brings no two together.
+    """
+    own = paths.select("path", F.size("path").alias("n"))
+    places = own.select("path", "n", F.explode("path").alias("element"))
+    common = places.groupBy("element").agg(F.count("*").alias("paths"))
+    rare = places.join(common, "element").groupBy("path", "n").agg(F.min(F.struct("paths", "element")).alias("rare")).select(F.col("path").alias("short"), "n", F.col("rare.element").alias("element"))
+    beyond = places.select(F.col("path").alias("long"), F.col("n").alias("m"), "element")
+    last = F.element_at("short", -1)
+    return rare.join(beyond, "element").filter((F.col("n") < F.col("m")) & F.array_contains("long", last) & (F.array_position("long", F.col("short")[0]) < F.array_position("long", last))).select("short", "long")
+
+
 def processes(nodes: DataFrame, edges: DataFrame, order: str = "seq", most: int = MOST) -> DataFrame:
     """``process_id``, ``name``, ``entry``, ``terminal``, ``steps`` (step, id, name), ``step_count`` of call paths.
 
     Paths of SHORTEST nodes or more; one that is a subsequence of a longer one
-    goes (they share their elements, so candidates meet on the first one).  The
-    longest come first, ties by entry points' calls, then by path.
+    goes.  The longest come first, ties by entry points' calls, then by path.
     """
     links = settled(call_links(nodes, edges, order))
     starts = entry_points(nodes, links)
     paths = settled(simple_paths(starts, settled(branches(links))).filter(F.size("path") >= SHORTEST).withColumn("n", F.size("path")))
-    inside = paths.select(F.col("path").alias("short"), "n", F.col("path")[0].alias("k"))
-    beyond = paths.select(F.col("path").alias("long"), F.col("n").alias("m"), F.explode("path").alias("k"))
-    covered = inside.join(beyond, "k").filter((F.col("n") < F.col("m")) & is_subsequence(F.col("short"), F.col("long"))).select(F.col("short").alias("path")).distinct()
+    covered = containment(paths).filter(is_subsequence(F.col("short"), F.col("long"))).select(F.col("short").alias("path")).distinct()
     kept = paths.join(covered, "path", "left_anti").join(starts.select(F.col("id").alias("entry"), "fan_out"), F.col("path")[0] == F.col("entry"))
     top = settled(kept.orderBy(F.desc("n"), F.desc("fan_out"), "path").limit(most))
     number = F.row_number().over(W.orderBy(F.desc("n"), F.desc("fan_out"), "path")) - 1  # at most `most` rows

@@ -151,18 +151,41 @@ def activity_histogram(frames: DataFrame, buckets: int = 100) -> DataFrame:
     return own.withColumn("normalised", F.col("activity") / F.max("activity").over(_session()))
 
 
+def line_blocks(first, last, levels: int):
+    """The blocks (``level``, ``block``) of 2^level lines that make up the lines from first to last: at most two of a level."""
+    start = F.struct(first.cast("long").alias("a"), (last.cast("long") + 1).alias("b"), F.array().cast("array<struct<level:int,block:bigint>>").alias("found"))
+
+    def up(s, level):
+        block = lambda n: F.array(F.struct(level.alias("level"), n.alias("block")))
+        none = F.array().cast("array<struct<level:int,block:bigint>>")
+        odd_a, odd_b = (s["a"] < s["b"]) & (s["a"] % 2 == 1), (s["a"] < s["b"]) & (s["b"] % 2 == 1)
+        found = F.concat(s["found"], F.when(odd_a, block(s["a"])).otherwise(none), F.when(odd_b & (s["b"] - 1 >= s["a"] + odd_a.cast("long")), block(s["b"] - 1)).otherwise(none))
+        a, b = s["a"] + odd_a.cast("long"), s["b"] - odd_b.cast("long")
+        return F.struct(F.floor(a / 2).alias("a"), F.greatest(F.floor(b / 2), F.floor(a / 2)).alias("b"), found.alias("found"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, up, lambda s: s["found"])
+
+
 def located(frames: DataFrame, nodes: DataFrame) -> DataFrame:
     """Frames (``qualified_name``, ``file``, ``lineno``) with the node they ran in.
 
     By qualified name, else the first node in load order (``seq``) whose lines
-    in the same file hold the frame's.
+    in the same file hold the frame's.  A node's lines are cut into blocks of
+    powers of two, of which each keeps its first node; a line is in one block of
+    each size, so it meets as many rows as there are sizes, however many nodes a
+    file has and however they overlap.
     """
     by_name = nodes.groupBy("qualified_name").agg(F.min_by("id", F.struct("seq", "id")).alias("by_name"))
     named = frames.join(by_name, "qualified_name", "left")
-    spans = nodes.select("file", F.col("line").alias("a"), F.coalesce("end_line", F.lit(2**62)).alias("b"), "id", "seq")
-    places = named.filter("by_name IS NULL").select("file", "lineno").distinct()  # a place's node doesn't depend on the frame
-    inside = places.join(spans, "file").filter(F.col("lineno").between(F.col("a"), F.col("b")))
-    by_line = inside.groupBy("file", "lineno").agg(F.min_by("id", F.struct("seq", "id")).alias("by_line"))
+    lost = named.filter("by_name IS NULL AND lineno >= 0")
+    last = max((r[0] or 0) for r in (nodes.agg(F.max(F.greatest("line", "end_line"))).first(), lost.agg(F.max("lineno")).first()))
+    levels = int(last + 1).bit_length()
+    spans = nodes.filter("line IS NOT NULL").select("file", F.greatest("line", F.lit(0)).alias("a"), F.coalesce("end_line", F.lit(last)).alias("b"), "id", "seq").filter("a <= b")
+    blocks = spans.select("file", "id", "seq", F.explode(line_blocks(F.col("a"), F.col("b"), levels)).alias("at")).groupBy("file", "at.level", "at.block").agg(F.min(F.struct("seq", "id")).alias("node"))
+    places = lost.select("file", "lineno").distinct()  # a place's node doesn't depend on the frame
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    asked = places.select("file", "lineno", sizes.alias("level")).withColumn("block", F.floor(F.col("lineno") / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
+    by_line = asked.join(blocks, ["file", "level", "block"]).groupBy("file", "lineno").agg(F.min("node").alias("node")).select("file", "lineno", F.col("node.id").alias("by_line"))
     return named.join(by_line, ["file", "lineno"], "left").withColumn("node_id", F.coalesce("by_name", "by_line")).drop("by_name", "by_line")
 
 

@@ -313,7 +313,14 @@ def call_paths_len4(spark, sf_dir):
     return found.groupBy(F.col("path")[0].alias("start")).agg(F.count("*").alias("paths"), F.min(text).alias("least"), F.max(text).alias("most"))
 
 
-@query(None)
+@query(
+    f"""WITH {NODES}, {_edges()}, c AS MATERIALIZED (SELECT source_id, target_id FROM edges WHERE edge_type = 'call'), fan AS (SELECT source_id, count(*) AS n FROM c GROUP BY 1),
+ step AS MATERIALIZED (SELECT source_id, target_id FROM (SELECT d.source_id, d.target_id, row_number() OVER (PARTITION BY d.source_id ORDER BY fan.n DESC NULLS LAST, d.target_id) AS r FROM (SELECT DISTINCT * FROM c) d LEFT JOIN fan ON fan.source_id = d.target_id) WHERE r <= 4),
+ entry AS (SELECT fan.source_id, fan.n FROM fan SEMI JOIN (SELECT id AS source_id FROM nodes WHERE node_type IN ('function', 'method', 'class')) USING (source_id) ANTI JOIN (SELECT target_id AS source_id FROM c) USING (source_id)),
+ p AS (SELECT [a.source_id, a.target_id, b.target_id] || CASE WHEN d.target_id IS NULL THEN [] ELSE [d.target_id] END AS path, entry.n AS fan_out FROM entry JOIN step a USING (source_id) JOIN step b ON a.target_id = b.source_id LEFT JOIN step d ON b.target_id = d.source_id),
+ top AS (SELECT *, row_number() OVER (ORDER BY len(path) DESC, fan_out DESC, path) - 1 AS i FROM p)
+ SELECT 'process_' || i AS process_id, path[1] AS entry, path[-1] AS terminal, len(path) AS step_count FROM top WHERE i < 75"""
+)
 def processes_topk(spark, sf_dir):
     nodes = tables.nodes(spark, sf_dir).withColumn("seq", F.lit(0))
     return paths.processes(nodes, tables.edges(spark, sf_dir)).select("process_id", "entry", "terminal", F.col("step_count").cast("long").alias("step_count"))
