@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,8 +11,8 @@ from stemma.operators.graph import settled
 REPULSION = 1000.0
 ATTRACTION = 0.01
 SIDE = 100.0
-#: Repulsion acts between nodes of neighbouring cells: the least cells along each side, and nodes that a cell should hold.
-CELLS, CROWD = 5, 8
+#: Halvings of the box that holds all nodes; a cell is taken as one body where its side is under OPENING times its distance.
+LEVELS, OPENING = 16, 0.8
 
 
 def sphere_points(rows: DataFrame, key: str, digits: int = 2) -> DataFrame:
@@ -49,33 +47,96 @@ def layout_key(nodes: DataFrame, links: DataFrame) -> str:
     return hashlib.md5(f"{n[0]}:{n[1]}|{e[0]}:{e[1]}".encode()).hexdigest()
 
 
+def octree(points: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """``level``, ``code``, ``n``, ``x``, ``y``, ``z``, ``side``: the cells of a linear octree over points (``id``, ``x``, ``y``, ``z``).
+
+    A cell's code is the Morton code of its place among the cells of its level,
+    in a cube that holds all points; it has the number and the mean of its points.
+    Only cells within a cell of two points or more are kept, so the tree is as
+    deep as the points are close, up to ``levels``.  No points, no cells.
+    """
+    placed, side = morton(points, levels)
+    own = placed.select("x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"), F.col("code").alias("whole"))
+    cell = F.floor(F.col("whole") / F.pow(F.lit(8.0), levels - F.col("level"))).cast("long")
+    cells = own.groupBy("level", cell.alias("code")).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "xyz"])
+    above = cells.filter("n > 1").select((F.col("level") + 1).alias("level"), F.col("code").alias("parent"))
+    inner = cells.withColumn("parent", F.floor(F.col("code") / 8).cast("long")).join(above, ["level", "parent"], "left_semi")
+    kept = inner.select("level", "code", "n", "x", "y", "z").unionByName(cells.filter("level = 0").select("level", "code", "n", "x", "y", "z"))
+    return kept.withColumn("side", F.lit(side) / F.pow(F.lit(2.0), F.col("level")))
+
+
+def morton(points: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, float]:
+    """Points with the ``code`` of their cell of the last level, x's bits highest, and the side of the cube."""
+    box = points.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if box["lox"] is None:
+        return points.withColumn("code", F.lit(0).cast("long")), 0.0
+    side = max(max(box[f"hi{c}"] - box[f"lo{c}"] for c in "xyz"), 1e-9)
+    cells = 1 << levels
+    at = {c: F.least(F.lit(cells - 1), F.floor((F.col(c) - F.lit(box[f"lo{c}"])) / F.lit(side) * cells)).cast("long") for c in "xyz"}
+    code = F.lit(0).cast("long")
+    for bit in range(levels):
+        for k, c in enumerate("zyx"):
+            code = code + F.shiftleft(F.shiftright(at[c], bit).bitwiseAND(1), 3 * bit + k)
+    return points.withColumn("code", code), side
+
+
+def repulsion(points: DataFrame, levels: int = LEVELS, opening: float = OPENING) -> tuple[DataFrame, DataFrame]:
+    """(``id``, ``fx``, ``fy``, ``fz``, ``energy``, ``bodies``) and the octree: what all other points do to each.
+
+    Down the tree, level by level, each point meets the children of the cells it
+    has opened by a join on the cell.  A cell that is far for its side, or has one
+    point, acts as one body at its mean; others are opened.  A cell of the last
+    level acts whole, but for the point itself.  Points far from all others make
+    the tree deeper and no cell fuller.
+    """
+    placed, _ = morton(points, levels)
+    placed = settled(placed.select("id", "x", "y", "z", "code"))
+    tree = settled(octree(points, levels))
+    depth = tree.agg(F.max("level")).first()[0]
+    met = None
+    opened = placed.select("id", "x", "y", "z", F.col("code").alias("own"), F.lit(None).cast("long").alias("parent"))
+    for level in range((depth if depth is not None else -1) + 1):
+        cells = tree.filter(F.col("level") == level).select(F.floor(F.col("code") / 8).cast("long").alias("parent"), F.col("code").alias("cell"), "n", "side", *[F.col(c).alias(f"o{c}") for c in "xyz"])
+        if level == 0:
+            pairs = opened.drop("parent").join(F.broadcast(cells.drop("parent")))  # one row
+        else:
+            pairs = opened.join(cells, "parent").drop("parent")
+        within = F.floor(F.col("own") / F.pow(F.lit(8.0), F.lit(levels - level))).cast("long") == F.col("cell")
+        d = F.sqrt(sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"))
+        last = level == levels
+        single = (F.col("n") == 1) | F.lit(last)
+        far = ~within & (F.col("side") < opening * d)
+        judged = settled(pairs.withColumn("within", within).withColumn("acts", single | far))
+        rest = F.col("n") - F.col("within").cast("int")
+        centre = [F.when(F.col("within"), (F.col("n") * F.col(f"o{c}") - F.col(c)) / rest).otherwise(F.col(f"o{c}")).alias(f"o{c}") for c in "xyz"]
+        acting = judged.filter(F.col("acts") & (rest > 0)).select("id", "x", "y", "z", rest.alias("n"), *centre)
+        met = acting if met is None else met.unionByName(acting)
+        opened = judged.filter("NOT acts").select("id", "x", "y", "z", "own", F.col("cell").alias("parent"))
+    if met is None:
+        return points.select("id", *[F.lit(0.0).alias(c) for c in ("fx", "fy", "fz", "energy")], F.lit(0).cast("long").alias("bodies")).limit(0), tree
+    d2 = F.greatest(F.lit(0.01), sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"))
+    push = [(F.col("n") * REPULSION / d2 * (F.col(c) - F.col(f"o{c}")) / F.sqrt(d2)).alias(f"f{c}") for c in "xyz"]
+    force = met.select("id", *push, (F.col("n") * REPULSION / F.sqrt(d2)).alias("energy"))
+    return force.groupBy("id").agg(*[F.sum(f"f{c}").alias(f"f{c}") for c in "xyz"], F.sum("energy").alias("energy"), F.count("*").alias("bodies")), tree
+
+
 def force_layout(nodes: DataFrame, links: DataFrame, iterations: int = 100, seed: int = 1) -> DataFrame:
-    """``id``, ``x``, ``y``, ``z`` after repulsion between neighbours in space and attraction along links.
+    """``id``, ``x``, ``y``, ``z`` after repulsion between all nodes and attraction along links.
 
-    Each node starts at a place given by a hash of its id and the seed.  In a
-    step nodes meet those of the 27 cells around theirs by an equi-join on the
-    cell; cells grow in number with the nodes, so the cost follows the nodes and
-    not their pairs.
+    Each node starts at a place given by a hash of its id and the seed.  Far nodes
+    repel by the cells of an octree (``repulsion``), so the cost of a step follows
+    the nodes and the depth of the tree, and not the pairs.
     """
     at = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1_000_003)) / 1_000_003.0 * SIDE
     state = settled(nodes.select("id").distinct().select("id", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), *[F.lit(0.0).alias(v) for v in ("vx", "vy", "vz")]))
     both = settled(links.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("o"))))
-    side = max(CELLS, math.ceil((state.count() / CROWD) ** (1 / 3)))
     for step in range(iterations):
         damping = 0.9 - 0.4 * step / max(1, iterations - 1)
-        box = state.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
-        cell = lambda c: F.least(F.lit(side - 1), F.floor((F.col(c) - box[f"lo{c}"]) / (max(box[f"hi{c}"] - box[f"lo{c}"], 1e-9) / side))).cast("int")  # noqa: E731, B023
-        placed = state.withColumn("cx", cell("x")).withColumn("cy", cell("y")).withColumn("cz", cell("z"))
-        other = placed.select(F.col("id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), "cx", "cy", "cz")
-        seen = placed.select("id", "x", "y", "z", "cx", "cy", "cz")
-        for c in ("cx", "cy", "cz"):
-            seen = seen.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
-        near = seen.join(other, ["cx", "cy", "cz"]).filter("id <> o")
-        d2 = F.greatest(F.lit(0.01), (F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 + (F.col("z") - F.col("oz")) ** 2)
-        push = [(REPULSION / d2 * (F.col(c) - F.col(f"o{c}")) / F.sqrt(d2)).alias(f"f{c}") for c in "xyz"]
-        pulled = both.join(state.select("id", "x", "y", "z"), "id").join(other.select("o", "ox", "oy", "oz"), "o")
+        push, _ = repulsion(state)
+        other = state.select(F.col("id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
+        pulled = both.join(state.select("id", "x", "y", "z"), "id").join(other, "o")
         pull = [(ATTRACTION * (F.col(f"o{c}") - F.col(c))).alias(f"f{c}") for c in "xyz"]
-        force = near.select("id", *push).unionByName(pulled.select("id", *pull)).groupBy("id").agg(*[F.sum(f"f{c}").alias(f"f{c}") for c in "xyz"])
+        force = push.select("id", "fx", "fy", "fz").unionByName(pulled.select("id", *pull)).groupBy("id").agg(*[F.sum(f"f{c}").alias(f"f{c}") for c in "xyz"])
         moved = state.join(force, "id", "left").fillna(0.0)
         speed = {c: (F.col(f"v{c}") + F.col(f"f{c}")) * damping for c in "xyz"}
         state = settled(moved.select("id", *[(F.col(c) + speed[c]).alias(c) for c in "xyz"], *[speed[c].alias(f"v{c}") for c in "xyz"]))
