@@ -937,6 +937,23 @@ def streaming_depth(spark, sf_dir):
     return stream.final_depth(spark, f"{sf_dir}/events.parquet")
 
 
+@query(
+    """WITH e AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 12 * 3600 * 1000000::BIGINT, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM e),
+ r AS (SELECT *, sum(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS s FROM g),
+ d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id, part ORDER BY ts, event_id)) AS depth FROM r)
+ SELECT user_id AS session_id, count(*) AS events, CAST(sum(depth) AS BIGINT) AS depths, CAST(max(depth) AS BIGINT) AS deepest, CAST(sum(depth * (event_id % 1009)) AS BIGINT) AS digest, 0 AS late FROM d GROUP BY 1"""
+)
+def streaming_order(spark, sf_dir):
+    """Depths of all events that arrive up to a day late, out of order, in several micro-batches; twelve hours' pause ends a session."""
+    from stemma.streaming import frames as stream
+
+    events = tables.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(86_000))
+    own = stream.replayed_in_order(events.withColumn("arrival", (F.unix_timestamp("ts") + delay).cast("double")), "arrival", "1 day", "12 hours")
+    return own.groupBy("session_id").agg(F.count("*").alias("events"), F.sum("depth").alias("depths"), F.max("depth").alias("deepest"), F.sum(F.col("depth") * (F.col("event_id") % 1009)).alias("digest"), F.count_if("late").cast("int").alias("late"))
+
+
 # -- what is drawn ---------------------------------------------------------------------
 
 
@@ -990,10 +1007,31 @@ def particles_moved(spark, sf_dir):
     return scene.drawn_particles(scene.moved(own, 0.5)).select(F.col("id").alias("event_id"), "position", *_parts(F.col("colour")))
 
 
+def _placed(spark, sf_dir):
+    """All customers in space, by balance, nation and number."""
+    return tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("x"), (F.col("c_nationkey") * 100.0).alias("y"), F.col("c_custkey").cast("double").alias("z"))
+
+
+@query(
+    """WITH p AS (SELECT CAST(c_acctbal AS DOUBLE) AS x, c_nationkey * 100.0::DOUBLE AS y, CAST(c_custkey AS DOUBLE) AS z FROM customer),
+ b AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z), 1e-9) AS side FROM p),
+ i AS (SELECT p.*, side, least(65535, floor((x - lx) / side * 65536))::BIGINT AS i, least(65535, floor((y - ly) / side * 65536))::BIGINT AS j, least(65535, floor((z - lz) / side * 65536))::BIGINT AS k FROM p, b),
+ m AS (SELECT *, list_sum(list_transform(range(16), lambda t: (((i >> t) & 1) << (3 * t + 2)) + (((j >> t) & 1) << (3 * t + 1)) + (((k >> t) & 1) << (3 * t))))::BIGINT AS code FROM i),
+ c AS (SELECT level, code >> (3 * (16 - level)) AS code, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z, any_value(side) / 2 ** level AS side FROM m, (SELECT unnest(range(17))::INT AS level) GROUP BY 1, 2)
+ SELECT c.level, c.code, c.n, round(c.x * c.n, 2) AS x_sum, round(c.y * c.n, 2) AS y_sum, round(c.z * c.n, 2) AS z_sum, round(c.side, 6) AS side FROM c LEFT JOIN c up ON up.level = c.level - 1 AND up.code = c.code >> 3 WHERE c.level = 0 OR up.n > 1"""
+)
+def layout_octree(spark, sf_dir):
+    """The octree's cells over all customers."""
+    from stemma.operators.layout import octree
+
+    return octree(_placed(spark, sf_dir)).select("level", "code", "n", *[F.round(F.col(c) * F.col("n"), 2).alias(f"{c}_sum") for c in "xyz"], F.round("side", 6).alias("side"))
+
+
 @query(None)
 def force_layout(spark, sf_dir):
+    """Five steps of all regions, nations and suppliers; the tests compare the forces with those of all pairs."""
     from stemma.operators.layout import force_layout as layout
 
-    nodes = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"))
-    links = tables.nation_trade(spark, sf_dir).filter("source_id <> target_id").select(F.col("source_id").cast("string").alias("a"), F.col("target_id").cast("string").alias("b"))
-    return layout(nodes, links, iterations=10)
+    own = tables.nodes(spark, sf_dir).filter("qualified_name LIKE 'region.%' OR qualified_name LIKE 'nation.%' OR qualified_name LIKE 'supplier.%'").select("id")
+    links = graph.induced(own, tables.edges(spark, sf_dir)).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    return layout(own, links, iterations=5)
