@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemma.plans.store import EDGE_SCHEMA, bucket_of
+
 TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+(?:\.\d+)?)|(?P<par>\$\w+)|(?P<op><=|>=|<>|!=|->|<-|=~|[-=<>(){}\[\]:,.*|])|(?P<word>\w+))")
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect"}
 
@@ -220,20 +222,32 @@ def _matched(store, nodes: list[Pattern], relations: list[Pattern]) -> DataFrame
         known.label, known.properties = known.label or n.label, {**known.properties, **n.properties}
     out, seen = None, set()
     for r in relations:
-        rows = store.edges()
+        stored, buckets = store.relations()
+        rows, start = stored, by_name[r.source]
         for key, value in r.properties.items():
             rows = rows.filter(F.col(key) == value)
-        rows = rows.select(F.col("source").alias(f"{r.source}.uid"), F.col("target").alias(f"{r.target}.uid"), *[F.col(c).alias(f"{r.name}.{c}") for c in rows.columns])
+        if buckets and start.label:  # relations are laid out by the label and the bucket of their sources
+            rows = rows.filter(F.col("source_label") == start.label)
+        if buckets and "uid" in start.properties:
+            uid = F.lit(start.properties["uid"])
+            rows = rows.filter((F.col("source") == uid) & (F.col("bucket") == F.pmod(F.xxhash64(uid), F.lit(buckets)).cast("int")))
         if r.source == r.target:
-            rows = store.edges().filter("source = target").select(F.col("source").alias(f"{r.source}.uid"), *[F.col(c).alias(f"{r.name}.{c}") for c in store.edges().columns])
+            rows = rows.filter("source = target")
+        ends = [F.col("source").alias(f"{r.source}.uid")] + ([F.col("target").alias(f"{r.target}.uid")] if r.source != r.target else [])
+        rows = rows.select(*ends, F.col("bucket").alias(f"{r.source}.#bucket"), *[F.col(c).alias(f"{r.name}.{c}") for c in EDGE_SCHEMA.names])
         shared = [c for c in (f"{r.source}.uid", f"{r.target}.uid") if out is not None and c in out.columns]
         if out is not None and not shared:
             raise QueryError("patterns must hang together")
-        out = rows if out is None else out.join(rows, [f"{c}" for c in dict.fromkeys(shared)])
+        out = rows if out is None else out.drop(f"{r.source}.#bucket").join(rows, [f"{c}" for c in dict.fromkeys(shared)])
         for name in (r.source, r.target):
             if name not in seen:
                 seen.add(name)
-                out = out.join(_node_columns(store, by_name[name]), f"{name}.uid")
+                own = _node_columns(store, by_name[name])
+                if name == r.source and buckets:  # a bound node's bucket prunes the partitions that are read
+                    out = out.join(own.withColumn(f"{name}.#bucket", bucket_of(f"`{name}.uid`", buckets)), [f"{name}.uid", f"{name}.#bucket"])
+                else:
+                    out = out.join(own, f"{name}.uid")
+        out = out.drop(f"{r.source}.#bucket")
     for name, n in by_name.items():
         if name not in seen:
             if out is not None:
@@ -345,8 +359,6 @@ def _created(store, node: Pattern) -> DataFrame:
 
 
 def _related(store, nodes: list[Pattern], p: Parser) -> DataFrame:
-    from stemma.plans.store import EDGE_SCHEMA
-
     p.need("CREATE")
     _, relations = p.patterns()
     by_name = {n.name: n for n in nodes}
@@ -365,7 +377,7 @@ def _related(store, nodes: list[Pattern], p: Parser) -> DataFrame:
                 raise QueryError(f"both ends of a relation to create have more than {MATCHES} matches")
             ends = large.join(F.broadcast(small))
         rows = ends.select("source", "target", F.lit(r.properties.get("kind", r.label)).cast("string").alias("kind"), F.lit(float(r.properties.get("weight", 1.0))).alias("weight"))
-        rows.select(*EDGE_SCHEMA.names).write.mode("append").parquet(f"{store.path}/relations")
+        store.relate(rows)
         out = rows if out is None else out.unionByName(rows)
     return out.select("source", "target")
 

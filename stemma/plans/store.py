@@ -1,7 +1,19 @@
-"""A property graph stored as Parquet: node tables by label, and one table of relations."""
+"""A property graph stored as Parquet: node tables by label, and one table of relations.
+
+A state of the graph is a manifest: a small numbered file that names the folders
+the graph consists of.  A write makes new folders and then renames a new manifest
+to the next number, which is one step: readers see the graph before or after it,
+and a write that dies leaves the graph as it was.  Two writers can't take the same
+number, so the later one fails.
+
+Relations are laid out by the label of their source and a hash of it, so what
+leads from bound nodes is found by reading their partitions only.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +54,15 @@ STORED = [
 ]
 FULL = ("Module", "Package", "Class", "Function", "Method")
 NODE_SCHEMA = T.StructType([T.StructField(n, {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}[t]) for n, t in STORED])
+#: Relations that a partition of a label should hold, and such partitions at most.
+PARTITION_ROWS, BUCKETS = 1_000_000, 1024
 EDGE_SCHEMA = T.StructType([T.StructField("source", T.StringType()), T.StructField("target", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("weight", T.DoubleType())])
 
 
+def bucket_of(uid: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(uid)), F.lit(max(buckets, 1))).cast("int")
+
+
 def stored_nodes(nodes: DataFrame) -> DataFrame:
     """Graph nodes as stored rows: kinds that aren't stored go, missing values take their defaults."""
     have = {c.lower() for c in nodes.columns}
@@ -107,20 +125,88 @@ class GraphStore:
     def opened(cls, spark: SparkSession, path: str) -> GraphStore:
         """The store at a path, made if there is none."""
         store = cls(spark, path)
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/relations")
-        if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        if not store._version():
             store._write(spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA))
         return store
 
-    def _write(self, nodes: DataFrame, edges: DataFrame, mode: str = "overwrite") -> None:
-        nodes.write.mode(mode).partitionBy("label").parquet(f"{self.path}/nodes")
-        edges.write.mode(mode).parquet(f"{self.path}/relations")
+    def _folder(self, name: str):
+        """A path below the store for Hadoop, and its file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _version(self) -> int:
+        """The number of the latest manifest, 0 without any."""
+        folder, system = self._folder("manifests")
+        if not system.exists(folder):
+            return 0
+        return max([int(f.getPath().getName()) for f in system.listStatus(folder) if f.getPath().getName().isdigit()], default=0)
+
+    def _manifest(self) -> dict:
+        """The folders of the graph, and in how many parts relations of a label are."""
+        version = self._version()
+        if not version:
+            return {"nodes": [], "relations": [], "buckets": 1}
+        path, system = self._folder(f"manifests/{version}")
+        stream = system.open(path)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, manifest: dict, after: int) -> None:
+        """Makes a manifest the one after another, unless somebody else has written meanwhile."""
+        draft, system = self._folder(f"manifests/draft-{uuid.uuid4().hex}")
+        target, _ = self._folder(f"manifests/{after + 1}")
+        stream = system.create(draft)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        if system.exists(target) or not system.rename(draft, target):
+            system.delete(draft, False)
+            raise RuntimeError(f"the store at {self.path} was written by another since it was read")
+
+    def _new(self, kind: str) -> str:
+        return f"{kind}-{uuid.uuid4().hex}"
+
+    def _put_nodes(self, rows: DataFrame) -> str:
+        folder = self._new("nodes")
+        rows.write.partitionBy("label").parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _put_relations(self, rows: DataFrame, labels: DataFrame, buckets: int) -> str:
+        """Relations with their sources' labels (``uid``, ``label``), by label and bucket, in order of their targets."""
+        folder = self._new("relations")
+        own = rows.join(labels.select(F.col("uid").alias("source"), F.col("label").alias("source_label")).dropDuplicates(["source"]), "source", "left")
+        dealt = own.withColumn("bucket", bucket_of("source", buckets)).repartition("source_label", "bucket").sortWithinPartitions("source_label", "bucket", "target")
+        dealt.select(*EDGE_SCHEMA.names, "source_label", "bucket").write.partitionBy("source_label", "bucket").parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _write(self, nodes: DataFrame, edges: DataFrame) -> None:
+        """Replaces the graph; both tables are there before either is seen."""
+        before = self._version()
+        buckets = min(BUCKETS, max(1, -(-edges.count() // PARTITION_ROWS)))
+        manifest = {"nodes": [self._put_nodes(nodes)], "relations": [self._put_relations(edges, nodes, buckets)], "buckets": buckets}
+        self._commit(manifest, before)
+
+    def _read(self, kind: str, schema: T.StructType) -> DataFrame:
+        folders = self._manifest()[kind]
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{f}") for f in folders]
+        out = parts[0] if parts else self.spark.createDataFrame([], schema)
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
     def nodes(self) -> DataFrame:
-        return self._nodes if self._nodes is not None else self.spark.read.schema(NODE_SCHEMA).parquet(f"{self.path}/nodes").select(*[n for n, _ in STORED])
+        return self._nodes if self._nodes is not None else self._read("nodes", NODE_SCHEMA).select(*[n for n, _ in STORED])
+
+    def relations(self) -> tuple[DataFrame, int]:
+        """Relations with ``source_label`` and ``bucket``, by which they are laid out, and the number of buckets."""
+        if self._edges is not None:
+            return self._edges.select("*", F.lit(None).cast("string").alias("source_label"), F.lit(0).alias("bucket")), 0
+        schema = T.StructType([*EDGE_SCHEMA.fields, T.StructField("source_label", T.StringType()), T.StructField("bucket", T.IntegerType())])
+        return self._read("relations", schema), self._manifest()["buckets"]
 
     def edges(self) -> DataFrame:
-        return self._edges if self._edges is not None else self.spark.read.schema(EDGE_SCHEMA).parquet(f"{self.path}/relations")
+        return self._edges if self._edges is not None else self.relations()[0].select(*EDGE_SCHEMA.names)
 
     def save(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         """Replaces all that is stored; returns the edges that were skipped."""
@@ -134,7 +220,14 @@ class GraphStore:
     def add(self, rows: DataFrame) -> None:
         """Appends stored node rows, such as communities and processes."""
         full = rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in STORED])
-        full.write.mode("append").partitionBy("label").parquet(f"{self.path}/nodes")
+        before, manifest = self._version(), self._manifest()
+        self._commit({**manifest, "nodes": [*manifest["nodes"], self._put_nodes(full)]}, before)
+
+    def relate(self, rows: DataFrame) -> None:
+        """Appends relations."""
+        before, manifest = self._version(), self._manifest()
+        folder = self._put_relations(rows.select(*EDGE_SCHEMA.names), self.nodes(), manifest["buckets"])
+        self._commit({**manifest, "relations": [*manifest["relations"], folder]}, before)
 
     def add_communities(self, communities: DataFrame) -> None:
         self.add(communities.select(F.lit("Community").alias("label"), F.col("community_id").alias("uid"), "name", F.array_join("keywords", ", ").alias("keywords"), "cohesion", F.col("size").alias("symbolCount")))
