@@ -45,7 +45,7 @@ STEP = 0.12
 #: Words, and bytes of a word, that are sent to every task at most: 12 MB.
 HEAD, HEAD_BYTES = 1 << 18, 48
 #: Bytes of texts that are counted together, and of token numbers that are scored together.
-COUNT_BYTES, SCORE_BYTES = 32 << 20, 16 << 20
+COUNT_BYTES, SCORE_BYTES = 16 << 20, 4 << 20
 #: Contexts that meet all outputs in one product.
 BLOCK = 2048
 FAN = 16
@@ -285,7 +285,7 @@ def trained(coded: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Model:
             model, speed = Model.of(start[:half].copy()), Model.of(start[half:].copy())
             bound = np.cumsum(share)
             for batch in batches:
-                for part in slices(batch, "outputs", SCORE_BYTES // 4):
+                for part in slices(batch, "outputs", SCORE_BYTES):
                     name = part.column("row")[0].as_py() if name is None else name
                     rng = np.random.default_rng([turn, part.column("row")[0].as_py()])
                     two, one, token = contexts([np.frombuffer(x.as_buffer(), np.int16) for x in part.column("outputs")])
