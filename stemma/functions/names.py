@@ -57,6 +57,39 @@ def lines_of(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, f"(?:{LINE_END})$", ""), LINE_END))
 
 
+def line_kinds(text: Column) -> Column:
+    """``total``, ``blank``, ``comment`` and ``logical`` lines of a source, as a struct.
+
+    Comments are lines that begin with ``#`` or a triple quote, and what stands
+    between a line that begins with one triple quote and the next such line.
+    """
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("blank", "comment", "logical")], F.lit(False).alias("within"))
+
+    def one(s: Column, line: Column) -> Column:
+        bare = F.regexp_replace(line, "^\\s+|\\s+$", "")
+        quotes = [F.size(F.split(bare, q)) - 1 for q in ('"""', "'''")]
+        opens = bare.startswith('"""') | bare.startswith("'''")
+        blank = bare == ""
+        comment = ~blank & (bare.startswith("#") | opens | s["within"])
+        turned = opens & ((quotes[0] == 1) | (quotes[1] == 1))
+        return F.struct(
+            (s["blank"] + blank.cast("long")).alias("blank"),
+            (s["comment"] + comment.cast("long")).alias("comment"),
+            (s["logical"] + (~blank & ~comment).cast("long")).alias("logical"),
+            (s["within"] != turned).alias("within"),
+        )
+
+    lines = lines_of(text)
+    return F.aggregate(lines, zero, one, lambda s: F.struct(F.size(lines).cast("long").alias("total"), s["blank"].alias("blank"), s["comment"].alias("comment"), s["logical"].alias("logical")))
+
+
+def string_prefix(a: Column, b: Column) -> Column:
+    """The characters that two texts both begin with."""
+    places = F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)))
+    same = F.size(F.filter(places, lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
+    return F.substring(a, F.lit(1), F.least(same, F.length(a), F.length(b)))
+
+
 def shortened(text: Column, most: int = 100) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stemma.functions.names import prefixes, top_directory
+from stemma.functions.names import prefixes, string_prefix, top_directory
 from stemma.functions.scoring import cluster_size, looked_up
 from stemma.operators.communities import partition
-from stemma.operators.graph import settled
+from stemma.operators.graph import numbered, settled
 from stemma.schema import STATUS_COLOURS
 
 STATES = ["healthy", "stressed", "inflamed", "necrotic", "cancerous"]
@@ -17,6 +18,8 @@ LEVELS = 10
 RESOLUTION = 0.5
 ROUNDS = 8
 FLAT = 5000
+#: Places that are looked up together.
+BLOCK = 4096
 COUNTERS = ["total_nodes", "total_lines", "total_functions", "total_classes", *STATES]
 
 
@@ -62,6 +65,68 @@ def contracted(links: DataFrame, members: DataFrame) -> DataFrame:
     return ends.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum(weight).alias("w"))
 
 
+def edges_by_kind(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``source``, ``target``, ``weight``, ``kind``: edges between clusters of (``id``, ``cluster``), how many there are, and the kind of most of them (ties to the least)."""
+    ends = edges.join(members.select(F.col("id").alias("source_id"), F.col("cluster").alias("source")), "source_id").join(members.select(F.col("id").alias("target_id"), F.col("cluster").alias("target")), "target_id")
+    kinds = ends.filter("source <> target").groupBy("source", "target", "edge_type").agg(F.count("*").alias("n"))
+    return kinds.groupBy("source", "target").agg(F.sum("n").alias("weight"), F.min(F.struct(-F.col("n"), F.col("edge_type"))).alias("most")).select("source", "target", "weight", F.col("most.edge_type").alias("kind"))
+
+
+def prefix_names(members: DataFrame) -> DataFrame:
+    """``cluster``, ``title``: what the names of all members begin with, if that is more than three characters, else the least name's first part.
+
+    All names begin with what the least and the greatest begin with.
+    """
+    ends = members.groupBy("cluster").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.count("*").alias("size"))
+    shared = string_prefix(F.col("lo"), F.col("hi"))
+    part = F.when(F.contains("lo", F.lit(".")), F.substring_index("lo", ".", 1)).otherwise(F.substring("lo", 1, 20))
+    return ends.select("cluster", F.when(F.col("size") == 1, F.col("lo")).when(F.length(shared) > 3, F.concat(shared, F.lit("*"))).otherwise(part).alias("title"))
+
+
+def nested(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``id``, ``place``) of the leaves of a hierarchy, and (``level``, ``cluster``, ``low``, ``high``) of its clusters.
+
+    Leaves are numbered along the tree, so what is below a cluster, at any depth,
+    is a range of numbers.  ``tree``: (``level``, ``cluster``, ``child``), a child
+    being a cluster of the next level or, at the last, a leaf.
+    """
+    depth = tree.agg(F.max("level")).first()[0] or 0
+    own = tree.filter(F.col("level") == depth).select(F.col("child").alias("id"), F.array("cluster").alias("above"))
+    for level in range(depth - 1, -1, -1):
+        up = tree.filter(F.col("level") == level).select("cluster", F.col("child").alias("first"))
+        own = own.withColumn("first", F.col("above")[0]).join(up, "first", "left").select("id", F.concat(F.array("cluster"), F.col("above")).alias("above"))
+    ordered = own.withColumn("way", F.concat(F.array_join("above", "\x00"), F.lit("\x00"), F.col("id")))
+    places = settled(numbered(ordered, "way", "place").select("id", "above", "place"))
+    spans = places.select("place", F.posexplode("above").alias("level", "cluster")).groupBy("level", "cluster").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    return places.select("id", "place"), spans
+
+
+def below(places: DataFrame, spans: DataFrame, cluster: str) -> DataFrame:
+    """``id``, ``place`` of all leaves below a cluster, at whatever depth: a range of places."""
+    span = spans.filter(F.col("cluster") == cluster).agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
+    return places.filter(F.col("place").between(span["low"], span["high"]) if span["low"] is not None else F.lit(False))
+
+
+def drilled_edges(places: DataFrame, spans: DataFrame, edges: DataFrame, cluster: str, level: int) -> DataFrame:
+    """``source``, ``target``, ``weight``, ``kind`` among the clusters of a level below a cluster: both ends are in its range."""
+    inside = below(places, spans, cluster)
+    top = spans.filter(F.col("cluster") == cluster).agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
+    few = spans.filter((F.col("level") == level) & F.col("low").between(top["low"] or 0, top["high"] if top["high"] is not None else -1))
+    return edges_by_kind(edges, _owners(inside, few))
+
+
+def _owners(places: DataFrame, spans: DataFrame) -> DataFrame:
+    """(``id``, ``cluster``): the span that holds a place, the last one that begins before it; spans don't overlap."""
+    marks = spans.select(F.col("low").alias("place"), F.lit(None).cast("string").alias("id"), "cluster").unionByName(places.select("place", "id", F.lit(None).cast("string").alias("cluster")))
+    block = F.floor(F.col("place") / BLOCK)
+    dealt = marks.withColumn("block", block)
+    # spans that reach into further blocks are begun again in each
+    again = spans.select(F.explode(F.sequence(F.floor(F.col("low") / BLOCK) + 1, F.greatest(F.floor(F.col("high") / BLOCK), F.floor(F.col("low") / BLOCK) + 1))).alias("block"), "cluster", "high").filter(F.col("block") * BLOCK <= F.col("high"))
+    dealt = dealt.select("block", "place", "id", "cluster").unionByName(again.select("block", (F.col("block") * BLOCK).cast("long").alias("place"), F.lit(None).cast("string").alias("id"), "cluster"))
+    order = W.partitionBy("block").orderBy("place", F.col("cluster").isNull()).rowsBetween(W.unboundedPreceding, 0)  # BLOCK places and the spans that begin among them
+    return dealt.withColumn("cluster", F.last("cluster", True).over(order)).filter("id IS NOT NULL AND cluster IS NOT NULL").select("id", "cluster")
+
+
 def hierarchy(nodes: DataFrame, links: DataFrame, target: int = TARGET) -> DataFrame:
     """``level`` (0 the coarsest), ``cluster``, ``child`` (nodes at the finest level).
 

@@ -634,6 +634,19 @@ def line_counts(spark, sf_dir):
     return own.select("doc_id", F.size(names.lines_of(F.col("text"))).cast("long").alias("n_lines"))
 
 
+@query(
+    """WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END AS ls FROM documents WHERE text IS NOT NULL)),
+ b AS (SELECT doc_id, i, bare, starts_with(bare, '#') AS hash, starts_with(bare, '\"\"\"') OR starts_with(bare, repeat(chr(39), 3)) AS quoted,
+  len(string_split(bare, '\"\"\"')) = 2 OR len(string_split(bare, repeat(chr(39), 3))) = 2 AS one FROM (SELECT doc_id, i, regexp_replace(line, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS bare FROM l)),
+ w AS (SELECT *, coalesce(sum((quoted AND one)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS within FROM b)
+ SELECT d.doc_id, count(i) AS total, count(*) FILTER (bare = '') AS blank, count(*) FILTER (bare <> '' AND (hash OR quoted OR within)) AS comment, count(*) FILTER (bare <> '' AND NOT (hash OR quoted OR within)) AS logical
+ FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) d LEFT JOIN w USING (doc_id) GROUP BY 1"""
+)
+def line_kinds(spark, sf_dir):
+    own = tables.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return own.select("doc_id", names.line_kinds(F.col("text")).alias("k")).select("doc_id", "k.*")
+
+
 @query("SELECT doc_id, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS n_lines FROM documents WHERE text <> '' AND len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) > 30")
 def long_file(spark, sf_dir):
     return findings.long_files(tables.table(spark, sf_dir, "documents"), "doc_id", over=30)
@@ -954,6 +967,67 @@ def streaming_order(spark, sf_dir):
     return own.groupBy("session_id").agg(F.count("*").alias("events"), F.sum("depth").alias("depths"), F.max("depth").alias("deepest"), F.sum(F.col("depth") * (F.col("event_id") % 1009)).alias("digest"), F.count_if("late").cast("int").alias("late"))
 
 
+# -- clusters of clusters ------------------------------------------------------------
+
+BY_LETTER = "m AS (SELECT id, substr(name, 1, 2) AS cluster, name FROM nodes)"
+
+
+def _by_letter(spark, sf_dir):
+    return tables.nodes(spark, sf_dir).select("id", F.substring("name", 1, 2).alias("cluster"), "name")
+
+
+@query(
+    f"""WITH {NODES}, {_edges()}, {BY_LETTER}, k AS (SELECT a.cluster AS source, b.cluster AS target, edge_type, count(*) AS n FROM edges e JOIN m a ON e.source_id = a.id JOIN m b ON e.target_id = b.id WHERE a.cluster <> b.cluster GROUP BY ALL)
+ SELECT source, target, weight, edge_type AS kind FROM (SELECT *, sum(n) OVER (PARTITION BY source, target)::BIGINT AS weight, row_number() OVER (PARTITION BY source, target ORDER BY n DESC, edge_type) AS r FROM k) WHERE r = 1"""
+)
+def cluster_edge_kinds(spark, sf_dir):
+    """Edges between clusters of nodes by the beginning of their names, each with the kind of most of them."""
+    return clusters.edges_by_kind(tables.edges(spark, sf_dir), _by_letter(spark, sf_dir))
+
+
+@query(
+    f"""WITH {NODES}, {BY_LETTER}, e AS (SELECT cluster, min(name) AS lo, max(name) AS hi, count(*) AS size FROM m GROUP BY 1),
+ p AS (SELECT *, substr(lo, 1, len(list_filter(range(1, least(length(lo), length(hi)) + 1), lambda i: substr(lo, 1, i) = substr(hi, 1, i)))) AS shared FROM e)
+ SELECT cluster, CASE WHEN size = 1 THEN lo WHEN length(shared) > 3 THEN shared || '*' WHEN contains(lo, '.') THEN split_part(lo, '.', 1) ELSE substr(lo, 1, 20) END AS title FROM p"""
+)
+def cluster_prefix_names(spark, sf_dir):
+    return clusters.prefix_names(_by_letter(spark, sf_dir))
+
+
+def _regions_down(spark, sf_dir):
+    """Regions, nations and market segments as a tree over all customers."""
+    own = tables.table(spark, sf_dir, "customer").join(tables.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(tables.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    own = own.select(F.col("c_custkey").cast("string").alias("id"), F.col("r_name").alias("a"), F.concat_ws("/", "r_name", "n_name").alias("b"), F.concat_ws("/", "r_name", "n_name", "c_mktsegment").alias("c"))
+    rows = [own.select(F.lit(i).alias("level"), F.col(up).alias("cluster"), F.col(down).alias("child")) for i, (up, down) in enumerate((("a", "b"), ("b", "c"), ("c", "id")))]
+    return rows[0].unionByName(rows[1]).distinct().unionByName(rows[2])
+
+
+DOWN = """d AS (SELECT CAST(c_custkey AS VARCHAR) AS id, r_name AS a, r_name || '/' || n_name AS b, r_name || '/' || n_name || '/' || c_mktsegment AS c FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ o AS (SELECT *, row_number() OVER (ORDER BY a || chr(0) || b || chr(0) || c || chr(0) || id) - 1 AS place FROM d)"""
+
+
+@query(
+    f"""WITH {DOWN} SELECT level, cluster, min(place) AS low, max(place) AS high FROM (SELECT 0 AS level, a AS cluster, place FROM o UNION ALL SELECT 1, b, place FROM o UNION ALL SELECT 2, c, place FROM o) GROUP BY 1, 2"""
+)
+def cluster_intervals(spark, sf_dir):
+    """The range of leaves below each cluster of a hierarchy."""
+    return clusters.nested(_regions_down(spark, sf_dir))[1]
+
+
+@query(
+    f"""WITH {DOWN}, v AS (SELECT CAST(o_custkey AS VARCHAR) AS s, lead(CAST(o_custkey AS VARCHAR)) OVER (ORDER BY o_orderdate, o_orderkey) AS t, CASE o_orderstatus WHEN 'F' THEN 'call' ELSE 'reference' END AS kind FROM orders),
+ k AS (SELECT x.c AS source, y.c AS target, kind, count(*) AS n FROM v JOIN d x ON s = x.id JOIN d y ON t = y.id WHERE x.a = 'EUROPE' AND y.a = 'EUROPE' AND x.c <> y.c GROUP BY ALL)
+ SELECT source, target, weight, kind FROM (SELECT *, sum(n) OVER (PARTITION BY source, target)::BIGINT AS weight, row_number() OVER (PARTITION BY source, target ORDER BY n DESC, kind) AS r FROM k) WHERE r = 1"""
+)
+def drill_down_edges(spark, sf_dir):
+    """A region's market segments and the edges between them, customers being linked to the next one to order."""
+    places, spans = clusters.nested(_regions_down(spark, sf_dir))
+    orders = graph.numbered(tables.table(spark, sf_dir, "orders").select(F.struct("o_orderdate", "o_orderkey").alias("at"), "o_custkey", "o_orderstatus"), "at", "n")
+    orders = orders.select("n", F.col("o_custkey").cast("string").alias("source_id"), F.when(F.col("o_orderstatus") == "F", "call").otherwise("reference").alias("edge_type"))
+    links = orders.join(orders.select((F.col("n") - 1).alias("n"), F.col("source_id").alias("target_id")), "n")
+    return clusters.drilled_edges(places, spans, links, "EUROPE", 2)
+
+
 # -- what is drawn ---------------------------------------------------------------------
 
 
