@@ -62,21 +62,65 @@ def graph_document(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return own.join(F.broadcast(links)).select(F.to_json(F.struct(F.lit(name).alias("name"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), "nodes", "edges", "root_ids")).alias("json"))  # one row each
 
 
-def recording(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of a saved recording (JSON, gzip or not)."""
-    frame = "struct<timestamp:string,frame_index:bigint,node_id:string,event_type:string,event_data:map<string,string>,local_vars:map<string,string>,call_stack:array<string>,elapsed_ns:bigint>"
-    raw = spark.read.option("multiLine", True).schema(f"session_id string, frames array<{frame}>").json(path)
-    return raw.select("session_id", F.explode("frames").alias("f")).select("session_id", "f.*").withColumn("timestamp", F.to_timestamp("timestamp"))
-
-
+FRAME = "timestamp string, frame_index bigint, node_id string, event_type string, event_data map<string,string>, local_vars map<string,string>, call_stack array<string>, elapsed_ns bigint"
 #: What a frame of a recording consists of.
 FRAME_FIELDS = ["timestamp", "frame_index", "node_id", "event_type", "event_data", "local_vars", "call_stack", "elapsed_ns"]
+#: Frames of a range, which is a folder of its own, and of a file at most.
+RANGE, FILE_ROWS = 250_000, 50_000
+
+
+def _in_ranges(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a recording in ranges of frames."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder) or not system.getFileStatus(folder).isDirectory():
+        return False
+    return any(f.getPath().getName().startswith("frame_range=") for f in system.listStatus(folder))
+
+
+def recording(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Frames of a saved recording (JSON, gzip or not), all or from ``first`` to ``last``.
+
+    A recording in ranges is read by many tasks, and only in the ranges asked
+    for; one that is a document is one task's work.
+    """
+    if _in_ranges(spark, path):
+        rows = spark.read.schema(f"session_id string, {FRAME}, frame_range int").json(path)
+        if first is not None:
+            rows = rows.filter((F.col("frame_range") >= first // RANGE) & (F.col("frame_index") >= first))
+        if last is not None:
+            rows = rows.filter((F.col("frame_range") <= last // RANGE) & (F.col("frame_index") <= last))
+        rows = rows.drop("frame_range")
+    else:
+        raw = spark.read.option("multiLine", True).schema(f"session_id string, frames array<struct<{FRAME}>>").json(path)
+        rows = raw.select("session_id", F.explode("frames").alias("f")).select("session_id", "f.*")
+        if first is not None:
+            rows = rows.filter(F.col("frame_index") >= first)
+        if last is not None:
+            rows = rows.filter(F.col("frame_index") <= last)
+    return rows.withColumn("timestamp", F.to_timestamp("timestamp"))
+
+
+def _as_saved(frames: DataFrame) -> list:
+    return [F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) if c == "timestamp" else F.col(c) for c in FRAME_FIELDS if c in frames.columns]
 
 
 def save_recording(frames: DataFrame, path: str, compressed: bool = True) -> None:
-    """A session's frames as one JSON document each, with all fields of a frame that there are, gzip if asked."""
-    own = [F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) if c == "timestamp" else F.col(c) for c in FRAME_FIELDS if c in frames.columns]
-    rows = frames.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", F.struct(*own).alias("f"))), lambda a, b: a["frame_index"].cast("int") - b["frame_index"].cast("int")).alias("sorted"))
+    """Sessions' frames as JSON lines with all fields of a frame that there are, gzip if asked, in a folder for each range of frames.
+
+    A row is a frame and a file FILE_ROWS frames at most, in order, whatever a
+    session's length; ``save_document`` writes the form of one document a session.
+    """
+    own = frames.select("session_id", *_as_saved(frames)).withColumn("frame_range", F.floor(F.col("frame_index") / RANGE).cast("int"))
+    tasks = F.floor(F.col("frame_index") / FILE_ROWS)
+    dealt = own.withColumn("__task", tasks).repartition("session_id", "__task").drop("__task").sortWithinPartitions("frame_range", "session_id", "frame_index")
+    writer = dealt.write.mode("overwrite").partitionBy("frame_range").option("maxRecordsPerFile", FILE_ROWS)
+    (writer.option("compression", "gzip") if compressed else writer).json(path)
+
+
+def save_document(frames: DataFrame, path: str, compressed: bool = True) -> None:
+    """Each session's frames as one JSON document, for sessions that fit a row."""
+    rows = frames.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", F.struct(*_as_saved(frames)).alias("f"))), lambda a, b: a["frame_index"].cast("int") - b["frame_index"].cast("int")).alias("sorted"))
     rows = rows.select("session_id", F.transform("sorted", lambda x: x["f"]).alias("frames"))
-    writer = rows.write.mode("overwrite")
+    writer = rows.write.mode("overwrite").option("maxRecordsPerFile", 1)  # a document is a file
     (writer.option("compression", "gzip") if compressed else writer).json(path)
