@@ -164,6 +164,19 @@ def dead_code(spark, sf_dir):
     return graph.dead_code(scored_nodes(spark, sf_dir)[0]).select("id", "qualified_name")
 
 
+@query(
+    f"""WITH {NODES}, called AS (SELECT DISTINCT {_id("function", "part", "l_partkey")} AS id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48)
+ SELECT id, qualified_name FROM nodes ANTI JOIN called USING (id) WHERE node_type IN ('function', 'method') AND length(name) % 2 = 0"""
+)
+def dead_code_of_returns(spark, sf_dir):
+    """Hidden functions and methods that no large returned item calls."""
+    nodes = tables.nodes(spark, sf_dir).withColumn("name", F.when(F.length("name") % 2 == 0, F.concat(F.lit("_"), "name")).otherwise(F.col("name")))
+    items = tables.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 48")
+    ends = [scoring.node_id(F.lit(kind), F.concat(F.lit(f"{t}."), F.col(key).cast("string"))).alias(end) for kind, t, key, end in (("method", "orders", "l_orderkey", "source_id"), ("function", "part", "l_partkey", "target_id"))]
+    calls = items.select(*ends, F.lit("call").alias("edge_type")).distinct()
+    return graph.dead_code(graph.with_health(nodes, calls, F.lit(1.0))).select("id", "qualified_name")
+
+
 @query(SCORED + "SELECT id, cyclomatic_complexity FROM scored WHERE node_type = 'function' AND cyclomatic_complexity > 0 ORDER BY cyclomatic_complexity DESC, id LIMIT 10")
 def hotspots_topk(spark, sf_dir):
     return graph.hotspots(scored_nodes(spark, sf_dir)[0]).select("id", "cyclomatic_complexity")
