@@ -8,7 +8,7 @@ from stemma.operators import graph
 
 
 def tarjan(links):
-    """Components of more than one node, by the largest."""
+    """Components of nodes on cycles, loops included, by the largest."""
     out = {}
     for a, b in links:
         out.setdefault(a, set()).add(b)
@@ -25,7 +25,7 @@ def tarjan(links):
 
     far = {a: reach(a) for a in out}
     groups = {a: {b for b in far[a] if a in far[b]} | {a} for a in out}
-    return {a: max(g) for a, g in groups.items() if len(g) > 1}
+    return {a: max(g) for a, g in groups.items() if len(g) > 1 or a in out[a]}
 
 
 def components(spark, links, told=None):

@@ -66,7 +66,7 @@ def test_bound_ends_read_their_partitions_only(spark, tmp_path, monkeypatch):
     by_name = cypher.run(own, "MATCH (a:Function {name:'n5'})-[r:CodeRelation]->(b) RETURN a.name, b.name")
     lines = plan(by_name).splitlines()
     at = next(i for i, line in enumerate(lines) if "FileScan" in line and "source_label" in line)
-    assert "dynamicpru" in lines[at] and not any("Exchange hashpartitioning" in line for line in lines)
+    assert "dynamic" in lines[at] and not any("Exchange hashpartitioning" in line for line in lines)
     assert [tuple(r) for r in by_name.collect()] == [("n5", "n6")]
     two = cypher.run(own, "MATCH (a:Function {name:'n5'})-[r:CodeRelation]->(b)-[s:CodeRelation]->(c) RETURN a.name, c.name")
     assert [tuple(r) for r in two.collect()] == [("n5", "n7")]
