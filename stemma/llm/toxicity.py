@@ -5,9 +5,13 @@ passage is the average of its words' averaged bucket vectors, and a linear
 softmax tells toxic from clean passages.  Bucket vectors and softmax are trained
 jointly.  A misspelt or unseen word shares most n-grams with words seen.
 
-A document is judged by its most toxic passage of PASSAGE words, so that length
+A document is judged by its most toxic passage of some words, so that length
 does not dilute; training finds that passage anew in each round, and for clean
-documents adds a passage at random.  As the softmax is linear, a trained model
+documents adds a passage at random.  How many words, and in how many training
+documents an n-gram must be lest single ones are learnt by heart, is chosen by
+inner validation: models of each of SETTINGS learn from one half of the training
+documents and score the other; the best setting is trained again on all, and the
+bound between the classes is the one that parts these scores best.  As the softmax is linear, a trained model
 is one number for each bucket, and scoring a word is a mean over its n-grams.
 
 Labels are learnt from at most SAMPLE documents of each class (those with the
@@ -38,10 +42,13 @@ SAMPLE_CHARS = 32_000_000
 BUCKETS = 1 << 17
 DIM = 12
 GRAMS = (3, 4, 5, 6)
-PASSAGE = 32
 ROUNDS = 20
-#: Training documents that an n-gram must be in, lest single documents are learnt by heart.
-COMMON = 12
+#: Words of a passage, and the share of the training documents that an n-gram must be in, to choose from.
+SETTINGS = ((32, 1 / 150), (8, 1 / 60), (5, 1 / 30))
+#: Training documents of each class from which there is a choice; with fewer the first of SETTINGS holds.
+ENOUGH = 16
+#: Errors at toxic documents that one at a clean document weighs, each as a share of its class.
+CLEAN = 2
 #: Rounds on passages at random before the most toxic passage is trusted, and steps of the vectors.
 PLAIN_ROUNDS = 6
 STEP = 0.3
@@ -93,17 +100,18 @@ def grams(words: list[str], buckets: int = BUCKETS, sizes: tuple[int, ...] = GRA
     return flat, counts
 
 
-def passages(n: int) -> np.ndarray:
-    """Starts of passages of PASSAGE words; the last one may be half as long again."""
-    return np.arange(0, max(1, n - PASSAGE // 2), PASSAGE)
+def passages(n: int, size: int) -> np.ndarray:
+    """Starts of passages of ``size`` words; the last one may be half as long again."""
+    return np.arange(0, max(1, n - size // 2), size)
 
 
 @dataclass
 class Model:
-    """One number for each bucket, and the constant."""
+    """One number for each bucket, the constant, and the words of a passage."""
 
     weight: np.ndarray
     bias: float
+    passage: int = SETTINGS[0][0]
 
     def __post_init__(self):
         self._known: dict[str, float] = {}
@@ -115,6 +123,10 @@ class Model:
         return np.add.reduceat(self.weight[bucket], np.cumsum(counts) - counts) / counts
 
     def scores(self, texts: list[str]) -> list[float]:
+        return (1 / (1 + np.exp(-np.clip(self.tops(texts) + self.bias, -500, 500)))).tolist()
+
+    def tops(self, texts: list[str]) -> np.ndarray:
+        """Of each text the weight of its most toxic passage."""
         split = [t.split() for t in texts]
         known = self._known
         if len(known) > CACHE_WORDS:
@@ -131,18 +143,44 @@ class Model:
                 value = np.fromiter(map(known.__getitem__, words), float, len(words))
                 same = np.fromiter(map(hash, words), np.int64, len(words))
                 value[1:][same[1:] == same[:-1]] = 0.0  # a word said again at once adds nothing
-                starts = passages(len(words))
+                starts = passages(len(words), self.passage)
                 top = (np.add.reduceat(value, starts) / np.diff([*starts, len(words)])).max()
-            out.append(float(1 / (1 + np.exp(-np.clip(top + self.bias, -500, 500)))))
-        return out
+            out.append(top)
+        return np.array(out, float)
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
+def train(texts: list[str], toxic: list[int]) -> Model:
+    """The model of the one of SETTINGS that tells most documents of the other half apart, trained on all documents; its bound too is that of the halves."""
+    labels = np.asarray(toxic, np.int64)
+    half = np.zeros(len(labels), np.int64)
+    for y in (0, 1):
+        half[labels == y] = np.arange((labels == y).sum()) % 2
+    if min((labels == y).sum() for y in (0, 1)) < ENOUGH:
+        return fitted(texts, toxic, *SETTINGS[0])
+    best, setting, bound = -1.0, SETTINGS[0], 0.0
+    for s in SETTINGS:
+        top = np.zeros(len(labels))
+        for h in (0, 1):
+            own, rest = np.flatnonzero(half != h), np.flatnonzero(half == h)
+            top[rest] = fitted([texts[i] for i in own], labels[own].tolist(), *s).tops([texts[i] for i in rest])
+        if (worth := apart(top, labels)) > best:
+            best, setting, bound = worth, s, threshold(top, labels)
+    model = fitted(texts, toxic, *setting)
+    return Model(model.weight, -bound, model.passage)
+
+
+def apart(score: np.ndarray, labels: np.ndarray) -> float:
+    """Share of pairs of a toxic and a clean document in which the toxic one scores higher, ties half."""
+    toxic, clean = score[labels == 1], np.sort(score[labels == 0])
+    return float((np.searchsorted(clean, toxic) + np.searchsorted(clean, toxic, "right")).mean() / (2 * len(clean)))
+
+
+def fitted(texts: list[str], toxic: list[int], size: int, share: float, seed: int = 7) -> Model:
     """Joint training of bucket vectors and softmax; without both classes, the share of toxic rows is every score."""
     labels = np.asarray(toxic, np.int64)
     if len(set(labels.tolist())) < 2:
-        share = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.01
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+        part = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.01
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(part / (1 - part))))
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     nothing = vocabulary.setdefault("", 0)
@@ -156,7 +194,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         words = np.unique(d)
         per = counts[words]
         spread[np.unique(bucket[np.repeat(start[words] - (np.cumsum(per) - per), per) + np.arange(per.sum())])] += 1
-    common = (spread >= COMMON)[:, None]
+    common = (spread >= max(2, share * len(docs)))[:, None]
     table = (rng.standard_normal((BUCKETS, DIM)) * 0.1 * common).astype(np.float32)
     soft = (rng.standard_normal((DIM, 2)) * 0.1).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -171,7 +209,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
                 worth[nothing] = 0
             chosen, target, weight = [], [], []
             for i in order[k : k + 64]:
-                d, starts = docs[i], passages(len(docs[i]))
+                d, starts = docs[i], passages(len(docs[i]), size)
                 ends = [*starts[1:], len(d)]
                 if worth is None:
                     picks = rng.choice(len(starts), min(4, len(starts)), replace=False)
@@ -182,20 +220,20 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
                     chosen.append(d[starts[s] : ends[s]])
                     target.append(labels[i])
                     weight.append(balance[i] / len(picks))
-            size = np.array([len(c) for c in chosen])
+            long = np.array([len(c) for c in chosen])
             words, place = np.unique(np.concatenate(chosen), return_inverse=True)
             per = counts[words]
             flat = bucket[np.repeat(start[words] - (np.cumsum(per) - per), per) + np.arange(per.sum())]
             vector = np.add.reduceat(table[flat], np.cumsum(per) - per) / per[:, None]
             vector[words == nothing] = 0
-            passage = SCALE * np.add.reduceat(vector[place], np.cumsum(size) - size) / size[:, None]
+            passage = SCALE * np.add.reduceat(vector[place], np.cumsum(long) - long) / long[:, None]
             logit = passage @ soft + bias
-            share = np.exp(logit - logit.max(1, keepdims=True))
-            share /= share.sum(1, keepdims=True)
-            slope = (share - np.eye(2)[target]) * np.array(weight)[:, None] / len(chosen)
+            likely = np.exp(logit - logit.max(1, keepdims=True))
+            likely /= likely.sum(1, keepdims=True)
+            slope = (likely - np.eye(2)[target]) * np.array(weight)[:, None] / len(chosen)
             g_soft, g_bias = passage.T @ slope, slope.sum(0)
             g_word = np.zeros((len(words), DIM))
-            np.add.at(g_word, place, np.repeat(SCALE * (slope @ soft.T) / size[:, None], size, axis=0))
+            np.add.at(g_word, place, np.repeat(SCALE * (slope @ soft.T) / long[:, None], long, axis=0))
             g_word[words == nothing] = 0
             touched, where = np.unique(flat, return_inverse=True)
             g_table = np.zeros((len(touched), DIM))
@@ -210,16 +248,16 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     weight = (SCALE * (table @ (soft[:, 1] - soft[:, 0]))).astype(np.float32)
     worth = np.add.reduceat(weight[bucket], start) / counts
     worth[nothing] = 0
-    top = np.array([(np.add.reduceat(worth[d], passages(len(d))) / np.diff([*passages(len(d)), len(d)])).max() for d in docs])
-    return Model(weight, -threshold(top, labels))
+    top = np.array([(np.add.reduceat(worth[d], passages(len(d), size)) / np.diff([*passages(len(d), size), len(d)])).max() for d in docs])
+    return Model(weight, -threshold(top, labels), size)
 
 
 def threshold(value: np.ndarray, labels: np.ndarray) -> float:
-    """Where the classes part with the fewest errors, each class weighing the same; in a gap, GAP of the way from the clean side."""
+    """Where the classes part with the fewest errors, those at clean documents weighing CLEAN times as much; in a gap, GAP of the way from the clean side."""
     order = np.argsort(value, kind="stable")
     y = labels[order]
     missed, spared = np.cumsum(y) / max(y.sum(), 1), np.cumsum(1 - y) / max((1 - y).sum(), 1)
-    errors = np.where(np.diff(value[order], append=np.inf) > 0, missed + 1 - spared, np.inf)[:-1]
+    errors = np.where(np.diff(value[order], append=np.inf) > 0, missed + CLEAN * (1 - spared), np.inf)[:-1]
     if not len(errors) or not np.isfinite(errors).any():
         return float(value[0])
     best = np.flatnonzero(errors <= errors.min() + 1e-9)
@@ -260,7 +298,7 @@ def score(df: DataFrame, model: Model, text: str = "text", score: str = "score",
     held = unused(df, "__text")
     source = df.select(*[quoted(c) for c in carry], quoted(text).cast("string").alias(held))
     schema = T.StructType([*[source.schema[c] for c in carry], T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
-    shared = df.sparkSession.sparkContext.broadcast((model.weight, model.bias))
+    shared = df.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.passage))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,7 +52,7 @@ def test_op1_against_word_by_word_scores(spark, folder):
             plain = toxicity.folded(w)
             repeated = i > 0 and words[i - 1] == w
             weights.append(0.0 if repeated or not plain else float(np.mean([model.weight[b] for b in toxicity.grams([plain])[0]])))
-        starts = toxicity.passages(len(words)).tolist()
+        starts = toxicity.passages(len(words), model.passage).tolist()
         means = [sum(weights[a:b]) / (b - a) for a, b in zip(starts, [*starts[1:], len(words)], strict=True) if b > a]
         return 1 / (1 + math.exp(-(max(means, default=0.0) + model.bias)))
 
