@@ -44,7 +44,7 @@ DIM = 12
 GRAMS = (3, 4, 5, 6)
 ROUNDS = 20
 #: Words of a passage, and the share of the training documents that an n-gram must be in, to choose from.
-SETTINGS = ((32, 1 / 150), (8, 1 / 60), (5, 1 / 30))
+SETTINGS = ((5, 1 / 30), (8, 1 / 60))
 #: Training documents of each class from which there is a choice; with fewer the first of SETTINGS holds.
 ENOUGH = 16
 #: Errors at toxic documents that one at a clean document weighs, each as a share of its class.
