@@ -5,8 +5,11 @@ words whose hash is the least among their neighbours', so that cuts depend on
 nearby words only.  A passage that two documents share is so cut alike in both,
 wherever it stands, also in the middle of sentences.
 
-A unit that an earlier document has is a repeat; the earliest document's words
-before and after it tell how far the passage goes beyond its whole units.
+A unit that an earlier document has is a repeat.  How far the passage goes beyond
+its whole units is told by the words around that unit in earlier documents: in the
+earliest one that has it and in those that hold the rest of the passage, wherever
+it stands there.  As both texts are cut alike up to a few words before a passage
+ends, its rest is never longer than the earlier document's next unit and MARGIN.
 
 Lines are paragraphs, banded by MinHash of their word shingles, with bands tuned
 for recall at the threshold; classes that collide are joined, exact Jaccard
@@ -41,8 +44,10 @@ RECALL = 0.98
 NEAR, MOST_WORDS = 4, 512
 #: Words of a line that is a paragraph: of fewer words only equal lines are similar enough.
 PARAGRAPH = 13
-#: Words before and after a unit that are told of the earliest document.
-AROUND = 24
+#: Words before and after a unit that are told of an earlier document at least, and words beyond the next unit in which cuts depend on what follows a passage.
+AROUND, MARGIN = 24, 2 * NEAR + 2
+#: Words that must agree beyond the end of a line; fewer are a coincidence.
+BY_CHANCE = 3
 #: Words of a passage that is removed, and words between repeated ones that count as part of it.
 MIN_RUN, BRIDGE = 50, 2
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -222,34 +227,38 @@ def _units(df: DataFrame, key: str, text: str) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def _surroundings(exact: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
-    """(``digest``, ``around``) of units with a ``keeper``: AROUND word hashes before, backwards, and after it there (0: none)."""
-    wanted = written(exact.groupBy(F.col("keeper").alias("doc_id")).agg(F.collect_set("digest").alias("digests")))
-    texts = with_wide(df.select(quoted(key).alias("doc_id"), quoted(text).cast("string").alias("text")), wanted, "doc_id", 8 * F.size("digests"))
+def _surroundings(wanted: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """(``digest``, ``keeper``, ``around``): for each place of a unit in the document ``keeper`` the word hashes before, backwards, and after it; places with equal ones count once."""
+    asked = written(wanted.groupBy(F.col("keeper").alias("doc_id")).agg(F.collect_set("digest").alias("digests")))
+    texts = with_wide(df.select(quoted(key).alias("doc_id"), quoted(text).cast("string").alias("text")), asked, "doc_id", 8 * F.size("digests"))
+    place = "struct<before:binary,after:binary>"
+    names = T.StructType([T.StructField("keeper", texts.schema["doc_id"].dataType)]).simpleString()[len("struct<") : -1].replace(":", " ")
+    arrow = pa.struct([("before", pa.binary()), ("after", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wants, at = batch.column("digests"), 0
-            for _, own in text_slices(batch, "text"):
+            for part, own in text_slices(batch, "text"):
                 _, hashes, first, starts = paragraphs(own)
                 if len(first):
                     every, edges, small = sentence_grain(hashes, first).view(np.int64), np.append(first, len(hashes)), shortened(hashes)
-                    digests, around = [], []
+                    owner, digests, places = [], [], []
                     for i in range(len(own)):
                         a, b = starts[i], starts[i + 1]
-                        low, high, want = edges[a], edges[b], set(wants[at + i].as_py())
+                        want, seen = set(wants[at + i].as_py()), set()
                         for u, d in enumerate(every[a:b].tolist(), a):
                             if d in want:
-                                want.discard(d)
-                                out = np.zeros((2, AROUND), np.uint16)
-                                before, after = small[max(low, edges[u] - AROUND) : edges[u]][::-1], small[edges[u + 1] : min(high, edges[u + 1] + AROUND)]
-                                out[0, : len(before)], out[1, : len(after)] = before, after
-                                digests.append(d)
-                                around.append(out.tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(around, pa.binary())], names=["digest", "around"])
+                                x, y = edges[u], edges[u + 1]
+                                back = max(edges[a], min(x - AROUND, edges[max(u - 1, a)] - MARGIN))
+                                on = min(edges[b], max(y + AROUND, edges[min(u + 2, b)] + MARGIN))
+                                seen.add((d, small[back:x][::-1].tobytes(), small[y:on].tobytes()))
+                        owner += [i] * len(seen)
+                        digests += [d for d, _, _ in seen]
+                        places += [{"before": before, "after": after} for _, before, after in seen]
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), part.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(places, arrow)], names=["digest", "keeper", "place"])
                 at += len(own)
 
-    return texts.mapInArrow(cut, "digest long, around binary").groupBy("digest").agg(F.min("around").alias("around"))
+    return texts.mapInArrow(cut, f"digest long, {names}, place {place}").groupBy("digest", "keeper").agg(F.collect_set("place").alias("around"))
 
 
 def shortened(hashes: np.ndarray) -> np.ndarray:
@@ -351,8 +360,11 @@ def _passages(hits: DataFrame) -> DataFrame:
     """Those of ``hits``, units and paragraphs that an earlier document has, which may be part of a passage of MIN_RUN words.
 
     Hits follow each other in a passage if one unit at most lies between them; such
-    a unit, and those next to a passage, may belong to it in part.  ``edge``: units
-    at an end or a gap, from where the passage may go on.
+    a unit, and those next to a passage, may belong to it in part, and some words
+    beyond those, where what follows the passage makes a cut in its last words.  ``edge``: units
+    at an end or a gap, from where the passage may go on.  ``keepers``: earlier
+    documents that may hold the passage there: the unit's, those of the hits next to
+    it, and the last one of the passage, as units that stand elsewhere too have earlier ones.
     """
     order = W.partitionBy("doc_id").orderBy("at", "upto")
     before, upto_here = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
@@ -360,11 +372,13 @@ def _passages(hits: DataFrame) -> DataFrame:
     left = F.col("reach").isNull() | (F.col("at") > F.col("reach") + 1)
     right = F.col("next").isNull() | (F.col("next") > F.col("reached") + 1)
     begins = F.col("reach").isNull() | (F.col("at") > F.col("reach") + 2)
+    placed = placed.withColumn("beside", F.array(F.lag("keeper").over(order), F.lead("keeper").over(order)))
     placed = placed.withColumn("edge", F.col("unit") & (left | right)).withColumn("gap", F.when(left & ~begins, F.col("before")).otherwise(0)).withColumn("passage", F.sum(begins.cast("int")).over(upto_here))
     own = W.partitionBy("doc_id", "passage")
     ends = F.max(F.struct("upto", "after")).over(own)["after"] + F.min(F.struct("at", "before")).over(own)["before"]
     whole = F.sum(F.col("words") + F.col("gap")).over(own) + ends
-    return placed.withColumn("whole", whole).filter(F.col("whole") >= MIN_RUN).select("doc_id", "digest", "keeper", "edge")
+    keepers = F.array_compact(F.array_distinct(F.concat(F.array("keeper", F.max("keeper").over(own)), "beside")))
+    return placed.withColumn("whole", whole).withColumn("keepers", keepers).filter(F.col("whole") >= MIN_RUN - MARGIN).select("doc_id", "digest", "keepers", "edge")
 
 
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -379,9 +393,10 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     held = classes.join(keepers, "digest", "left").select("digest", F.least("least", "keeper").alias("keeper"), "most", "unit").filter("keeper < most").drop("most")
     hits = units.select("doc_id", "digest", "at", "upto", "words", "before", "after").join(held, "digest").filter(F.col("doc_id") > F.col("keeper"))
     wanted = written(_passages(hits))
-    around = written(_surroundings(wanted.filter("edge").select("digest", "keeper").distinct(), df, key, text))
-    found = wanted.filter("edge").join(around, "digest", "left").unionByName(wanted.filter("NOT edge"), allowMissingColumns=True)
-    once = found.groupBy("doc_id", "digest").agg(F.max("around").alias("around"))
+    edges = written(wanted.filter("edge").select("doc_id", "digest", F.explode("keepers").alias("keeper")).distinct())
+    around = written(_surroundings(edges.select("digest", "keeper").distinct(), df, key, text))
+    found = edges.join(around, ["digest", "keeper"], "left").select("doc_id", "digest", "around").unionByName(wanted.filter("NOT edge").select("doc_id", "digest"), allowMissingColumns=True)
+    once = found.groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("around"))
     return written(once.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "around")).alias("found")))
 
 
@@ -402,7 +417,7 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", remo
     found = bad.select(F.col("doc_id").alias(at), F.col("found").alias(held))
     rows, same = df.select(*[quoted(c) for c in kept]), quoted(key) == F.col(at)
     apart = None
-    if few(found, F.size(held) * 24 + F.aggregate(held, F.lit(0), lambda n, f: n + F.coalesce(F.length(f["around"]), F.lit(0)))):
+    if few(found, F.size(held) * 24 + F.aggregate(held, F.lit(0), lambda n, f: n + F.aggregate(f["around"], F.lit(0), lambda m, p: m + F.length(p["before"]) + F.length(p["after"])))):
         found = F.broadcast(found)
     elif few(found.select(at), row=KEY_BYTES):  # only documents that change are moved
         keys = F.broadcast(found.select(at))
@@ -433,13 +448,13 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", remo
     return changed.unionByName(apart.select(*[of.get(c, quoted(c)).alias(c) for c in kept], F.lit(0).cast("long").alias(removed), F.array().cast(span).alias(spans)))
 
 
-def matched(own: np.ndarray, near: np.ndarray, at_line_end: bool) -> int:
-    """Words that agree from the first on; beyond the end of a line one or two are a coincidence."""
-    same = int(np.append(own == near[: len(own)], False).argmin())
-    return 0 if at_line_end and same < 3 else same
+def agreeing(own: np.ndarray, near: np.ndarray) -> int:
+    """Words that agree from the first on."""
+    n = min(len(own), len(near))
+    return int(np.append(own[:n] == near[:n], False).argmin())
 
 
-def without(texts: list[str], found: list[dict[int, bytes | None]]) -> list[tuple[list[tuple[int, int]], int]]:
+def without(texts: list[str], found: list[dict[int, list[dict[str, bytes]]]]) -> list[tuple[list[tuple[int, int]], int]]:
     """For each text the runs of words to remove as [start, end) in it, and the words in them."""
     words, hashes, first, starts, lines = units_and_lines(texts)
     every, whole = sentence_grain(hashes, first).view(np.int64).tolist(), line_digests(hashes, lines)[0].view(np.int64).tolist()
@@ -457,18 +472,18 @@ def without(texts: list[str], found: list[dict[int, bytes | None]]) -> list[tupl
         for u in held:
             gone[edges[u] - low + 1 : edges[u + 1] - low + 1] = True
         for u in held:  # on to the passage's ends
-            around = want[every[u]]
-            if around is None:
+            if not (places := want[every[u]]):
                 continue
-            near, x, y = np.frombuffer(around, np.uint16).reshape(2, AROUND), edges[u], edges[u + 1]
-            if x > low and not gone[x - low]:
-                own = small[max(low, x - AROUND) : x][::-1]
-                same = matched(own, near[0], x in line_at)
-                gone[x - same - low + 1 : x - low + 1] = True
-            if y < high and not gone[y - low + 1]:
-                own = small[y : min(high, y + AROUND)]
-                same = matched(own, near[1], y in line_at)
-                gone[y - low + 1 : y + same - low + 1] = True
+            x, y = edges[u], edges[u + 1]
+            back, on = 0, 0
+            for p in places:  # the one that agrees in most words tells both ends
+                before, after = np.frombuffer(p["before"], np.uint16), np.frombuffer(p["after"], np.uint16)
+                m, n = agreeing(small[max(low, x - len(before)) : x][::-1], before), agreeing(small[y : min(high, y + len(after))], after)
+                back, on = max((back, on), (m, n), key=sum)
+            if x > low and not gone[x - low] and not (x in line_at and back < BY_CHANCE):
+                gone[x - back - low + 1 : x - low + 1] = True
+            if y < high and not gone[y - low + 1] and not (y in line_at and on < BY_CHANCE):
+                gone[y - low + 1 : y + on - low + 1] = True
         change = np.flatnonzero(gone[1:] != gone[:-1])
         runs = []
         for x, y in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):

@@ -198,6 +198,44 @@ def test_passages_inside_sentences_and_edited_paragraphs_go(spark):
     assert sum(got[1001 + 2 * k]["removed_words"] == 60 for k in range(20)) >= 19
 
 
+@pytest.mark.parametrize("own", [True, False])
+def test_passages_of_which_a_part_also_stands_elsewhere_go_whole(spark, own):
+    """25 words of each passage also stand alone, earlier in the keeper or in a document before it."""
+    rng = random.Random(22)
+    bare = lambda n, seed: prose(n, seed).replace(".", "").lower()
+    rows, passage = [], {}
+    for k in range(150):
+        n = rng.randint(52, 60)
+        words = bare(n, 13_000 + k).split()
+        at = rng.choice([0, rng.randint(1, n - 26), n - 25])
+        part = " ".join(words[at : at + 25])
+        passage[k] = " ".join(words)
+        alone = f"{bare(30, 14_000 + k)} {part} {bare(31, 15_000 + k)}"
+        rows += [(3 * k, bare(40, 16_000 + k) if own else alone)]
+        rows += [(3 * k + 1, f"{alone if own else bare(33, 17_000 + k)} {passage[k]} {bare(27, 18_000 + k)}")]
+        rows += [(3 * k + 2, f"{bare(41, 19_000 + k)} {passage[k]} {bare(23, 20_000 + k)}")]
+    got = {r["doc_id"]: r for r in passages.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert all(got[i]["text"] == texts[i] for i in texts if i % 3 < 2)
+    whole = [not windows(got[3 * k + 2]["text"]) & windows(passage[k]) and got[3 * k + 2]["removed_words"] >= len(passage[k].split()) for k in range(150)]
+    assert all(whole), sum(whole)
+
+
+def test_a_passage_goes_on_as_far_as_its_long_last_unit():
+    """Words that fall make no cut inside a line, so the last unit is longer than AROUND."""
+    head = [f"w{i}" for i in range(40)]
+    hashes = passages.Words().hashes([f"t{i}" for i in range(4000)])
+    tail = [f"t{i}" for i in np.argsort(hashes)[::67][:55]]
+    texts = [" ".join([*[f"a{i}" for i in range(30)], *head, *tail, *[f"b{i}" for i in range(30)]]), " ".join([*[f"c{i}" for i in range(30)], *head, *tail, *[f"d{i}" for i in range(30)]])]
+    words, own, first, starts = passages.paragraphs(texts)
+    small, grain = passages.shortened(own), passages.sentence_grain(own, first).view(np.int64).tolist()
+    a = [u for u in range(starts[0], starts[1]) if grain[u] in grain[starts[1] :]]
+    edges = [*first.tolist(), len(words)]
+    found = {grain[u]: [{"before": small[: edges[u]][::-1].tobytes(), "after": small[edges[u + 1] : edges[starts[1]]].tobytes()}] for u in a}
+    (cuts, removed), = passages.without([texts[1]], [found])
+    assert removed == 95 and texts[1][cuts[0][0] : cuts[0][1]] == " ".join([*head, *tail])
+
+
 def test_every_labelled_language_is_known(spark):
     rng = random.Random(33)
     rows = []
