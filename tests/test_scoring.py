@@ -20,6 +20,14 @@ def test_health_score(spark, cc, cog, depth, hd, mi, expected):
     assert got == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("cc,cog,depth,hd,mi", [(1, 7, 7, 26.6, 56.0), (1, 6, 7, 26.6, 56.0)])
+def test_a_score_at_the_bound_of_a_band_is_that_of_the_sql(spark, cc, cog, depth, hd, mi):
+    """0.8 but for rounding: DuckDB sums what counts cost in decimals, the rest in doubles from left to right."""
+    score = scoring.health_score(*[F.lit(x) for x in (cc, cog, depth, hd, mi)])
+    assert one(spark, score) == (1000 - 160) / 1000 - (hd - 15) * 0.005 + mi / 100 * 0.3 - 0.15
+    assert one(spark, scoring.score_band(score)) == "stressed"
+
+
 def test_defaults_and_instability(spark):
     none = F.lit(None).cast("double")
     assert one(spark, scoring.health_score(none, none, none, none, none)) == 1.0
