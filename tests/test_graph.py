@@ -97,6 +97,15 @@ def test_paths_stop_at_cycles(spark):
     assert [r["path"] for r in got.collect()] == [["a", "b", "c"]]
 
 
+def test_paths_are_counted_without_being_made(spark):
+    """60 x 60 x 60 paths between one start and one end, and a start of one path; the loop and the shorter way don't count."""
+    names = lambda k: [f"{k}{i:02d}" for i in range(60)]
+    wide = [("a", m) for m in names("m")] + [(m, n) for m in names("m") for n in names("n")] + [(n, e) for n in names("n") for e in names("z")]
+    more = [("b", "m07"), ("b", "z00"), ("m07", "m07"), ("c", "d")]
+    got = {r["start"]: (r["paths"], r["least"], r["most"]) for r in paths.totals(chain(spark, wide + more).select("source_id", "target_id"), 3).collect()}
+    assert got == {"a": (216_000, "a m00 n00 z00", "a m59 n59 z59"), "b": (3_600, "b m07 n00 z00", "b m07 n59 z59")}
+
+
 def test_communities_partition_structural_nodes(spark):
     rows = []
     for m in ("red", "blue"):
