@@ -106,6 +106,19 @@ def test_paths_are_counted_without_being_made(spark):
     assert got == {"a": (216_000, "a m00 n00 z00", "a m59 n59 z59"), "b": (3_600, "b m07 n00 z00", "b m07 n59 z59")}
 
 
+def test_processes_are_made_from_the_starts_that_can_lead(spark, monkeypatch):
+    """Of 300 starts of three nodes and two of four, one of which only repeats a part, the first three paths; few starts are followed."""
+    links = [(f"s{i:03d}", f"m{i % 7}") for i in range(300)] + [(f"m{i}", f"z{j}") for i in range(7) for j in range(2)]
+    links += [("u", "v"), ("v", "w"), ("w", "x"), ("u", "w"), ("s299", "m1"), ("s298", "m3"), ("s298", "m2")]
+    edges = chain(spark, links)
+    nodes = spark.createDataFrame([(n, "function", n, 0) for n in {e for link in links for e in link}], "id string, node_type string, name string, seq long")
+    followed, whole = [], paths.simple_paths
+    monkeypatch.setattr(paths, "simple_paths", lambda starts, *rest: followed.append(starts.count()) or whole(starts, *rest))
+    got = [(r["process_id"], r["name"]) for r in paths.processes(nodes, edges, most=3).orderBy("process_id").collect()]
+    assert got == [("process_0", "u -> v -> w -> x"), ("process_1", "s298 -> m2 -> z0"), ("process_2", "s298 -> m2 -> z1")]
+    assert sum(followed) < 10
+
+
 def test_communities_partition_structural_nodes(spark):
     rows = []
     for m in ("red", "blue"):
