@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemma.operators import findings, flow, resolve
-from stemma.sources import files, python_ast, samples
+from stemma.sources import files, python_ast, samples, tables
 from stemma.sources.other_languages import scan
 
 
@@ -161,3 +161,12 @@ def test_flow(spark):
     own, rest = rows.filter("file = 'shop/cart.py'"), graph.filter(F.col("file") == "shop/cart.py")
     assert flow.mermaid(own, rest).startswith("flowchart TD") and flow.dot(own, rest).endswith("}")
     assert flow.steps(samples.sources(spark), "nobody").count() == 0
+
+
+def test_made_sources_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
+    """A small table of parts is one file and one task, what is parsed of it is not."""
+    spark.range(100).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(tables, "FILES", 20, raising=False)
+    for sources in (tables.python_sources, tables.script_sources):
+        sizes = [len(p) for p in sources(spark, str(tmp_path)).rdd.glom().collect()]
+        assert len(sizes) == 5 and sum(sizes) == 100 and max(sizes) < 40
