@@ -132,16 +132,18 @@ def candidate_dependencies(rows: DataFrame, key: str = "file") -> DataFrame:
     """(``producer``, ``consumer``, ``variable``, ``inputs``) of steps in order whose inputs have the variable's first GRAM characters.
 
     An inverted index: inputs by their pieces as long as some variable's beginning,
-    variables by their beginning, joined on the piece.
+    variables by their beginning, joined on the piece.  Spark takes the size of
+    texts and of their pieces from the compressed table and would broadcast them
+    through the driver, so the joins are told to shuffle.
     """
     made = rows.select(key, F.col("step").alias("producer"), F.explode("outputs").alias("variable")).filter("variable <> ''").withColumn("piece", F.substring("variable", 1, GRAM))
     lengths = made.groupBy(key).agg(F.collect_set(F.length("piece")).alias("lengths"))  # GRAM at most
-    used = rows.select(key, F.col("step").alias("consumer"), "inputs").join(lengths, key)
+    used = rows.select(key, F.col("step").alias("consumer"), "inputs").hint("merge").join(lengths, key)
     pieces = lambda text, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
     every = F.flatten(F.transform("lengths", lambda n: F.flatten(F.transform(F.filter("inputs", lambda t: t.isNotNull()), lambda t: pieces(t, n)))))
     index = used.select(key, "consumer", F.explode(F.array_distinct(every)).alias("piece"))
-    met = made.join(index, [key, "piece"]).filter("producer < consumer").select(key, "producer", "consumer", "variable")
-    return met.join(rows.select(key, F.col("step").alias("consumer"), "inputs"), [key, "consumer"])
+    met = made.hint("merge").join(index, [key, "piece"]).filter("producer < consumer").select(key, "producer", "consumer", "variable")
+    return met.hint("merge").join(rows.select(key, F.col("step").alias("consumer"), "inputs"), [key, "consumer"])
 
 
 def data_dependencies(rows: DataFrame, key: str = "file") -> DataFrame:

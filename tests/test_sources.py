@@ -170,3 +170,12 @@ def test_made_sources_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch
     for sources in (tables.python_sources, tables.script_sources):
         sizes = [len(p) for p in sources(spark, str(tmp_path)).rdd.glom().collect()]
         assert len(sizes) == 5 and sum(sizes) == 100 and max(sizes) < 40
+
+
+def test_dependencies_broadcast_no_texts(spark, tmp_path):
+    """Texts and their pieces are far larger than Spark believes: none may go through the driver."""
+    rows = spark.createDataFrame([("f", 1, ["alpha"], ["x"]), ("f", 2, ["beta"], ["an alphabet"]), ("f", 3, [""], ["beta of alpha"]), ("g", 1, ["beta"], ["alpha"])], "file string, step long, outputs array<string>, inputs array<string>")
+    rows.write.parquet(str(tmp_path / "rows"))
+    found = flow.data_dependencies(spark.read.parquet(str(tmp_path / "rows")))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("f", 1, 2, "alpha"), ("f", 1, 3, "alpha"), ("f", 2, 3, "beta")]
