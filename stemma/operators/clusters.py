@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stemma.functions.names import prefixes, string_prefix, top_directory
 from stemma.functions.scoring import cluster_size, looked_up
 from stemma.operators.communities import partition
-from stemma.operators.graph import numbered, settled
+from stemma.operators.graph import numbered, packed, settled
 from stemma.schema import STATUS_COLOURS
 
 STATES = ["healthy", "stressed", "inflamed", "necrotic", "cancerous"]
@@ -67,7 +67,8 @@ def contracted(links: DataFrame, members: DataFrame) -> DataFrame:
 
 def edges_by_kind(edges: DataFrame, members: DataFrame) -> DataFrame:
     """``source``, ``target``, ``weight``, ``kind``: edges between clusters of (``id``, ``cluster``), how many there are, and the kind of most of them (ties to the least)."""
-    ends = edges.join(members.select(F.col("id").alias("source_id"), F.col("cluster").alias("source")), "source_id").join(members.select(F.col("id").alias("target_id"), F.col("cluster").alias("target")), "target_id")
+    places, own = packed(members.select("id", "cluster"), "id"), packed(edges.select("source_id", "target_id", "edge_type"), "source_id", "target_id")
+    ends = own.join(places.select(F.col("id").alias("source_id"), F.col("cluster").alias("source")), "source_id").drop("source_id").join(places.select(F.col("id").alias("target_id"), F.col("cluster").alias("target")), "target_id")
     kinds = ends.filter("source <> target").groupBy("source", "target", "edge_type").agg(F.count("*").alias("n"))
     return kinds.groupBy("source", "target").agg(F.sum("n").alias("weight"), F.min(F.struct(-F.col("n"), F.col("edge_type"))).alias("most")).select("source", "target", "weight", F.col("most.edge_type").alias("kind"))
 
