@@ -242,11 +242,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 # -- near copies at a Jaccard similarity -------------------------------------
 #
-# Texts whose word shingles have Jaccard similarity 0.8 may differ in 15 % of the
-# bits of a SimHash, too many for parts of its bits to meet.  A MinHash agrees
-# with the probability of the similarity itself, whatever the edits are and
-# however large the corpus is: BANDS bands of ROWS propose pairs, the MinHashes'
-# bytes screen them, and exact Jaccard similarity of the shingles decides.
+# SimHashes propose first: the fingerprints of all texts are linked as above, and a
+# component of them is a value that its texts share.  But texts whose word shingles
+# have Jaccard similarity 0.8 may differ in 15 % of the bits of a SimHash, too many
+# for parts of its bits to meet.  So MinHashes propose the rest, as one agrees with
+# the probability of the similarity itself, whatever the edits are and however large
+# the corpus is: BANDS bands of ROWS are values as well.  Of the pairs under either
+# kind of value the MinHashes' bytes screen those of different groups, and exact
+# Jaccard similarity of the shingles decides.
 #
 # Groups are wanted, not pairs.  First each document is paired with one head: of
 # the heads of its crowded values, the one its MinHashes are most like.  A
@@ -293,8 +296,8 @@ def min_hashes(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def _prints(df: DataFrame) -> DataFrame:
-    """(``uid``, ``digest``, ``size``, ``bands``, ``least``) of (``uid``, ``text``): digest of the words, shingles, and ``min_hashes``."""
-    schema = "uid long, digest binary, size long, bands array<long>, least binary"
+    """(``uid``, ``digest``, ``fp``, ``size``, ``bands``, ``least``) of (``uid``, ``text``): digest of the words, SimHash, shingles, and ``min_hashes``."""
+    schema = "uid long, digest binary, fp long, size long, bands array<long>, least binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,8 +305,9 @@ def _prints(df: DataFrame) -> DataFrame:
                 digests = [xxhash.xxh3_128_digest(b" ".join(t.encode().translate(LOWER).split())) for t in texts]
                 sets = [shingle_set(t) for t in texts]
                 bands, least = zip(*map(min_hashes, sets), strict=True) if sets else ((), ())
-                columns = [part.column("uid"), pa.array(digests, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(least, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["uid", "digest", "size", "bands", "least"])
+                own = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
+                columns = [part.column("uid"), pa.array(digests, pa.binary()), pa.array(own), pa.array(map(len, sets), pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(least, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "digest", "fp", "size", "bands", "least"])
 
     return df.mapInArrow(run, schema)
 
@@ -348,7 +352,8 @@ def _merged(known: DataFrame, distinct: DataFrame, shingled: DataFrame) -> DataF
 
     def prepared(pdf: pd.DataFrame) -> tuple[Callable, Callable]:
         sets, least, bands = pdf["shingles"].tolist(), _unpacked(pdf["least"]), np.stack(pdf["bands"].to_numpy())
-        place = int((bands[0] == pdf["band"].iloc[0]).argmax())
+        at = bands[0] == pdf["band"].iloc[0]
+        place = int(at.argmax()) if at.any() else 0  # a value of SimHashes comes before all bands
 
         def screened(i: int, other: np.ndarray) -> np.ndarray:
             other = other[~(bands[other, :place] == bands[i, :place]).any(1)]  # else they meet under an earlier value
@@ -361,7 +366,9 @@ def _merged(known: DataFrame, distinct: DataFrame, shingled: DataFrame) -> DataF
 
 def _groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """(``uid``, ``component``) of those of ``distinct`` that are in a group of near copies with others."""
-    values = written(distinct.select("uid", "size", F.explode("bands").alias("band")))
+    linked = components(links(written(distinct.select("fp").distinct()))).withColumnRenamed("node", "fp")
+    alike = distinct.select("uid", "size", "fp").join(few_or_shuffled(linked), "fp", "left").select("uid", "size", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("band"))
+    values = written(distinct.select("uid", "size", F.explode("bands").alias("band")).unionByName(alike))
     crowds = values.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = written(values.join(crowds, "band"))
     shingled = written(_shingled(docs.join(few_or_shuffled(written(crowded.select("uid").distinct())), "uid", "left_semi")))
@@ -376,7 +383,8 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text")
     """The rows of ``df`` with one of each group of near copies: the one with the least key.
 
     Rows are near copies if their texts, lower-cased for A-Z, have Jaccard
-    similarity of at least 0.8 on shingles of five words, or the same words;
+    similarity of at least 0.8 on shingles of five words, or the same words; SimHashes
+    within 2 bits and bands of MinHashes propose them;
     groups are their connected components.  Null, empty and blank texts are
     copies of each other.  Among rows with one key, repeated rows included, one
     stays; a null key comes after all others.  Columns and types stay as they
@@ -386,7 +394,7 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text")
     of_row = lambda name: F.col("row").getField(name)
     docs = rows.select("uid", of_row(text).cast("string").alias("text"))
     prints = written(_prints(docs))
-    classes = prints.groupBy("digest").agg(F.min("uid").alias("uid"), *[F.first(c).alias(c) for c in ("size", "bands", "least")])
+    classes = prints.groupBy("digest").agg(F.min("uid").alias("uid"), *[F.first(c).alias(c) for c in ("fp", "size", "bands", "least")])
     distinct = written(classes)
     labels = _groups(distinct, docs)
     named = distinct.select("uid", "digest").join(labels, "uid", "left").select("digest", F.coalesce("component", "uid").alias("component"))

@@ -248,6 +248,26 @@ def test_near_copies_in_a_family_below_the_threshold(spark, monkeypatch):
     assert len(kept) <= 153 and set(range(0, 300, 2)) <= set(kept)
 
 
+def test_simhashes_propose_near_copies_where_no_band_meets(spark):
+    from tests.llm.conftest import prose
+
+    rng, rows, pairs = random.Random(5), [], set()
+    for k in range(60):
+        words = prose(400, 90_000 + k).split()
+        other = list(words)
+        other[rng.randrange(400)] = f"zz{k}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        if bin(simhash.fingerprint(rows[-2][1]) ^ simhash.fingerprint(rows[-1][1])).count("1") <= 2:
+            pairs |= {(2 * k, 2 * k), (2 * k + 1, 2 * k)}
+    line = "one line that stands in the text many times " * 60  # equal SimHashes, other words
+    rows += [(200 + k, line + prose(100, 95_000 + k)) for k in range(2)]
+    assert len(pairs) > 40 and simhash.fingerprint(rows[-1][1]) == simhash.fingerprint(rows[-2][1]) and simhash.jaccard(*[simhash.shingle_set(t) for _, t in rows[-2:]]) < 0.8
+    docs = spark.createDataFrame(rows, "uid long, text string")
+    apart = simhash.written(simhash._prints(docs).withColumn("bands", F.array("uid")))
+    assert {(r["uid"], r["component"]) for r in simhash._groups(apart, docs).collect() if r["uid"] < 200} >= pairs
+    assert {r["component"] for r in simhash._groups(apart, docs).filter("uid >= 200").collect()} in (set(), {200, 201})
+
+
 def test_top_k_query_leaves_non_finite_vectors_out(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [0.5, -0.25]), (2, [-3.0, 1.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [-inf, 1.0]), (50, [nan, nan]), (100, [1.0, inf]), (150, [-1.0, -1.0])]
