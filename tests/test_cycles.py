@@ -61,3 +61,24 @@ def test_a_long_chain_with_rings_takes_few_rounds(spark):
     got = graph.strong_components(chain.unionByName(ring).unionByName(tied), rounds.append).groupBy("component").count().collect()
     assert sorted((r["component"], r["count"]) for r in got) == [(n + (r + 1) * size - 1, size) for r in range(rings)]
     assert len(rounds) < 40, rounds
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_nodes_taken_out_of_chains_are_put_back(spark, seed, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 2)
+    rng = random.Random(seed)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(66)]
+    links += [(1000 + i, 1000 + (i + 1) % 17) for i in range(17)] + [(2000, 2001), (2001, 2000), (3000, 3001), (3001, 3002), (3002, 3000), (3001, 3003)]
+    links += [(100 + i, 101 + i) for i in range(40)] + [(140, 100), (140, 7), (7, 4000), (4000, 4001), (4001, 7), (7, 4002), (4002, 7)] + links[:5]
+    assert components(spark, links) == tarjan(links)
+
+
+def test_chains_move_few_rows_whatever_their_length(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    n, rows, settle = 20_000, [], graph.settled
+    monkeypatch.setattr(graph, "FEW", 500, raising=False)
+    monkeypatch.setattr(graph, "settled", lambda df: (out := settle(df), rows.append(out.count()))[0])
+    ring = spark.range(n).select(F.col("id").alias("source_id"), ((F.col("id") + 1) % n).alias("target_id"))
+    assert graph.strong_components(ring).filter(F.col("component") == n - 1).count() == n
+    assert sum(rows) < 10 * n, rows  # a row for each node and jump would be 15
