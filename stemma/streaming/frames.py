@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stemma.operators.graph import new_folder
@@ -83,74 +83,14 @@ def session_depth(events: DataFrame, mode: str = "update", idle: str = IDLE) ->
 
 
 ORDERED_OUT = "session_id long, event_id long, ts timestamp, event_type string, depth long, late boolean"
+ORDERED_STATE = "session_id array<long>, at array<long>, event_id array<long>, event_type array<string>, walked array<long>, last_at array<long>, last_event array<long>, depth array<long>"
+#: Most rows of a file of a micro-batch and events of a bucket of sessions, on average.
+ROWS, EVENTS = 1_000_000, 50_000
+#: Stands for a null, so that columns of whole numbers stay whole in pandas.
+NONE = -(1 << 63)
 
 
-class _InOrder(StatefulProcessor):
-    """Holds a session's events until the watermark has passed them, then walks them in order of time."""
-
-    def __init__(self, idle: int):
-        self.idle = idle  # microseconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, event_id long, event_type string")
-        self.walked = handle.getValueState("walked", "at long, event_id long, depth long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        done = self.walked.get() if self.walked.exists() else None
-        late, fresh = [], []
-        for pdf in rows:
-            for at, event, kind in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["event_type"].tolist(), strict=True):
-                (late if done and (at, event) <= (done[0], done[1]) else fresh).append((at, event, kind))
-        if late:
-            yield _events(key, late, [None] * len(late), True)
-        if fresh:
-            self.waiting.appendList(fresh)
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
-
-    def _release(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
-        held = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready = [h for h in held if h[0] < watermark * 1000]
-        rest = held[len(ready) :]
-        last = self.walked.get() if self.walked.exists() else None
-        if ready:
-            depth, before, depths = (last[2], last[0], []) if last else (0, None, [])
-            for at, _, kind in ready:
-                depth = 0 if before is not None and at - before > self.idle else depth
-                depth = depth + 1 if kind == "click" else max(0, depth - 1) if kind == "view" else depth
-                depths.append(depth)
-                before = at
-            last = (ready[-1][0], ready[-1][1], depth)
-            self.walked.update(last)
-            if rest:
-                self.waiting.put([tuple(h) for h in rest])
-            else:
-                self.waiting.clear()
-            yield _events(key, ready, depths, False)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if rest:
-            self.handle.registerTimer(max(rest[0][0] // 1000 + 1, watermark + 1))
-        elif last:
-            ends = (last[0] + self.idle) // 1000 + 1
-            if ends <= watermark:  # what comes now starts at depth 0
-                self.walked.clear()
-            else:
-                self.handle.registerTimer(ends)
-
-    def close(self) -> None:
-        pass
-
-
-def _events(key: tuple, rows: list[tuple], depths: list, late: bool) -> pd.DataFrame:
-    at, event, kind = zip(*rows, strict=True)
-    return pd.DataFrame({"session_id": [key[0]] * len(rows), "event_id": event, "ts": pd.to_datetime(list(at), unit="us"), "event_type": kind, "depth": pd.array(depths, "Int64"), "late": [late] * len(rows)})
-
-
-def ordered_depth(events: DataFrame, idle: str = IDLE) -> DataFrame:
+def ordered_depth(events: DataFrame, idle: str = IDLE, buckets: int = 64) -> DataFrame:
     """Each event once, with the call depth of its session (``user_id``) in order of time, however events arrive.
 
     An event waits in keyed state until the watermark has passed it; then all that
@@ -158,22 +98,61 @@ def ordered_depth(events: DataFrame, idle: str = IDLE) -> DataFrame:
     depth at 0 again, and a session's state goes when the watermark has passed its
     last event by as much.  An event older than one already walked comes out as
     ``late``, without a depth; events behind the watermark are Spark's to drop.
-    Needs the RocksDB state store.  Times are kept in UTC.
+    Sessions are kept together in ``buckets``, whose state comes and goes once a
+    micro-batch.  Times are kept in UTC.
     """
     pause = int(pd.Timedelta(idle).total_seconds() * 1_000_000)
-    rows = events.select(F.col("user_id").cast("long").alias("session_id"), F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("event_id"), "event_type", "ts")
-    return rows.groupBy("session_id").transformWithStateInPandas(_InOrder(pause), ORDERED_OUT, "append", "EventTime")
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *waiting, walked, last_at, last_event, depths = state.get if state.exists else [[]] * 8
+        held = list(zip(*waiting, strict=True))
+        last = {s: own for s, *own in zip(walked, last_at, last_event, depths, strict=True)}
+        watermark, out = state.getCurrentWatermarkMs(), []
+        for pdf in batches:
+            for row in zip(*(pdf[c].tolist() for c in ("session_id", "at", "event_id", "event_type")), strict=True):
+                session, at, event, _ = row
+                if session in last and (at, event) <= (last[session][0], last[session][1]):
+                    out.append((*row, None, True))
+                elif at != NONE:
+                    held.append(row)
+        held.sort(key=lambda h: h[1:3])
+        n = bisect.bisect_left(held, watermark * 1000, key=lambda h: h[1])
+        for session, at, event, kind in held[:n]:
+            before, _, depth = last.get(session, (at, event, 0))
+            depth = 0 if at - before > pause else depth
+            depth = depth + 1 if kind == "click" else max(0, depth - 1) if kind == "view" else depth
+            last[session] = (at, event, depth)
+            out.append((session, at, event, kind, depth, False))
+        rest = held[n:]
+        waits = {h[0] for h in rest}
+        ends = {s: (own[0] + pause) // 1000 + 1 for s, own in last.items()}
+        last = {s: own for s, own in last.items() if s in waits or ends[s] > watermark}  # what comes to others starts at depth 0
+        if rest or last:
+            state.update((*([h[i] for h in rest] for i in range(4)), list(last), *([own[i] for own in last.values()] for i in range(3))))
+            state.setTimeoutTimestamp(max(watermark + 1, min([h[1] // 1000 for h in rest[:1]] + [ends[s] - 1 for s in last])))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "at", "event_id", "event_type", "depth", "late"]).astype({"depth": "Int64"})
+
+    whole = lambda c: F.coalesce(c, F.lit(NONE))
+    back = lambda c: F.when(F.col(c) != NONE, F.col(c)).alias(c)
+    rows = events.select(F.pmod(F.xxhash64(F.col("user_id").cast("long")), F.lit(buckets)).alias("bucket"), whole(F.col("user_id").cast("long")).alias("session_id"), whole(F.unix_micros("ts")).alias("at"), whole(F.col("event_id").cast("long")).alias("event_id"), "event_type", "ts")
+    own = rows.groupBy("bucket").applyInPandasWithState(update, "session_id long, at long, event_id long, event_type string, depth long, late boolean", ORDERED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return own.select(back("session_id"), back("event_id"), F.timestamp_micros("at").alias("ts"), "event_type", "depth", "late")
 
 
-def arriving(rows: DataFrame, order: str, batches: int) -> str:
-    """A folder with one file for each of the micro-batches in which the rows arrive, by ``order``."""
-    folder = new_folder(rows.sparkSession)
+def arriving(rows: DataFrame, order: str, batches: int) -> tuple[str, int, int]:
+    """A folder with the micro-batches in which the rows arrive, by ``order``, the number of files of each and that of all rows."""
+    folder, size = new_folder(rows.sparkSession), rows.count()
     edges = rows.approxQuantile(order, [i / batches for i in range(1, batches)], 0.001)
+    files = -(-size // (batches * ROWS)) or 1
     at = sum((F.col(order) > e).cast("int") for e in edges) if edges else F.lit(0)
     own = rows.withColumn("__batch", at)
     for i in range(batches):
-        own.filter(F.col("__batch") == i).drop("__batch", order).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return folder
+        batch = own.filter(F.col("__batch") == i).drop("__batch", order)
+        (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(f"{folder}/in")
+    return folder, files, size
 
 
 def replayed_in_order(rows: DataFrame, order: str, late: str = LATE, idle: str = IDLE, batches: int = 6) -> DataFrame:
@@ -183,7 +162,8 @@ def replayed_in_order(rows: DataFrame, order: str, late: str = LATE, idle: str =
     that all events are released; it waits for one later than itself.
     """
     spark = rows.sparkSession
-    folder = arriving(rows, order, batches)
+    rows = rows.select("user_id", "ts", "event_id", "event_type", order)
+    folder, files, size = arriving(rows, order, batches)
     was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -191,8 +171,8 @@ def replayed_in_order(rows: DataFrame, order: str, late: str = LATE, idle: str =
             if last:
                 ahead = rows.agg(F.max("ts").alias("ts")).select(*[(F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts") if c == "ts" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != order])
                 ahead.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-            source = spark.readStream.schema(rows.drop(order).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-            stream = ordered_depth(source.withWatermark("ts", late), idle)
+            source = spark.readStream.schema(rows.drop(order).schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
+            stream = ordered_depth(source.withWatermark("ts", late), idle, max(64, size // EVENTS))
             query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").outputMode("append").trigger(availableNow=True).start()
             query.awaitTermination()
     finally:

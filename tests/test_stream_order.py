@@ -36,3 +36,16 @@ def test_late_events_come_out_apart_and_pauses_end_sessions(spark):
     events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, arrival double")
     got = {r["event_id"]: (r["depth"], r["late"]) for r in stream.replayed_in_order(events, "arrival", "3 hours", "20 hours", 6).collect()}
     assert got == {1: (1, False), 2: (2, False), 3: (1, False), 5: (1, False), 4: (2, False), 6: (1, False), 7: (1, False), 9: (0, False), 8: (1, False)}
+
+
+def test_many_sessions_meet_python_in_few_groups(spark):
+    """A late event, a pause and an end in each of 3,000 sessions, whose state is kept in far fewer rows."""
+    events = spark.range(3000).selectExpr("id AS user_id", "explode(array(0, 1, 2, 50)) AS hour").selectExpr("user_id * 100 + hour AS event_id", f"timestamp'{T0}' + make_interval(0, 0, 0, 0, hour) AS ts", "user_id", "'click' AS event_type", "CASE hour WHEN 1 THEN 9.0 ELSE CAST(hour AS double) END AS arrival")
+    was, kept = stream.new_folder, []
+    stream.new_folder = lambda spark: kept.append(was(spark)) or kept[-1]
+    try:
+        got = stream.replayed_in_order(events, "arrival", "10 hours", "20 hours", 4).groupBy(F.col("event_id") % 100, "depth", "late").count().collect()
+    finally:
+        stream.new_folder = was
+    assert sorted(map(tuple, got)) == [(0, 1, False, 3000), (1, 2, False, 3000), (2, 3, False, 3000), (50, 1, False, 3000)]
+    assert 0 < spark.read.format("statestore").option("batchId", 1).load(f"{kept[0]}/state").count() <= 64
